@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candor import config
 from candor.operators.skew import lookup
 from candor.session import cut_lineage
 
@@ -44,7 +43,7 @@ def overlap_set_pairs(sets: DataFrame, min_ratio: float = 0.5, posting: int = 2_
     salts on the probed side and replicated on the other.
     """
     frequent = F.broadcast(frequent_tokens(sets))
-    sized = sets.where(F.exists("tokens", lambda t: t.isNotNull())).withColumn("size", F.size("tokens"))
+    sized = sets.withColumn("size", F.size("tokens"))
     postings = (
         sized.select("key", "first_id", "last_id", "copies", "size", F.explode("tokens").alias("token"))
         .join(frequent, "token", "left")
@@ -83,27 +82,54 @@ def overlap_set_pairs(sets: DataFrame, min_ratio: float = 0.5, posting: int = 2_
     )
 
 
+def _all_pairs(found: DataFrame, members: DataFrame) -> DataFrame:
+    one = members.select(F.col("key").alias("key_1"), F.col("id").alias("content_id_1"))
+    two = members.select(F.col("key").alias("key_2"), F.col("id").alias("content_id_2"))
+    return (
+        found.join(one, "key_1")
+        .join(two, "key_2")
+        .where("content_id_1 < content_id_2")
+        .select("content_id_1", "content_id_2", "word_overlap_ratio")
+    )
+
+
+def _top_pairs(found: DataFrame, members: DataFrame, sets: DataFrame, k: int) -> DataFrame:
+    """The k best pairs by (ratio, id_1, id_2) without listing the others.
+
+    Every (ratio, id_1) with a partner yields at least one pair, so the answer
+    lies within the k best of those, and per set only its k smallest ids can be
+    among them. Each row is then compared with at most k ids.
+    """
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+    smallest = members.withColumn("nth", nth).where(F.col("nth") <= k)
+    one = smallest.select(F.col("key").alias("key_1"), F.col("id").alias("content_id_1"))
+    two = sets.select(F.col("key").alias("key_2"), "last_id", "copies")
+    firsts = cut_lineage(
+        found.join(two, "key_2")
+        .join(one, "key_1")
+        .where("content_id_1 < last_id")
+        .select("word_overlap_ratio", "content_id_1", "key_2", "copies")
+    )
+    best_first = [F.desc("word_overlap_ratio"), F.asc("content_id_1")]
+    heads = firsts.select("word_overlap_ratio", "content_id_1").distinct().orderBy(*best_first).limit(k)
+    wanted = firsts.join(F.broadcast(heads), ["word_overlap_ratio", "content_id_1"], "left_semi")
+    rows = members.select(F.col("key").alias("key_2"), F.col("id").alias("content_id_2"))
+    pairs = lookup(rows, wanted, ["key_2"], "copies").where("content_id_1 < content_id_2")
+    return (
+        pairs.select("content_id_1", "content_id_2", "word_overlap_ratio")
+        .orderBy(*best_first, "content_id_2")
+        .limit(k)
+    )
+
+
 def word_overlap_pairs(
     df: DataFrame, id: str = "id", text: str = "content", min_words: int = 5, min_ratio: float = 0.5, limit: int | None = 20
 ) -> DataFrame:
     """Pairs id_1 < id_2 by share of the first text's words found in the second, best first.
 
-    ``limit`` is the reported top-k; None lists every pair. For a top-k only the
-    k smallest ids of a set can appear in it, so larger groups of copies are cut
-    to those before the expansion; the result is the same.
+    ``limit`` is the reported top-k; None lists every pair.
     """
-    rows = df.where(F.col("word_count") > min_words)
+    rows = df.where((F.col("word_count") > min_words) & F.col(text).isNotNull())
     members, sets = distinct_token_sets(rows, id, text)
     found = overlap_set_pairs(sets, min_ratio)
-    weighed = lookup(members, sets.select("key", F.col("copies").alias("w")), ["key"], "w")
-    one = weighed.select(F.col("key").alias("key_1"), F.col("id").alias("content_id_1"))
-    two = weighed.select(F.col("key").alias("key_2"), F.col("id").alias("content_id_2"))
-    pairs = (
-        found.join(one, "key_1")
-        .join(two, "key_2")
-        .where("content_id_1 < content_id_2")
-        .select("content_id_1", "content_id_2", "word_overlap_ratio")
-    )
-    if limit is None:
-        return pairs
-    return pairs.orderBy(F.desc("word_overlap_ratio"), "content_id_1", "content_id_2").limit(limit)
+    return _all_pairs(found, members) if limit is None else _top_pairs(cut_lineage(found), members, sets, limit)
