@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from candor import config
+
 # fixed values: listed phrases and words, and the character classes of the features
 AI_PHRASES = (
     "as an ai",
@@ -222,3 +224,31 @@ def _feature_struct(t: Column) -> Column:
         "perfect_punctuation": perfect.cast("double"),
     }
     return F.struct(*[values[name].alias(name) for name in FEATURES])
+
+
+def tag_shares(df: DataFrame, lexicon: DataFrame, id: str = "id", text: str = "content", tags=("NOUN", "VERB", "ADJ", "ADV"), max_chars: int | None = None) -> DataFrame:
+    """Share of each tag among the words of a text, looked up in a lexicon (word, pos).
+
+    Words are counted per text before the lookup. A counted lexicon of moderate
+    size is broadcast; a larger one is joined on the word, with the hottest words
+    spread over salts. ``max_chars`` restricts the texts to a leading window.
+    """
+    source = F.col(text) if max_chars is None else F.substring(text, 1, max_chars)
+    tokens = df.select(F.col(id), F.explode(words(F.lower(source))).alias("word"))
+    counted = tokens.groupBy(id, "word").agg(F.count("*").alias("n"))
+    if lexicon.limit(config.BROADCAST_ROWS + 1).count() <= config.BROADCAST_ROWS:
+        tagged = counted.join(F.broadcast(lexicon), "word", "left")
+    else:
+        salts = 32
+        spread = lexicon.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        tagged = counted.withColumn("salt", F.pmod(F.xxhash64(id), F.lit(salts)).cast("int")).join(
+            spread, ["word", "salt"], "left"
+        )
+    total = F.sum("n")
+    return tagged.groupBy(id).agg(
+        total.alias("tokens"),
+        *[
+            (F.coalesce(F.sum(F.when(F.col("pos") == tag, F.col("n"))), F.lit(0)) / total).alias(f"{tag.lower()}_ratio")
+            for tag in tags
+        ],
+    )
