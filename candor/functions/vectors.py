@@ -14,6 +14,21 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda s, p: s + p)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row.
+
+    A column that is read inside a lambda may be inlined there by the optimizer
+    and then be computed per element; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def unit(a: Column) -> Column:
+    """The vector divided by its norm; a zero vector stays zero."""
+    scaled = lambda v, z: F.transform(v, lambda x: F.when(z > 0, x / z).otherwise(0.0))
+    return let(a, lambda v: let(norm(v), lambda z: scaled(v, z)))
+
+
 def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
@@ -90,12 +105,8 @@ def hashing_embedding(df: DataFrame, text: str = "content", dim: int = config.EM
     Narrow and JVM-side: no shuffle, one pass over the words of a row. A text
     without words gets the zero vector.
     """
-    counted = df.withColumn(
-        "_counts",
-        bucket_counts(F.transform(words(F.lower(text)), lambda w: word_bucket(w, dim)), dim),
-    ).withColumn("_norm", norm(F.col("_counts")))
-    unit = F.transform("_counts", lambda c: F.when(F.col("_norm") > 0, c / F.col("_norm")).otherwise(0.0))
-    return counted.withColumn(out, unit).drop("_counts", "_norm")
+    buckets = F.transform(words(F.lower(text)), lambda w: word_bucket(w, dim))
+    return df.withColumn(out, unit(bucket_counts(buckets, dim)))
 
 
 def embed(df: DataFrame, text: str = "content", model=None, model_name: str | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candor import config
-from candor.functions.vectors import norm
+from candor.functions.vectors import unit
 from candor.session import cut_lineage
 
 _TILE = 1024
@@ -37,13 +37,8 @@ def vector_key(vector) -> F.Column:
 def unit_members(df: DataFrame, id: str, vector: str, keep=()) -> DataFrame:
     """(id, vkey, vec, *keep) with normalised vectors; zero and null vectors are left out."""
     v = F.col(vector).cast("array<double>")
-    sized = df.select(F.col(id).cast("string").alias("id"), *keep, v.alias("_v")).withColumn("_n", norm(F.col("_v")))
-    return sized.where("_n > 0").select(
-        "id",
-        *keep,
-        vector_key(F.col("_v")).alias("vkey"),
-        F.transform("_v", lambda x: x / F.col("_n")).alias("vec"),
-    )
+    rows = df.where(v.isNotNull()).select(F.col(id).cast("string").alias("id"), *keep, vector_key(v).alias("vkey"), unit(v).alias("vec"))
+    return rows.where(F.exists("vec", lambda x: x != 0))
 
 
 def representatives(members: DataFrame, scope: str | None = None) -> DataFrame:
