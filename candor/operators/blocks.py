@@ -22,7 +22,6 @@ from pyspark.sql import types as T
 
 from candor import config
 from candor.functions.vectors import unit
-from candor.session import cut_lineage
 
 _TILE = 1024
 _DIGITS = 12  # cosines are compared and reported at this precision
@@ -72,7 +71,7 @@ def _pivot_cells(reps: DataFrame, n: int, threshold: float, block_rows: int) ->
         cell = angle.argmin(axis=1)
         return pd.DataFrame({"cell": cell.astype("int32"), "angle": angle[np.arange(len(cell)), cell]})
 
-    celled = cut_lineage(reps.withColumn("_at", nearest("vec")).select("*", "_at.cell", "_at.angle").drop("_at"))
+    celled = reps.withColumn("_at", nearest("vec")).select("*", "_at.cell", "_at.angle").drop("_at")
     radius, blocks = np.full(len(pivots), -np.inf), np.zeros(len(pivots), dtype="int64")
     for r in celled.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect():
         radius[r["cell"]] = r["radius"]
@@ -142,45 +141,55 @@ def _group_matches(table: pa.Table, threshold, strict, by_scope):
             yield from _matches(vec, left, right, threshold, strict, same)
 
 
-def blocked_join(
+def place(
     reps: DataFrame,
+    threshold: float,
+    scope: str | None = None,
+    prune: str = "pivots",
+    block_rows: int = config.BLOCK_ROWS,
+) -> DataFrame:
+    """Give every representative its block and the blocks it has to meet.
+
+    ``reps`` has rep, vkey, copies, vec and is materialised by the caller. Any
+    subset of the placed rows may be joined with any threshold from the given
+    one upwards. ``prune`` picks the cells: around pivots, or by scope value.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be in (0, 1]")
+    n, shortest, longest = reps.agg(F.count("*"), F.min(F.size("vec")), F.max(F.size("vec"))).first()
+    if n and shortest != longest:
+        raise ValueError("all vectors of a similarity join must have the same length")
+    if n == 0:
+        empty = F.array().cast("array<bigint>")
+        return reps.withColumn("own", F.lit(0).cast("long")).withColumn("partners", empty)
+    if prune == "pivots":
+        return _pivot_cells(reps, n, threshold, block_rows)
+    return _scope_cells(reps, n, scope, block_rows)
+
+
+def blocked_join(
+    placed: DataFrame,
     kernel,
     schema: str,
     threshold: float,
     strict: bool = False,
     scope: str | None = None,
-    prune: str = "pivots",
     carry=(),
-    block_rows: int = config.BLOCK_ROWS,
 ) -> DataFrame:
     """Run ``kernel(table, matches)`` once per block pair and union the results.
 
-    ``reps`` has rep, vkey, copies, vec and is materialised by the caller.
     ``matches`` iterates over (i, j, cosine) index arrays into ``table``. With
     ``scope`` only rows of the same scope value match. ``carry`` names further
     columns the kernel reads.
     """
-    if not 0 < threshold <= 1:
-        raise ValueError("threshold must be in (0, 1]")
-    sizes = reps.agg(F.count("*"), F.min(F.size("vec")), F.max(F.size("vec"))).first()
-    n = sizes[0]
-    if n and sizes[1] != sizes[2]:
-        raise ValueError("all vectors of a similarity join must have the same length")
-    spark = reps.sparkSession
-    if n == 0:
-        return spark.createDataFrame([], schema)
-    if prune == "pivots":
-        keyed = _pivot_cells(reps, n, threshold, block_rows)
-    else:
-        keyed = _scope_cells(reps, n, scope, block_rows)
     code = F.xxhash64(scope) if scope else F.lit(0).cast("long")
     rows = (
-        keyed.select("rep", "copies", "vec", code.alias("scope"), *carry, "own", F.explode("partners").alias("other"))
+        placed.select("rep", "copies", "vec", code.alias("scope"), *carry, "own", F.explode("partners").alias("other"))
         .withColumn("lo", F.least("own", "other"))
         .withColumn("hi", F.greatest("own", "other"))
         .drop("other")
     )
-    arrow_schema = _arrow_schema(spark, schema)
+    arrow_schema = _arrow_schema(schema)
     by_scope = scope is not None
 
     def run(table: pa.Table) -> pa.Table:
@@ -195,7 +204,7 @@ def blocked_join(
     return rows.groupBy("lo", "hi").applyInArrow(run, schema)
 
 
-def _arrow_schema(spark, schema: str) -> pa.Schema:
+def _arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     return to_arrow_schema(T._parse_datatype_string(schema))

@@ -97,6 +97,8 @@ def authenticity_patterns(
     The rule messages allow only a few dozen explanations, whatever the data.
     """
     scored = scores if scores is not None else score_text(df, id, text)
+    # scored once for both results; the filter below must not pull the features into its condition
+    scored = cut_lineage(scored.select("content_id", "authenticity_score", "explanation"))
     low = scored.where(is_low(F.col("authenticity_score"))).select(
         "content_id", "authenticity_score", F.substring("explanation", 1, 50).alias("common_explanation")
     )
@@ -133,9 +135,8 @@ def temporal_patterns(
         df.select(id, vector, hour_of(ts).alias("hour")), hourly.select("hour", F.col("n").alias("weight")), ["hour"], "weight"
     )
     reps = cut_lineage(blocks.representatives(blocks.unit_members(busy, id, vector, ["hour"]), "hour"))
-    across = blocks.blocked_join(
-        reps, blocks.scope_count_kernel, "scope long, pairs long", threshold, scope="hour", prune="scope", block_rows=block_rows
-    )
+    placed = blocks.place(reps, threshold, scope="hour", prune="scope", block_rows=block_rows)
+    across = blocks.blocked_join(placed, blocks.scope_count_kernel, "scope long, pairs long", threshold, scope="hour")
     pairs = across.groupBy("scope").agg(F.sum("pairs").alias("pairs"))
     own = F.sum(F.col("copies") * (F.col("copies") - 1) / 2).cast("long")
     within = reps.groupBy("hour").agg(own.alias("own")).withColumn("scope", F.xxhash64("hour"))
@@ -175,14 +176,9 @@ def cross_platform(
     rows = lookup(df.select(id, vector, F.col(platform)), sizes, [platform], "weight").withColumnRenamed(platform, "platform")
     members = cut_lineage(blocks.unit_members(rows, id, vector, ["platform"]))
     reps = cut_lineage(blocks.representatives(members, "platform"))
-    partial = blocks.blocked_join(
-        reps,
-        blocks.platform_kernel,
-        "rep string, platform string, other string, matches long",
-        threshold,
-        carry=["platform"],
-        block_rows=block_rows,
-    )
+    placed = blocks.place(reps, threshold, block_rows=block_rows)
+    schema = "rep string, platform string, other string, matches long"
+    partial = blocks.blocked_join(placed, blocks.platform_kernel, schema, threshold, carry=["platform"])
     hits = partial.groupBy("rep", "platform", "other").agg(F.sum("matches").alias("matches"))
     hits = cut_lineage(hits.join(reps.select("rep", "platform", "vkey", "copies"), ["rep", "platform"]))
     ordered = hits.withColumn("platform_1", F.least("platform", "other")).withColumn("platform_2", F.greatest("platform", "other"))

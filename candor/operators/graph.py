@@ -21,23 +21,23 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     ).select("e.u", "e.v")
 
 
-def _star(pairs: DataFrame) -> DataFrame:
+def _star(pairs: DataFrame, total: int) -> DataFrame:
     """Connect the listed neighbours v of u to the smallest id around u."""
     small = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(
         "u", F.least("u", "m").alias("m"), "n"
     )
-    return lookup(pairs, small, ["u"], "n")
+    return lookup(pairs, small, ["u"], "n", total=total)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    linked = _star(_both_ways(edges)).where("v > u and v <> m")
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
+    linked = _star(_both_ways(edges), 2 * total).where("v > u and v <> m")
     return linked.select(F.col("m").alias("src"), F.col("v").alias("dst")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     hub = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = _star(down).where("v <> m").select(F.col("m").alias("src"), F.col("v").alias("dst"))
+    moved = _star(down, total).where("v <> m").select(F.col("m").alias("src"), F.col("v").alias("dst"))
     kept = hub.select(F.col("m").alias("src"), F.col("u").alias("dst"))
     return moved.unionByName(kept).distinct()
 
@@ -57,7 +57,7 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, ma
     now = cut_lineage(start.where("src <> dst").distinct())
     seen = _fingerprint(now)
     for _ in range(max_rounds):
-        now = cut_lineage(_small_star(_large_star(now)))
+        now = cut_lineage(_small_star(_large_star(now, seen[0]), 2 * seen[0]))
         mark = _fingerprint(now)
         if mark == seen:
             break
@@ -92,8 +92,9 @@ def clustering_coefficients(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     degree = _both_ways(pairs).groupBy(F.col("u").alias("id")).agg(F.count("*").alias("degree"))
     one = degree.select(F.col("id").alias("src"), F.col("degree").alias("d1"))
     two = degree.select(F.col("id").alias("dst"), F.col("degree").alias("d2"))
-    first = lookup(pairs, one.withColumn("w", F.col("d1")), ["src"], "w")
-    ranked = lookup(first, two.withColumn("w", F.col("d2")), ["dst"], "w")
+    twice = 2 * pairs.count()
+    first = lookup(pairs, one.withColumn("w", F.col("d1")), ["src"], "w", total=twice)
+    ranked = lookup(first, two.withColumn("w", F.col("d2")), ["dst"], "w", total=twice)
     forward = (F.col("d1") < F.col("d2")) | ((F.col("d1") == F.col("d2")) & (F.col("src") < F.col("dst")))
     directed = cut_lineage(
         ranked.select(

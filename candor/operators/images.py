@@ -175,20 +175,23 @@ def blocking_artifacts(gray_images: DataFrame) -> DataFrame:
         "v",
         F.explode(
             F.array(
-                F.struct(F.lit("row").alias("axis"), F.col("y").alias("i"), F.col("height").alias("span"), F.col("width").alias("len")),
-                F.struct(F.lit("col").alias("axis"), F.col("x").alias("i"), F.col("width").alias("span"), F.col("height").alias("len")),
+                F.struct(F.lit("row").alias("axis"), F.col("y").alias("i"), F.col("height").alias("span")),
+                F.struct(F.lit("col").alias("axis"), F.col("x").alias("i"), F.col("width").alias("span")),
             )
         ).alias("l"),
     ).select("image_id", "v", "l.*")
     edge = F.floor((F.col("i") + 1) / GRID).cast("int")  # lines 8k-1 and 8k belong to grid line k
     near = lines.where((F.col("i") % GRID).isin(0, GRID - 1)).withColumn("k", edge)
     inside = near.where((F.col("k") >= 1) & (F.col("k") * GRID < F.col("span") - GRID))
-    jumps = inside.groupBy("image_id", "axis", "k", "len").agg(
+    jumps = inside.groupBy("image_id", "axis", "k").agg(
         F.abs(F.sum(F.when(F.col("i") % GRID == 0, F.col("v")).otherwise(-F.col("v")))).alias("jump")
     )
-    total = jumps.groupBy("image_id").agg(F.sum(F.col("jump") / F.col("len")).alias("jumps"))
+    # whole-number sums per axis, so the result does not depend on the order of addition
+    along = lambda axis: F.coalesce(F.sum(F.when(F.col("axis") == axis, F.col("jump"))), F.lit(0))
+    total = jumps.groupBy("image_id").agg(along("row").alias("rows"), along("col").alias("cols"))
+    jump = F.coalesce("rows", F.lit(0)) / F.col("width") + F.coalesce("cols", F.lit(0)) / F.col("height")
     return gray_images.select("image_id", "width", "height").join(total, "image_id", "left").select(
-        "image_id", (F.coalesce("jumps", F.lit(0.0)) / (F.col("width") * F.col("height"))).alias("blocking_artifacts")
+        "image_id", (jump / (F.col("width") * F.col("height"))).alias("blocking_artifacts")
     )
 
 

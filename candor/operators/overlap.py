@@ -15,14 +15,17 @@ def token_set(text: Column) -> Column:
 
 
 def distinct_token_sets(df: DataFrame, id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(members, sets): texts with the same words share one set row, named by a key."""
+    """(members, sets): texts with the same words share one set row, named by its smallest id."""
     rows = df.select(F.col(id).cast("string").alias("id"), token_set(F.col(text)).alias("tokens"))
     key = F.concat(F.hex(F.xxhash64("tokens")), F.hex(F.xxhash64(F.lit(17), "tokens")))
     members = cut_lineage(rows.withColumn("key", key))
     sets = members.groupBy("key").agg(
         F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count("*").alias("copies"), F.first("tokens").alias("tokens")
     )
-    return members.select("id", "key"), cut_lineage(sets)
+    sets = cut_lineage(sets)
+    table = sets.select("key", "first_id", F.col("copies").alias("weight"))
+    named = lookup(members.select("id", "key"), table, ["key"], "weight").select("id", F.col("first_id").alias("key"))
+    return named, sets.withColumn("key", F.col("first_id"))
 
 
 def frequent_tokens(sets: DataFrame, limit: int = 100_000) -> DataFrame:
@@ -36,43 +39,59 @@ def frequent_tokens(sets: DataFrame, limit: int = 100_000) -> DataFrame:
 def overlap_set_pairs(sets: DataFrame, min_ratio: float = 0.5, posting: int = 2_000) -> DataFrame:
     """(key_1, key_2, ratio): |A and B| / |A| > ``min_ratio`` over ordered pairs of sets.
 
-    If more than r * |A| tokens are shared, the |A| - floor(r * |A|) rarest tokens
-    of A cannot all be missing from B, so only those are probed. Tokens are ranked
-    by frequency where it matters (the broadcast frequent ones, at most 100 000)
-    and by hash below that. Posting lists above ``posting`` rows are split over
-    salts on the probed side and replicated on the other.
+    Exact prefix filter with a count. At least k + 1 tokens must be shared, with
+    k = floor(min_ratio * |A|). All but 0.8 k tokens of A are probed, the rarest
+    first; the rest can supply at most 0.8 k shared tokens, so a pair with fewer
+    than k + 1 - 0.8 k probe hits is out without being looked at. Tokens are
+    ranked by frequency where it matters (the broadcast frequent ones, at most
+    100 000) and by hash below that. Posting lists above ``posting`` rows are split
+    over salts on one side and replicated on the other.
     """
     frequent = F.broadcast(frequent_tokens(sets))
     sized = sets.withColumn("size", F.size("tokens"))
     postings = (
-        sized.select("key", "first_id", "last_id", "copies", "size", F.explode("tokens").alias("token"))
+        sized.select("first_id", "last_id", "copies", "size", F.explode("tokens").alias("token"))
         .join(frequent, "token", "left")
         .withColumn("df", F.coalesce("df", F.lit(0)).cast("long"))
     )
-    ranked = cut_lineage(postings.select("key", "first_id", "last_id", "copies", "size", "token", "df"))
-    probe = F.col("size") - F.floor(F.col("size") * min_ratio)
-    order = F.array_sort(F.collect_list(F.struct("df", F.xxhash64("token").alias("h"), "token")))
-    rare = (
-        ranked.groupBy("key", "size", "first_id", "copies")
-        .agg(order.alias("ts"))
-        .select("key", "size", "first_id", "copies", F.explode(F.slice("ts", F.lit(1), probe.cast("int"))).alias("t"))
-        .select("key", "size", "first_id", "copies", F.col("t.token").alias("token"), F.col("t.df").alias("df"))
+    postings = cut_lineage(postings.select("first_id", "last_id", "copies", "size", "token", "df"))
+    required = F.floor(F.col("size") * min_ratio)
+    rest = F.floor(required * 0.8)
+    ranked = F.array_sort(F.collect_list(F.struct("df", F.xxhash64("token").alias("h"), "token")))
+    probes = (
+        postings.groupBy("first_id", "size", "copies")
+        .agg(ranked.alias("ts"))
+        .select(
+            "first_id",
+            "size",
+            "copies",
+            (required + 1 - rest).alias("needed"),
+            F.explode(F.slice("ts", F.lit(1), (F.col("size") - rest).cast("int"))).alias("t"),
+        )
+        .select("first_id", "size", "copies", "needed", F.col("t.token").alias("token"), F.col("t.df").alias("df"))
     )
     salts = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("df") / posting))
-    left = rare.select(
-        F.col("key").alias("key_1"), F.col("size").alias("size_1"), F.col("first_id").alias("id_1"),
-        F.col("copies").alias("copies_1"), "token", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"),
+    left = probes.select(
+        F.col("first_id").alias("key_1"), F.col("size").alias("size_1"), F.col("copies").alias("copies_1"), "needed", "token",
+        F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"),
     )
-    right = ranked.select(
-        F.col("key").alias("key_2"), F.col("size").alias("size_2"), F.col("last_id").alias("last_2"),
-        "token", F.pmod(F.xxhash64("key"), salts).alias("salt"),
+    right = postings.select(
+        F.col("first_id").alias("key_2"), F.col("size").alias("size_2"), F.col("last_id").alias("last_2"), "token",
+        F.pmod(F.xxhash64("first_id"), salts).alias("salt"),
     )
     # a pair needs an id of A below an id of B, and B at least as many tokens as must be shared
-    useful = (F.col("id_1") < F.col("last_2")) & (F.col("size_2") > F.col("size_1") * min_ratio)
+    useful = (F.col("key_1") < F.col("last_2")) & (F.col("size_2") > F.col("size_1") * min_ratio)
     differs = (F.col("key_1") != F.col("key_2")) | (F.col("copies_1") > 1)
-    candidates = left.join(right, ["token", "salt"]).where(useful & differs).select("key_1", "key_2").distinct()
-    one = sized.select(F.col("key").alias("key_1"), F.col("tokens").alias("t1"))
-    two = sized.select(F.col("key").alias("key_2"), F.col("tokens").alias("t2"))
+    candidates = (
+        left.join(right, ["token", "salt"])
+        .where(useful & differs)
+        .groupBy("key_1", "key_2")
+        .agg(F.count("*").alias("hits"), F.max("needed").alias("needed"))
+        .where("hits >= needed")
+        .select("key_1", "key_2")
+    )
+    one = sized.select(F.col("first_id").alias("key_1"), F.col("tokens").alias("t1"))
+    two = sized.select(F.col("first_id").alias("key_2"), F.col("tokens").alias("t2"))
     shared = F.size(F.array_intersect("t1", "t2"))
     return (
         candidates.join(one, "key_1")

@@ -35,9 +35,8 @@ def similar_groups(
     keep = [scope] if scope else []
     found = cut_lineage(blocks.unit_members(df, id, vector, keep))
     reps = cut_lineage(blocks.representatives(found, scope))
-    pairs = blocks.blocked_join(
-        reps, blocks.pair_kernel, blocks.PAIR_SCHEMA, threshold, strict, scope, block_rows=block_rows
-    )
+    placed = blocks.place(reps, threshold, block_rows=block_rows)
+    pairs = blocks.blocked_join(placed, blocks.pair_kernel, blocks.PAIR_SCHEMA, threshold, strict, scope)
     keys = ["vkey", *keep]
     table = reps.select("rep", "copies", F.col("copies").alias("weight"), *keys)
     return lookup(found.select("id", *keys), table, keys, "weight").drop(*keys), pairs

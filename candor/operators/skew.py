@@ -25,14 +25,17 @@ def lookup(
     weight: str,
     heavy_keys: int = config.HEAVY_KEYS,
     small: int = config.BROADCAST_ROWS,
+    total: int | None = None,
 ) -> DataFrame:
     """Join ``rows`` with a table of one row per key that knows each key's row count.
 
     Keys above 1/``heavy_keys`` of all rows number fewer than ``heavy_keys``, so
     they go through a broadcast and their rows never gather in one task; all
     other keys go through an ordinary shuffled join. ``weight`` is dropped.
+    ``total`` is the sum of the weights where the caller already knows it.
     """
-    total = table.agg(F.sum(weight)).first()[0] or 0
+    if total is None:
+        total = table.agg(F.sum(weight)).first()[0] or 0
     if total <= small:
         return rows.join(table.drop(weight), on)
     heavy = F.broadcast(table.where(F.col(weight) > total / heavy_keys))

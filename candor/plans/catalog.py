@@ -40,7 +40,7 @@ def query(name: str, oracle: str | None = None):
 
 def d6(column, name: str | None = None) -> Column:
     c = F.col(column) if isinstance(column, str) else column
-    return F.round(c.cast("double"), 6).alias(name or column)
+    return (F.floor(c.cast("double") * F.lit(1e6) + F.lit(0.5)) / F.lit(1e6)).alias(name or column)
 
 
 def when_text(column: str, name: str | None = None) -> Column:
@@ -543,7 +543,7 @@ def _neighbours(spark, sf) -> DataFrame:
 )
 def sql_cosine(spark, sf):
     vx.register_cosine_similarity(spark)
-    return _neighbours(spark, sf).select("id_1", "id_2", F.expr("round(cosine_similarity(a, b), 6)").alias("similarity"))
+    return _neighbours(spark, sf).select("id_1", "id_2", d6(F.expr("cosine_similarity(a, b)"), "similarity"))
 
 
 @query(
@@ -563,7 +563,7 @@ def pair_cosine(spark, sf):
 @query("hashing_embeddings", build(f"SELECT id, bucket, {r6('v')} AS v FROM sparse", "sparse"))
 def hashing_embeddings(spark, sf):
     vec = vx.hashing_embedding(fx.text_content(spark, sf).select("id", "content"))
-    return vec.select("id", F.posexplode("embedding").alias("bucket", "v")).where("v <> 0").select("id", "bucket", d6("v"))
+    return vec.select("id", F.posexplode_outer("embedding").alias("bucket", "v")).where("v <> 0").select("id", "bucket", d6("v"))
 
 
 @query(
@@ -643,7 +643,7 @@ def similar_vectors(spark, sf):
 
 
 def text_vectors(spark, sf) -> DataFrame:
-    return vx.hashing_embedding(fx.text_content(spark, sf).select("id", "content", "timestamp", "source_platform")).drop("content")
+    return detection.embedded(fx.text_content(spark, sf))
 
 
 @query(
@@ -726,8 +726,7 @@ _OVERLAP = f"""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS id, list_distinct(st
 
 
 def _plain_documents(spark, sf) -> DataFrame:
-    docs = fx.table(spark, sf, "documents")
-    return docs.select(
+    return fx.documents(spark, sf).select(
         F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"), F.size(tx.words(F.col("text"))).alias("word_count")
     )
 

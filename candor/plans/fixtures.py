@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candor.sources.corpus import extract_corpus, forum_comments, encyclopedia
+from candor.sources.corpus import encyclopedia, extract_corpus, forum_comments
+from candor.sources.tables import spread
 
 PHRASE = " As an AI language model, furthermore it is important to note this."
 RASTER_WIDTH = 64
@@ -15,6 +16,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents"), "doc_id")
+
+
 def minutes_after_start(minutes) -> F.Column:
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
     return (start + F.make_dt_interval(mins=minutes.cast("int"))).cast("timestamp")
@@ -22,7 +27,7 @@ def minutes_after_start(minutes) -> F.Column:
 
 def text_content(spark: SparkSession, sf: str) -> DataFrame:
     """documents and labels as the content table; every seventh text gets a listed phrase."""
-    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels").select("doc_id", "quality")
+    docs, labels = documents(spark, sf), table(spark, sf, "labels").select("doc_id", "quality")
     source = F.when(F.col("quality") == 1, "human").when(F.col("quality") == 0, "ai_generated").otherwise("unknown")
     text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(PHRASE))).otherwise(F.col("text"))
     return docs.join(labels, "doc_id", "left").select(
@@ -70,7 +75,7 @@ def forum_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def encyclopedia_rows(spark: SparkSession, sf: str) -> DataFrame:
     """documents as an encyclopedia dump, one hour apart from 2022-12-31."""
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         F.col("doc_id").alias("id"),
         F.concat(F.lit("page "), F.col("doc_id")).alias("title"),
         F.col("text").alias("wiki"),
@@ -94,7 +99,7 @@ def rasters(spark: SparkSession, sf: str) -> DataFrame:
     height = F.ceil(F.length("text") / RASTER_WIDTH).cast("int")
     fill = F.array_repeat(F.lit(32), (height * RASTER_WIDTH - F.length("text")).cast("int"))
     return (
-        table(spark, sf, "documents")
+        documents(spark, sf)
         .where(F.length("text") > 0)
         .select(
             F.col("doc_id").cast("string").alias("image_id"),

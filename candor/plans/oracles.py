@@ -15,7 +15,8 @@ def quoted(text: str) -> str:
 
 
 def r6(expression: str) -> str:
-    return f"(round(CAST({expression} AS DOUBLE), 6) + 0e0)"
+    """Half-up rounding by plain double arithmetic, the same operations on both sides."""
+    return f"(floor(CAST({expression} AS DOUBLE) * 1e6 + 0.5e0) / 1e6 + 0e0)"
 
 
 def words_of(expression: str) -> str:
@@ -70,6 +71,12 @@ def sobel() -> str:
     return f"sqrt(CAST({gx}*{gx} + {gy}*{gy} AS DOUBLE))"
 
 
+def exact_var(column: str) -> str:
+    """Population variance from whole-number sums."""
+    n, s, q = "count(*)", f"sum({column})", f"sum({column} * {column})"
+    return f"CAST({n} * {q} - {s} * {s} AS DOUBLE) / (CAST({n} AS DOUBLE) * {n})"
+
+
 _STOP = ", ".join(f"({quoted(lang)}, {quoted(w)})" for lang, ws in STOP_WORDS.items() for w in ws)
 
 TEXT_RULES = [
@@ -479,19 +486,21 @@ cte(
 )
 cte(
     "texture_stats",
-    f"""SELECT image_id, var_pop(v) AS texture_variance, avg(v) AS texture_mean, var_pop(lap) AS noise_estimate,
+    f"""SELECT image_id, {exact_var('v')} AS texture_variance, avg(v) AS texture_mean, {exact_var('lap')} AS noise_estimate,
     avg(grad) AS edge_strength, stddev_pop(grad) AS edge_consistency, avg(CASE WHEN grad > 150 THEN 1e0 ELSE 0e0 END) AS edge_density
     FROM (SELECT image_id, {around(0, 0)} AS v, {laplacian()} AS lap, {sobel()} AS grad FROM stencil) GROUP BY image_id""",
     "stencil",
 )
 cte(
     "blocking_stats",
-    """SELECT image_id, COALESCE(j.jumps, 0e0) / (w * h) AS blocking_artifacts FROM raster LEFT JOIN (
-      SELECT image_id, sum(abs(m - before)) AS jumps FROM (
-        SELECT image_id, 'row' AS axis, y AS i, max(h) AS span, avg(v) AS m,
-          lag(avg(v)) OVER (PARTITION BY image_id ORDER BY y) AS before FROM gray_px GROUP BY image_id, y
+    """SELECT image_id, (COALESCE(j.by_rows, 0) / CAST(w AS DOUBLE) + COALESCE(j.by_cols, 0) / CAST(h AS DOUBLE)) / (w * h) AS blocking_artifacts
+    FROM raster LEFT JOIN (
+      SELECT image_id, CAST(sum(abs(s - before)) FILTER (axis = 'row') AS DOUBLE) AS by_rows,
+        CAST(sum(abs(s - before)) FILTER (axis = 'col') AS DOUBLE) AS by_cols FROM (
+        SELECT image_id, 'row' AS axis, y AS i, max(h) AS span, sum(v) AS s,
+          lag(sum(v)) OVER (PARTITION BY image_id ORDER BY y) AS before FROM gray_px GROUP BY image_id, y
         UNION ALL
-        SELECT image_id, 'col', x, max(w), avg(v), lag(avg(v)) OVER (PARTITION BY image_id ORDER BY x) FROM gray_px GROUP BY image_id, x)
+        SELECT image_id, 'col', x, max(w), sum(v), lag(sum(v)) OVER (PARTITION BY image_id ORDER BY x) FROM gray_px GROUP BY image_id, x)
       WHERE i % 8 = 0 AND i >= 8 AND i < span - 8 GROUP BY image_id) j USING (image_id)""",
     "raster",
     "gray_px",

@@ -11,6 +11,17 @@ from candor.functions.text import words
 SIMILARITY_BUCKETS = 64
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over all cores when the input has fewer splits than cores.
+
+    A single small file is one split, and the text features above it would run in
+    one task. With at least as many splits as cores, as on any large table, the
+    rows stay where they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def latest(df: DataFrame, n: int, by: str = "created_at", tie: str = "id") -> DataFrame:
     """The newest ``n`` rows; ties go to the smaller id, so the result is stable."""
     return df.orderBy(F.desc(by), F.asc(tie)).limit(n)
