@@ -46,9 +46,19 @@ def write_batches(stream: DataFrame, handle, checkpoint: str, mode: str = "appen
     return _start(writer.outputMode(mode), trigger)
 
 
-def latest_counts(stream: DataFrame, path: str, checkpoint: str, ts: str = "timestamp", by: str = "source_platform", trigger: dict | None = None) -> StreamingQuery:
+def latest_counts(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    ts: str = "timestamp",
+    by: str = "source_platform",
+    late: str = "1 hour",
+    trigger: dict | None = None,
+) -> StreamingQuery:
     """Running hourly counts (update mode), one folder per micro-batch.
 
+    Rows may arrive up to ``late`` behind the newest one; choose it to cover the
+    disorder of the source, since the state of older hours is closed.
     Rewriting a batch folder is idempotent, so a restarted batch leaves no duplicates;
     ``newest_counts`` reads the last value of every hour.
     """
@@ -56,7 +66,7 @@ def latest_counts(stream: DataFrame, path: str, checkpoint: str, ts: str = "time
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return write_batches(hourly_volume(stream, ts, by), save, checkpoint, "update", trigger)
+    return write_batches(hourly_volume(stream, ts, by, late), save, checkpoint, "update", trigger)
 
 
 def newest_counts(spark: SparkSession, path: str, by: str = "source_platform") -> DataFrame:
