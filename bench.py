@@ -34,6 +34,11 @@ HEADLINE = (
 )
 
 
+def half_of_memory() -> int:
+    total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") / 2**30
+    return int(max(2, min(14, total / 2)))
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
@@ -44,7 +49,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "5g"))
+        .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", f"{half_of_memory()}g"))
         .config("spark.sql.session.timeZone", "UTC")
         # one input file per table here: smaller splits let all cores read it
         .config("spark.sql.files.maxPartitionBytes", os.environ.get("BENCH_SPLIT", "4m"))

@@ -42,7 +42,7 @@ def volume_spikes(
     df: DataFrame, id: str = "id", ts: str = "timestamp", min_size: int = config.CAMPAIGN_MIN_SIZE, deviations: float = 2.0
 ) -> tuple[DataFrame, DataFrame]:
     """Hours with more rows than mean + 2 sample deviations of the hourly counts (A3)."""
-    hourly = hourly_counts(df, ts)
+    hourly = cut_lineage(hourly_counts(df, ts))  # one row per hour; read three times below
     level = hourly.agg(F.avg("n").alias("mean"), F.stddev_samp("n").alias("std"))
     mean = level.select("mean").scalar()
     limit = level.select(F.col("mean") + deviations * F.col("std")).scalar()
@@ -68,7 +68,7 @@ def length_patterns(
         F.col(id).cast("string").alias("content_id"), F.length(text).cast("long").alias("len")
     ).withColumn("bucket", length_bucket(F.col("len")))
     n, s, q = F.count("*"), F.sum("len"), F.sum(F.col("len") * F.col("len"))
-    stats = rows.groupBy("bucket").agg(n.alias("campaign_size"), s.alias("s"), q.alias("q"))
+    stats = cut_lineage(rows.groupBy("bucket").agg(n.alias("campaign_size"), s.alias("s"), q.alias("q")))
     # n*q - s*s in decimals: exact, so equal lengths give a deviation of exactly 0
     wide = lambda c: F.col(c).cast("decimal(38,0)")
     std = F.sqrt((wide("campaign_size") * wide("q") - wide("s") * wide("s")).cast("double")) / F.col("campaign_size")
@@ -130,7 +130,7 @@ def temporal_patterns(
     All rows of the hour belong to the campaign. The similar pairs are counted
     inside the blocks, not listed.
     """
-    hourly = hourly_counts(df, ts).where(F.col("n") >= min_size)
+    hourly = cut_lineage(hourly_counts(df, ts).where(F.col("n") >= min_size))
     busy = lookup(
         df.select(id, vector, hour_of(ts).alias("hour")), hourly.select("hour", F.col("n").alias("weight")), ["hour"], "weight"
     )
@@ -193,7 +193,8 @@ def cross_platform(
         .where(F.col("matches") >= min_matches)
         .select(key.alias("campaign_key"), "platform_1", "platform_2", "campaign_size", "matches")
     )
-    flagged = ordered.join(found.select("platform_1", "platform_2", "campaign_key"), ["platform_1", "platform_2"]).select(
+    named = found.select("platform_1", "platform_2", "campaign_key", F.col("campaign_size").alias("weight"))
+    flagged = lookup(ordered, named, ["platform_1", "platform_2"], "weight").select(
         "platform", "vkey", "copies", "campaign_key"
     )
     ids = members.select(F.col("id").alias("content_id"), "platform", "vkey")
@@ -224,7 +225,7 @@ def multimodal(
     """Hours with at least two texts and two images (J6); members carry their kind."""
     t = hourly_counts(texts, ts).withColumnRenamed("n", "texts").where(F.col("texts") >= min_rows)
     i = hourly_counts(images, ts).withColumnRenamed("n", "images").where(F.col("images") >= min_rows)
-    found = t.join(i, "hour").select(
+    found = cut_lineage(t.join(i, "hour")).select(
         F.concat(F.lit("multimodal_"), hour_text()).alias("campaign_key"),
         "hour",
         (F.col("texts") + F.col("images")).alias("campaign_size"),

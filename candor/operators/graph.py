@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candor import config
-from candor.operators.skew import lookup
+from candor.operators.skew import balanced_join, lookup
 from candor.session import cut_lineage
 
 
@@ -104,9 +104,8 @@ def clustering_coefficients(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     )
     ahead = directed.groupBy("a").agg(F.collect_list("b").alias("next"))
     closed = (
-        directed.join(ahead, "a")
-        .withColumnRenamed("next", "from_a")
-        .join(ahead.select(F.col("a").alias("b"), F.col("next").alias("from_b")), "b")
+        balanced_join(directed, ahead.select(F.col("a").alias("b"), F.col("next").alias("from_b")), ["b"])
+        .join(ahead.withColumnRenamed("next", "from_a"), "a")
         .select("a", "b", F.array_intersect("from_a", "from_b").alias("common"))
         .where(F.size("common") > 0)
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candor.operators.skew import lookup
+from candor.operators.skew import balanced_join, lookup
 from candor.session import cut_lineage
 
 
@@ -90,12 +90,12 @@ def overlap_set_pairs(sets: DataFrame, min_ratio: float = 0.5, posting: int = 2_
         .where("hits >= needed")
         .select("key_1", "key_2")
     )
+    candidates = cut_lineage(candidates)
     one = sized.select(F.col("first_id").alias("key_1"), F.col("tokens").alias("t1"))
     two = sized.select(F.col("first_id").alias("key_2"), F.col("tokens").alias("t2"))
     shared = F.size(F.array_intersect("t1", "t2"))
     return (
-        candidates.join(one, "key_1")
-        .join(two, "key_2")
+        balanced_join(balanced_join(candidates, one, ["key_1"]), two, ["key_2"])
         .select("key_1", "key_2", (shared / F.size("t1")).alias("word_overlap_ratio"))
         .where(F.col("word_overlap_ratio") > min_ratio)
     )
@@ -124,8 +124,7 @@ def _top_pairs(found: DataFrame, members: DataFrame, sets: DataFrame, k: int) ->
     one = smallest.select(F.col("key").alias("key_1"), F.col("id").alias("content_id_1"))
     two = sets.select(F.col("key").alias("key_2"), "last_id", "copies")
     firsts = cut_lineage(
-        found.join(two, "key_2")
-        .join(one, "key_1")
+        balanced_join(balanced_join(found, two, ["key_2"]), one, ["key_1"])
         .where("content_id_1 < last_id")
         .select("word_overlap_ratio", "content_id_1", "key_2", "copies")
     )

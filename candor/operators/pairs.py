@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from candor import config
 from candor.functions.vectors import cosine
 from candor.operators import blocks
-from candor.operators.skew import lookup
+from candor.operators.skew import balanced_join, lookup, small_enough
 from candor.session import cut_lineage
 
 
@@ -74,8 +74,7 @@ def expand_pairs(members: DataFrame, pairs: DataFrame, threshold: float, strict:
     one = chunks.select(F.col("rep").alias("rep_1"), F.col("ids").alias("ids_1"))
     two = chunks.select(F.col("rep").alias("rep_2"), F.col("ids").alias("ids_2"))
     across = (
-        pairs.join(one, "rep_1")
-        .join(two, "rep_2")
+        balanced_join(cut_lineage(balanced_join(cut_lineage(pairs), one, ["rep_1"])), two, ["rep_2"])
         .select("similarity_score", F.explode("ids_1").alias("a"), "ids_2")
         .select("similarity_score", "a", F.explode("ids_2").alias("b"))
     )
@@ -153,16 +152,13 @@ def suspicious_ids(pairs: DataFrame) -> DataFrame:
 
 
 def _query_blocks(queries: DataFrame, block: int):
-    """Query vectors in blocks of at most ``block`` rows, fetched one block at a time."""
-    ids, vectors = [], []
-    for row in queries.select("query_id", "query").toLocalIterator():
-        ids.append(row["query_id"])
-        vectors.append(row["query"])
-        if len(ids) == block:
-            yield ids, vectors
-            ids, vectors = [], []
-    if ids:
-        yield ids, vectors
+    """Ids and vectors of the queries, ``block`` at a time; their number is checked first."""
+    if not small_enough(queries, config.MAX_QUERIES):
+        raise ValueError(f"more than {config.MAX_QUERIES} queries: join the two sets with similar_pairs instead")
+    rows = queries.select("query_id", "query").collect()
+    for start in range(0, len(rows), block):
+        part = rows[start : start + block]
+        yield [r["query_id"] for r in part], [r["query"] for r in part]
 
 
 def _cosines(batch: pd.DataFrame, unit: np.ndarray) -> np.ndarray:

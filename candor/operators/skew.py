@@ -13,11 +13,6 @@ def small_enough(df: DataFrame, rows: int = config.BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def checked_broadcast(df: DataFrame, rows: int = config.BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only after counting it; leave it to a shuffle otherwise."""
-    return F.broadcast(df) if small_enough(df, rows) else df
-
-
 def lookup(
     rows: DataFrame,
     table: DataFrame,
@@ -43,3 +38,33 @@ def lookup(
     return rows.join(heavy.drop(weight), on).unionByName(
         rows.join(heavy.select(*on), on, "left_anti").join(light.drop(weight), on)
     )
+
+
+def balanced_join(
+    rows: DataFrame,
+    table: DataFrame,
+    on: list[str],
+    heavy_keys: int = config.HEAVY_KEYS,
+    small: int = config.BROADCAST_ROWS,
+    salts: int = 64,
+) -> DataFrame:
+    """Join ``rows`` (materialised, any number per key) with ``table`` on ``on``.
+
+    The row counts per key are taken from ``rows``. The table rows of heavy keys
+    are broadcast if a count shows that they are few; otherwise their key is
+    salted: the rows are spread over ``salts`` parts and the table rows repeated.
+    """
+    total = rows.count()
+    if total <= small:
+        return rows.join(table, on)
+    heavy = rows.groupBy(*on).count().where(F.col("count") > total / heavy_keys).select(*on)
+    heavy = F.broadcast(heavy)
+    hot_rows, hot_table = rows.join(heavy, on, "left_semi"), table.join(heavy, on, "left_semi")
+    if small_enough(hot_table, small):
+        hot = hot_rows.join(F.broadcast(hot_table), on)
+    else:
+        others = [c for c in rows.columns if c not in on]
+        part = F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int")
+        repeated = hot_table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        hot = hot_rows.withColumn("_salt", part).join(repeated, [*on, "_salt"]).drop("_salt")
+    return hot.unionByName(rows.join(heavy, on, "left_anti").join(table, on))

@@ -23,6 +23,15 @@ def test_lookup_heavy_path_equals_plain_join(spark):
     assert heavy == plain and len(heavy) == 1000
 
 
+@pytest.mark.parametrize("small", [0, 10])
+def test_balanced_join_equals_plain_join(spark, small):
+    rows = spark.range(600).select(F.col("id"), F.when(F.col("id") < 400, 0).otherwise(F.col("id") % 30).alias("k"))
+    table = spark.range(90).select((F.col("id") % 30).alias("k"), F.col("id").alias("t"))
+    plain = sorted(map(tuple, rows.join(table, "k").select("k", "id", "t").collect()))
+    got = skew.balanced_join(rows, table, ["k"], heavy_keys=10, small=small).select("k", "id", "t").collect()
+    assert sorted(map(tuple, got)) == plain
+
+
 def test_intervals_equal_brute_force(spark):
     rng = np.random.default_rng(2)
     rows, times = [], {}

@@ -219,6 +219,13 @@ def test_search_equals_brute_force_over_query_blocks(spark):
         ]
 
 
+def test_search_checks_the_number_of_queries(spark, monkeypatch):
+    df = frame(spark, sample(n=6, copies=1))
+    monkeypatch.setattr(pairs.config, "MAX_QUERIES", 5)
+    with pytest.raises(ValueError):
+        pairs.find_similar(df.selectExpr("content_id as query_id", "embedding as query"), df)
+
+
 def test_search_treats_odd_vectors_as_dissimilar(spark):
     rows = [("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", [1.0]), ("d", None)]
     df = spark.createDataFrame(rows, "content_id string, embedding array<double>")
