@@ -28,10 +28,9 @@ def distinct_token_sets(df: DataFrame, id: str, text: str) -> tuple[DataFrame, D
     return named, sets.withColumn("key", F.col("first_id"))
 
 
-def frequent_tokens(sets: DataFrame, limit: int = 100_000) -> DataFrame:
+def frequent_tokens(postings: DataFrame, limit: int = 100_000) -> DataFrame:
     """Tokens above 1/``limit`` of all postings: at most ``limit`` rows."""
-    counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    counts = cut_lineage(counts)
+    counts = cut_lineage(postings.groupBy("token").agg(F.count("*").alias("df")))
     total = counts.agg(F.sum("df")).first()[0] or 0
     return counts.where(F.col("df") > total / limit)
 
@@ -42,22 +41,22 @@ def overlap_set_pairs(sets: DataFrame, min_ratio: float = 0.5, posting: int = 2_
     Exact prefix filter with a count. At least k + 1 tokens must be shared, with
     k = floor(min_ratio * |A|). All but 0.8 k tokens of A are probed, the rarest
     first; the rest can supply at most 0.8 k shared tokens, so a pair with fewer
-    than k + 1 - 0.8 k probe hits is out without being looked at. Tokens are
-    ranked by frequency where it matters (the broadcast frequent ones, at most
+    than k + 1 - 0.8 k probe hits is out without being looked at. Hits are counted
+    on token hashes, where a collision can only add a candidate; the ratio comes
+    from the tokens themselves. Tokens are ranked by frequency where it matters (the broadcast frequent ones, at most
     100 000) and by hash below that. Posting lists above ``posting`` rows are split
     over salts on one side and replicated on the other.
     """
-    frequent = F.broadcast(frequent_tokens(sets))
     sized = sets.withColumn("size", F.size("tokens"))
-    postings = (
-        sized.select("first_id", "last_id", "copies", "size", F.explode("tokens").alias("token"))
-        .join(frequent, "token", "left")
-        .withColumn("df", F.coalesce("df", F.lit(0)).cast("long"))
+    hashed = F.explode(F.transform("tokens", lambda t: F.xxhash64(t))).alias("token")
+    postings = sized.select("first_id", "last_id", "copies", "size", hashed)
+    frequent = F.broadcast(frequent_tokens(postings))
+    postings = cut_lineage(
+        postings.join(frequent, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)).cast("long"))
     )
-    postings = cut_lineage(postings.select("first_id", "last_id", "copies", "size", "token", "df"))
     required = F.floor(F.col("size") * min_ratio)
     rest = F.floor(required * 0.8)
-    ranked = F.array_sort(F.collect_list(F.struct("df", F.xxhash64("token").alias("h"), "token")))
+    ranked = F.sort_array(F.collect_list(F.struct("df", "token")))
     probes = (
         postings.groupBy("first_id", "size", "copies")
         .agg(ranked.alias("ts"))
