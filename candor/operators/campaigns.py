@@ -61,12 +61,21 @@ def length_bucket(length: Column) -> Column:
 
 
 def length_patterns(
-    df: DataFrame, id: str = "id", text: str = "content", min_size: int = config.CAMPAIGN_MIN_SIZE, limit: float = 0.1
+    df: DataFrame,
+    id: str = "id",
+    text: str = "content",
+    min_size: int = config.CAMPAIGN_MIN_SIZE,
+    limit: float = 0.1,
+    length: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Length buckets whose lengths vary by less than 10 % (A4); at most ten buckets."""
-    rows = df.where(F.col(text).isNotNull()).select(
-        F.col(id).cast("string").alias("content_id"), F.length(text).cast("long").alias("len")
-    ).withColumn("bucket", length_bucket(F.col("len")))
+    """Length buckets whose lengths vary by less than 10 % (A4); at most ten buckets.
+
+    ``length`` names a column with the lengths, where they are known already.
+    """
+    size = F.length(text) if length is None else F.col(length)
+    rows = _ids(df.where(size.isNotNull()), id, size.cast("long").alias("len")).withColumn(
+        "bucket", length_bucket(F.col("len"))
+    )
     n, s, q = F.count("*"), F.sum("len"), F.sum(F.col("len") * F.col("len"))
     stats = cut_lineage(rows.groupBy("bucket").agg(n.alias("campaign_size"), s.alias("s"), q.alias("q")))
     # n*q - s*s in decimals: exact, so equal lengths give a deviation of exactly 0
@@ -95,10 +104,12 @@ def authenticity_patterns(
     """Low-score rows grouped by the first 50 characters of their explanation (A5).
 
     The rule messages allow only a few dozen explanations, whatever the data.
+    ``scores`` are materialised scores of the rows, where the caller has them.
     """
-    scored = scores if scores is not None else score_text(df, id, text)
-    # scored once for both results; the filter below must not pull the features into its condition
-    scored = cut_lineage(scored.select("content_id", "authenticity_score", "explanation"))
+    scored = scores
+    if scored is None:
+        # scored once for both results; the filter below must not pull the features into its condition
+        scored = cut_lineage(score_text(df, id, text).select("content_id", "authenticity_score", "explanation"))
     low = scored.where(is_low(F.col("authenticity_score"))).select(
         "content_id", "authenticity_score", F.substring("explanation", 1, 50).alias("common_explanation")
     )

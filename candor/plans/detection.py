@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candor import config
+from candor.functions.scoring import score_text
 from candor.functions.vectors import hashing_embedding
 from candor.operators import campaigns as rules
 from candor.operators import rollups
 from candor.operators.clusters import semantic_clusters
-from candor.operators.intervals import interval_statistics, regular_groups
+from candor.operators.intervals import interval_statistics, is_regular, regular_groups
 from candor.operators.skew import lookup
-from candor.session import cut_lineage
+from candor.session import cut_lineage, written
 
 # fixed values: stored type per family; the similarity families carry the family name
 CAMPAIGN_TYPES = {
@@ -103,63 +104,93 @@ def stored_rows(
 
 
 def embedded(content: DataFrame) -> DataFrame:
-    """Content with its embedding and without its text, computed once for all families."""
-    return cut_lineage(hashing_embedding(content).select("id", "embedding", "timestamp", "source_platform"))
+    """Embedding, length, time and platform per row, written once; the text is read once."""
+    rows = content.select(
+        F.col("id").cast("string").alias("id"),
+        "content",
+        "timestamp",
+        "source_platform",
+        F.length("content").alias("content_length"),
+    )
+    return written(hashing_embedding(rows).drop("content"), "embedded")
+
+
+def analysed(content: DataFrame) -> DataFrame:
+    """As ``embedded``, with the scores of the rows from the same pass over the text."""
+    kept = ("id", "timestamp", "source_platform", "content_length", "embedding")
+    rows = hashing_embedding(
+        content.select(
+            F.col("id").cast("string").alias("id"),
+            "content",
+            "timestamp",
+            "source_platform",
+            F.length("content").alias("content_length"),
+        )
+    )
+    return written(score_text(rows, keep=kept).drop("features"), "analysed")
 
 
-def coordinated_families(content: DataFrame, vectors: DataFrame | None = None, **limits) -> dict[str, tuple[DataFrame, DataFrame]]:
-    """Semantic, temporal, network and cross-platform findings (R2)."""
-    vectors = embedded(content) if vectors is None else vectors
-    block_rows = limits.get("block_rows", config.BLOCK_ROWS)
-    members, clusters = semantic_clusters(vectors, id="id", block_rows=block_rows)
+def coordinated_families(
+    rows: DataFrame, intervals: DataFrame | None = None, block_rows: int = config.BLOCK_ROWS
+) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """Semantic, temporal, network and cross-platform findings of materialised rows (R2)."""
+    members, clusters = semantic_clusters(rows, id="id", block_rows=block_rows)
     name = F.concat(F.lit("cluster_"), F.col("cluster")).alias("campaign_key")
     return {
         "semantic_campaigns": (
             clusters.select(name, F.col("cluster_size").alias("campaign_size"), "avg_similarity"),
             members.select(name, "content_id"),
         ),
-        "temporal_campaigns": rules.temporal_patterns(vectors, block_rows=block_rows),
-        "network_campaigns": interval_family(content, "network_", factor=0.1),
-        "cross_platform_campaigns": rules.cross_platform(vectors, block_rows=block_rows),
+        "temporal_campaigns": rules.temporal_patterns(rows, block_rows=block_rows),
+        "network_campaigns": interval_family(rows, "network_", 0.1, intervals),
+        "cross_platform_campaigns": rules.cross_platform(rows, block_rows=block_rows),
     }
 
 
-def interval_family(content: DataFrame, prefix: str, factor: float, order: str | None = None, descending: bool = False):
+def interval_family(
+    rows: DataFrame, prefix: str, factor: float, intervals: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Regular posters as a family: network (0.1) and platform behaviour (0.2)."""
-    stats = cut_lineage(interval_statistics(content, factor=factor, order=order, descending=descending))
+    if intervals is None:
+        intervals = cut_lineage(interval_statistics(rows))
+    flagged = intervals.withColumn("is_regular", is_regular(factor))
     name = F.concat(F.lit(prefix), F.col("source_platform")).alias("campaign_key")
-    found = stats.where("is_regular").select(
+    found = flagged.where("is_regular").select(
         name,
         F.col("source_platform").alias("platform"),
         "campaign_size",
         (F.col("avg_interval") / 60).alias("avg_posting_interval_minutes"),
         "posting_regularity",
     )
-    return found, regular_groups(content, stats).select(name, "content_id")
+    return found, regular_groups(rows, flagged).select(name, "content_id")
 
 
-def detect_coordinated(content: DataFrame, min_size: int = config.CAMPAIGN_MIN_SIZE, **limits) -> Detection | None:
+def detect_coordinated(
+    content: DataFrame, min_size: int = config.CAMPAIGN_MIN_SIZE, block_rows: int = config.BLOCK_ROWS
+) -> Detection | None:
     """R2 on a content table; None below ``min_size`` rows."""
     if content.limit(min_size).count() < min_size:
         return None
-    return unify(coordinated_families(content, **limits))
+    return unify(coordinated_families(embedded(content), block_rows=block_rows))
 
 
 def detect_all(
-    content: DataFrame, images: DataFrame | None = None, limit: int | None = None, **limits
+    content: DataFrame, images: DataFrame | None = None, limit: int | None = None, block_rows: int = config.BLOCK_ROWS
 ) -> Detection:
     """Every family over a content table.
 
     The whole table by default; ``limit`` takes the newest rows instead. The text
-    is read twice (embedding and scoring), each time as one narrow projection.
+    is read once; every family works on the columns it needs of the written result.
     """
     if limit is not None:
         content = content.orderBy(F.desc("created_at"), "id").limit(limit)
-    families = coordinated_families(content, **limits)
-    families["authenticity_campaigns"] = rules.authenticity_patterns(content)
-    families["behavioral_campaigns"] = interval_family(content, "platform_behavior_", factor=0.2)
-    families["volume_spikes"] = rules.volume_spikes(content)
-    families["length_pattern_campaigns"] = rules.length_patterns(content)
+    rows = analysed(content)
+    intervals = cut_lineage(interval_statistics(rows))
+    families = coordinated_families(rows, intervals, block_rows)
+    families["authenticity_campaigns"] = rules.authenticity_patterns(rows, scores=rows)
+    families["behavioral_campaigns"] = interval_family(rows, "platform_behavior_", 0.2, intervals)
+    families["volume_spikes"] = rules.volume_spikes(rows)
+    families["length_pattern_campaigns"] = rules.length_patterns(rows, length="content_length")
     if images is not None:
-        families["multimodal_campaigns"] = rules.multimodal(content, images)
+        families["multimodal_campaigns"] = rules.multimodal(rows, images)
     return unify(families)
