@@ -20,6 +20,7 @@ IMAGE_MODEL_VERSION = "image_analyzer_v1.0"
 
 # size bounds
 BLOCK_ROWS = 4096  # rows of one side of a similarity block
+PAIR_BLOCK_ROWS = 2048  # the same where the pairs themselves are emitted, 4 million at most per block pair
 MAX_PIVOTS = 2048  # vectors sampled to partition the unit sphere
 MAX_QUERIES = 10_000  # vectors of one similarity search
 IDS_PER_ROW = 10_000  # ids in one content_ids array

@@ -23,7 +23,7 @@ def similar_groups(
     threshold: float = config.SIMILARITY_THRESHOLD,
     strict: bool = False,
     scope: str | None = None,
-    block_rows: int = config.BLOCK_ROWS,
+    block_rows: int = config.PAIR_BLOCK_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """The similar pairs of ``df``, factorised by identical vectors.
 
@@ -50,7 +50,7 @@ def similar_pairs(
     strict: bool = False,
     scope: str | None = None,
     similarity_type: str = "semantic",
-    block_rows: int = config.BLOCK_ROWS,
+    block_rows: int = config.PAIR_BLOCK_ROWS,
 ) -> DataFrame:
     """Unordered pairs with cosine at or above the threshold, one row per pair of ids.
 
@@ -230,9 +230,12 @@ def top_similar(queries: DataFrame, candidates: DataFrame, k: int = 5, block: in
             best_s = np.zeros((0, len(ids)))
             best_id = np.zeros((0, len(ids)), dtype=object)
             for batch in batches:
-                names = np.repeat(batch["content_id"].to_numpy(dtype=object)[:, None], len(ids), axis=1)
-                s = np.vstack([best_s, _cosines(batch, unit)])
-                n = np.vstack([best_id, names])
+                # rows in id order, so that equal similarities keep the smaller id
+                batch = batch.sort_values("content_id", kind="stable")
+                sims = _cosines(batch, unit)
+                first = np.argsort(-sims, axis=0, kind="stable")[:k]
+                s = np.vstack([best_s, np.take_along_axis(sims, first, 0)])
+                n = np.vstack([best_id, batch["content_id"].to_numpy(dtype=object)[first]])
                 by_name = np.argsort(n.astype(str), axis=0, kind="stable")
                 s, n = np.take_along_axis(s, by_name, 0), np.take_along_axis(n, by_name, 0)
                 order = np.argsort(-s, axis=0, kind="stable")[:k]

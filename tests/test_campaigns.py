@@ -147,6 +147,21 @@ def test_too_few_rows_give_nothing(spark):
     assert detection.detect_coordinated(coordinated(spark).limit(4)) is None
 
 
+def test_empty_content_gives_no_campaigns(spark):
+    found = detection.detect_all(coordinated(spark).limit(0))
+    assert found.campaigns.count() == 0 and found.members.count() == 0
+
+
+def test_detection_with_images_and_limit(spark):
+    content = coordinated(spark)
+    images = content.where("source = 'ai_generated'").select(F.concat(F.lit("img"), "id").alias("id"), "timestamp")
+    found = detection.detect_all(content, images=images)
+    assert found.campaigns.where("campaign_type = 'multimodal_temporal'").count() >= 1
+    kept = {r["content_id"] for r in detection.detect_all(content, limit=9).members.collect()}
+    newest = {r["id"] for r in content.orderBy(F.desc("created_at"), "id").limit(9).collect()}
+    assert kept <= newest
+
+
 def test_large_campaigns_are_stored_in_parts(spark):
     rows = [(f"{h}-{i:03d}", "p", START + timedelta(hours=h)) for h in range(12) for i in range(100 if h == 3 else 5)]
     found = detection.unify({"volume_spikes": campaigns.volume_spikes(posts(spark, rows))})
