@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candor.llm import bpe, language, packing, quality, token_count
+from candor.llm import bpe, jaccard, language, packing, quality, token_count
 from candor.llm.common import held_out, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -50,12 +50,18 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.jaccard_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op2_quality": op2_quality,
     "op5_bpe": op5_bpe,
     "op6_token_count": op6_token_count,
     "op7_packing": op7_packing,
     "op9_language": op9_language,
+    "op10_jaccard": op10_jaccard,
 }
 
 #: None of these can be written in SQL; their tests compare with the libraries, brute force or held-out labels.
