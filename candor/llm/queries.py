@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candor.llm import bpe, jaccard, language, packing, quality, token_count
+from candor.llm import bpe, jaccard, language, packing, permutation_index, quality, rp_forest, token_count
 from candor.llm.common import held_out, table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -20,6 +20,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_BPE)
     ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
@@ -43,6 +47,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, public_tokenizers.path(BYTE_BPE)))
 
 
+def op8_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rp_forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language.fit(docs.where(~held_out()))
@@ -57,9 +66,11 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality": op2_quality,
+    "op3_permutation_index": op3_permutation_index,
     "op5_bpe": op5_bpe,
     "op6_token_count": op6_token_count,
     "op7_packing": op7_packing,
+    "op8_rp_forest": op8_rp_forest,
     "op9_language": op9_language,
     "op10_jaccard": op10_jaccard,
 }
