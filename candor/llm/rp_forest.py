@@ -25,9 +25,9 @@ from candor.operators.skew import lookup
 from candor.session import written
 
 THRESHOLD = 0.93
-TREES = 12
+TREES = 16
 SAMPLE = 32_768  # vectors that the upper levels are fitted on
-SAMPLE_LEAF = 64  # sampled vectors below which a node is not split on the driver
+SAMPLE_LEAF = 16  # sampled vectors that a node of the upper levels keeps at least
 LEAF_ROWS = 1024  # rows of one leaf or block that are compared at once
 SPILL = 0.05  # share of a node's rows on either side of the median that go to both children
 LEVELS = 48  # of a tree at most; larger leaves than LEAF_ROWS are then compared in blocks
@@ -243,7 +243,6 @@ def near_duplicates(
     its rows; ids are taken to be unique otherwise, and repeated rows count as
     others. Other columns named like the new ones are replaced.
     """
-    spark = df.sparkSession
     taken = ["n_links", "component_id", "kept"]
     rest = [F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]
     whole = df.select(*rest, (usable(vector) & F.col(label).isNotNull() & F.col(vec_id).isNotNull()).alias("_ok"))
@@ -252,11 +251,13 @@ def near_duplicates(
     )
     folded = good.groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
     rows = written(folded.select("id", "weight", "label", "vector"), "forest-rows")
+    total = max(rows.count(), 1)
+    leaf = max(SAMPLE_LEAF, leaf_rows * min(SAMPLE, total) // (2 * total))
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()
     forests: dict[int, list] = {}
     for n in {len(r["vector"]) for r in sample}:
         x = unit(np.array([r["vector"] for r in sample if len(r["vector"]) == n], float))
-        forests[n] = [fit_tree(x, t, spill=spill) for t in range(trees)]
+        forests[n] = [fit_tree(x, t, leaf, spill) for t in range(trees)]
     spots = route(rows, forests, trees).withColumn("cell", F.xxhash64("label", F.size("vector"), "tree", "node")).drop("node")
     spots = written(spots, "forest-leaves")
     cells = written(split_large(spots, leaf_rows, spill), "forest-cells")
