@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candor.llm import language, packing, quality
+from candor.llm import jaccard, language, packing, quality
 from candor.llm.common import held_out, table
 from candor.llm.queries import BYTE_BPE
 from candor.session import written
@@ -30,6 +30,14 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return kept.select(*COLUMNS)
 
 
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that chains of near copies connect, the one with the smallest id; rows without an id stay."""
+    found = jaccard.jaccard_components(docs)
+    first = found.where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens with their places in sequences."""
     return packing.pack(packing.pieces(docs, public_tokenizers.path(BYTE_BPE)))
@@ -38,6 +46,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality", good_quality),
     ("language", known_language),
+    ("jaccard", one_of_each_group),
     ("packing", packed),
 ]
 
