@@ -22,7 +22,6 @@ IMAGE_MODEL_VERSION = "image_analyzer_v1.0"
 BLOCK_ROWS = 4096  # rows of one side of a similarity block
 PAIR_BLOCK_ROWS = 2048  # the same where the pairs themselves are emitted, 4 million at most per block pair
 MAX_PIVOTS = 2048  # vectors sampled to partition the unit sphere
-MAX_QUERIES = 10_000  # vectors of one similarity search
-IDS_PER_ROW = 10_000  # ids in one content_ids array
+PASS_QUERIES = 10_000  # vectors of a similarity search that one pass over the candidates broadcasts
 BROADCAST_ROWS = 200_000  # rows of a counted lookup table that may be broadcast
 HEAVY_KEYS = 1_000  # a key above 1/HEAVY_KEYS of the rows is handled as heavy

@@ -236,6 +236,7 @@ def tag_shares(df: DataFrame, lexicon: DataFrame, id: str = "id", text: str = "c
     source = F.col(text) if max_chars is None else F.substring(text, 1, max_chars)
     tokens = df.select(F.col(id), F.explode(words(F.lower(source))).alias("word"))
     counted = tokens.groupBy(id, "word").agg(F.count("*").alias("n"))
+    lexicon = lexicon.groupBy("word").agg(F.collect_set("pos").alias("pos"))  # a word may have several tags
     if lexicon.limit(config.BROADCAST_ROWS + 1).count() <= config.BROADCAST_ROWS:
         tagged = counted.join(F.broadcast(lexicon), "word", "left")
     else:
@@ -248,7 +249,7 @@ def tag_shares(df: DataFrame, lexicon: DataFrame, id: str = "id", text: str = "c
     return tagged.groupBy(id).agg(
         total.alias("tokens"),
         *[
-            (F.coalesce(F.sum(F.when(F.col("pos") == tag, F.col("n"))), F.lit(0)) / total).alias(f"{tag.lower()}_ratio")
+            (F.coalesce(F.sum(F.when(F.array_contains("pos", tag), F.col("n"))), F.lit(0)) / total).alias(f"{tag.lower()}_ratio")
             for tag in tags
         ],
     )

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from candor import config
 from candor.functions.vectors import cosine
 from candor.operators import blocks
-from candor.operators.skew import balanced_join, lookup, small_enough
-from candor.session import cut_lineage
+from candor.operators.skew import balanced_join, lookup
+from candor.session import cut_lineage, written
 
 
 def similar_groups(
@@ -27,6 +27,7 @@ def similar_groups(
 ) -> tuple[DataFrame, DataFrame]:
     """The similar pairs of ``df``, factorised by identical vectors.
 
+    Vectors of different lengths do not qualify as a pair.
     Returns ``(members, pairs)``: ``members`` maps every id to its representative
     ``rep`` (the smallest id with the same vector), ``pairs`` holds the pairs of
     representatives with their copy counts. Together they stand for every pair;
@@ -35,8 +36,12 @@ def similar_groups(
     keep = [scope] if scope else []
     found = cut_lineage(blocks.unit_members(df, id, vector, keep))
     reps = cut_lineage(blocks.representatives(found, scope))
-    placed = blocks.place(reps, threshold, block_rows=block_rows)
-    pairs = blocks.blocked_join(placed, blocks.pair_kernel, blocks.PAIR_SCHEMA, threshold, strict, scope)
+    lengths = [r[0] for r in reps.select(F.size("vec")).distinct().collect()]  # as many as there are embedding models
+    pairs = None
+    for n in lengths or [0]:
+        placed = blocks.place(reps.where(F.size("vec") == n), threshold, block_rows=block_rows)
+        found_here = blocks.blocked_join(placed, blocks.pair_kernel, blocks.PAIR_SCHEMA, threshold, strict, scope)
+        pairs = found_here if pairs is None else pairs.unionByName(found_here)
     keys = ["vkey", *keep]
     table = reps.select("rep", "copies", F.col("copies").alias("weight"), *keys)
     return lookup(found.select("id", *keys), table, keys, "weight").drop(*keys), pairs
@@ -151,14 +156,20 @@ def suspicious_ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("content_id_1", "content_id_2")).alias("content_id")).distinct()
 
 
-def _query_blocks(queries: DataFrame, block: int):
-    """Ids and vectors of the queries, ``block`` at a time; their number is checked first."""
-    if not small_enough(queries, config.MAX_QUERIES):
-        raise ValueError(f"more than {config.MAX_QUERIES} queries: join the two sets with similar_pairs instead")
-    rows = queries.select("query_id", "query").collect()
-    for start in range(0, len(rows), block):
-        part = rows[start : start + block]
-        yield [r["query_id"] for r in part], [r["query"] for r in part]
+def _passes(queries: DataFrame):
+    """Ids and unit vectors of the queries in parts of about PASS_QUERIES rows, each in a broadcast.
+
+    Any number of queries works; only the number of passes over the candidates grows.
+    """
+    total = queries.count()
+    passes = -(-total // config.PASS_QUERIES)
+    rows = queries.select(F.col("query_id").cast("string").alias("id"), F.col("query").cast("array<double>").alias("query"))
+    for i in range(passes):
+        part = rows.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == i).orderBy("id").collect()
+        by_length: dict[int, list] = {}
+        for r in part:
+            by_length.setdefault(len(r["query"] or ()), []).append(r)
+        yield [(np.array([r["id"] for r in rs], dtype=object), _unit([r["query"] or () for r in rs])) for rs in by_length.values()]
 
 
 def _cosines(batch: pd.DataFrame, unit: np.ndarray) -> np.ndarray:
@@ -179,11 +190,17 @@ def _unit(vectors) -> np.ndarray:
 
 
 def _search(queries: DataFrame, candidates: DataFrame, task, schema: str, block: int) -> DataFrame:
-    """Stream the candidates past each block of query vectors; ``task`` sees one partition."""
+    """Stream the candidates past the query vectors; ``task`` sees one partition and ``block`` queries at a time.
+
+    Beyond one pass the candidates are written once, so their embedding is not computed again.
+    """
     rows = candidates.select(F.col("content_id").cast("string").alias("content_id"), "embedding")
+    if queries.count() > config.PASS_QUERIES:
+        rows = written(rows, "candidates")
     out = None
-    for ids, vectors in _query_blocks(queries, block):
-        part = rows.mapInPandas(task(np.array([str(i) for i in ids], dtype=object), _unit(vectors)), schema)
+    for groups in _passes(queries):
+        parts = [(ids[i : i + block], unit[i : i + block]) for ids, unit in groups for i in range(0, len(ids), block)]
+        part = rows.mapInPandas(task(rows.sparkSession.sparkContext.broadcast(parts)), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else rows.sparkSession.createDataFrame([], schema)
 
@@ -200,18 +217,19 @@ def find_similar(
     candidates are read in place, without a shuffle or a join.
     """
 
-    def task(ids, unit):
+    def task(parts):
         def run(batches):
             for batch in batches:
-                sims = _cosines(batch, unit)
-                row, col = np.nonzero(sims >= threshold)
-                yield pd.DataFrame(
-                    {
-                        "query_id": ids[col],
-                        "content_id": batch["content_id"].to_numpy()[row],
-                        "similarity": sims[row, col],
-                    }
-                )
+                for ids, unit in parts.value:
+                    sims = _cosines(batch, unit)
+                    row, col = np.nonzero(sims >= threshold)
+                    yield pd.DataFrame(
+                        {
+                            "query_id": ids[col],
+                            "content_id": batch["content_id"].to_numpy()[row],
+                            "similarity": sims[row, col],
+                        }
+                    )
 
         return run
 
@@ -225,28 +243,25 @@ def top_similar(queries: DataFrame, candidates: DataFrame, k: int = 5, block: in
     carries at most k rows per query and task.
     """
 
-    def task(ids, unit):
+    def task(parts):
         def run(batches):
-            best_s = np.zeros((0, len(ids)))
-            best_id = np.zeros((0, len(ids)), dtype=object)
+            best = [(np.zeros((0, len(ids))), np.zeros((0, len(ids)), dtype=object)) for ids, _ in parts.value]
             for batch in batches:
                 # rows in id order, so that equal similarities keep the smaller id
                 batch = batch.sort_values("content_id", kind="stable")
-                sims = _cosines(batch, unit)
-                first = np.argsort(-sims, axis=0, kind="stable")[:k]
-                s = np.vstack([best_s, np.take_along_axis(sims, first, 0)])
-                n = np.vstack([best_id, batch["content_id"].to_numpy(dtype=object)[first]])
-                by_name = np.argsort(n.astype(str), axis=0, kind="stable")
-                s, n = np.take_along_axis(s, by_name, 0), np.take_along_axis(n, by_name, 0)
-                order = np.argsort(-s, axis=0, kind="stable")[:k]
-                best_s, best_id = np.take_along_axis(s, order, 0), np.take_along_axis(n, order, 0)
-            yield pd.DataFrame(
-                {
-                    "query_id": np.tile(ids, len(best_s)),
-                    "content_id": best_id.ravel(),
-                    "similarity": best_s.ravel(),
-                }
-            )
+                for i, (_, unit) in enumerate(parts.value):
+                    sims = _cosines(batch, unit)
+                    first = np.argsort(-sims, axis=0, kind="stable")[:k]
+                    s = np.vstack([best[i][0], np.take_along_axis(sims, first, 0)])
+                    n = np.vstack([best[i][1], batch["content_id"].to_numpy(dtype=object)[first]])
+                    by_name = np.argsort(n.astype(str), axis=0, kind="stable")
+                    s, n = np.take_along_axis(s, by_name, 0), np.take_along_axis(n, by_name, 0)
+                    order = np.argsort(-s, axis=0, kind="stable")[:k]
+                    best[i] = np.take_along_axis(s, order, 0), np.take_along_axis(n, order, 0)
+            for (ids, _), (s, n) in zip(parts.value, best):
+                yield pd.DataFrame(
+                    {"query_id": np.tile(ids, len(s)), "content_id": n.ravel(), "similarity": s.ravel()}
+                )
 
         return run
 

@@ -126,14 +126,12 @@ def store_embeddings(spark, sf):
 @query(
     "store_campaigns",
     build(
-        """SELECT campaign_id, campaign_type, detection_method, campaign_size, 0e0 AS similarity_score,
-        array_to_string(list_sort(list(content_id)), ',') AS content_ids FROM (
+        """SELECT campaign_id, campaign_type, detection_method, campaign_size, 0e0 AS similarity_score, content_id FROM (
           SELECT 'volume_spike_' || strftime(hour, '%Y%m%d_%H') AS campaign_id, 'volume_spike' AS campaign_type,
             'volume_spikes' AS detection_method, n AS campaign_size, id AS content_id FROM post_hours JOIN post_spikes USING (hour)
           UNION ALL
           SELECT 'length_pattern_' || bucket, 'length_pattern', 'length_pattern_campaigns', n, id FROM turn_lengths l
-            JOIN turn_length_patterns p ON p.bucket = CAST(floor(l.len / (l.len * 0.1e0 + 10e0)) AS INTEGER))
-        GROUP BY 1, 2, 3, 4""",
+            JOIN turn_length_patterns p ON p.bucket = CAST(floor(l.len / (l.len * 0.1e0 + 10e0)) AS INTEGER))""",
         "post_hours",
         "post_spikes",
         "turn_lengths",
@@ -149,15 +147,15 @@ def store_campaigns(spark, sf):
             "length_pattern_campaigns": rules.length_patterns(turns),
         }
     )
-    s.append("campaigns", detection.stored_rows(found))
-    return s.read("campaigns").select(
+    s.insert_campaigns(detection.stored_rows(found), found.members)
+    heads = s.read("campaigns").select(
         "campaign_id",
         "campaign_type",
         projections.json_field(F.col("metadata"), "$.detection_method").alias("detection_method"),
         "campaign_size",
         "similarity_score",
-        F.array_join("content_ids", ",").alias("content_ids"),
     )
+    return heads.join(s.read("campaign_members"), ["campaign_id", "detection_method"])
 
 
 @query(
@@ -1457,11 +1455,8 @@ def top_campaigns(spark, sf):
 @query(
     "report_lines",
     build(
-        f"""SELECT detection_method, rank, line_no, line FROM (
-        SELECT detection_method, rank, 0 AS line_no, '  ' || rank || '. ' || campaign_id AS line FROM ({_RANKED}) WHERE rank <= 10 UNION ALL
-        SELECT detection_method, rank, 1, '     Size: ' || campaign_size || ' content items' FROM ({_RANKED}) WHERE rank <= 10 UNION ALL
-        SELECT detection_method, rank, 2, '     Avg Authenticity: ' || format('{{:.3f}}', avg_authenticity_score) FROM ({_RANKED})
-          WHERE rank <= 10 AND avg_authenticity_score IS NOT NULL)""",
+        f"""SELECT detection_method, rank, '#' || rank || ' ' || campaign_id || ' | ' || campaign_size || ' items' ||
+          COALESCE(' | authenticity ' || format('{{:.3f}}', avg_authenticity_score), '') AS line FROM ({_RANKED}) WHERE rank <= 10""",
         "post_spikes",
         "auth_patterns",
         "content_gaps",

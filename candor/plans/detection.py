@@ -19,6 +19,7 @@ from candor.session import cut_lineage, written
 
 # fixed values: stored type per family; the similarity families carry the family name
 CAMPAIGN_TYPES = {
+    "similarity_campaigns": "text_similarity",
     "semantic_campaigns": "semantic_campaigns",
     "temporal_campaigns": "temporal_campaigns",
     "network_campaigns": "network_campaigns",
@@ -72,34 +73,27 @@ def unify(families: dict[str, tuple[DataFrame, DataFrame]]) -> Detection:
     return Detection(found, held)
 
 
-def stored_rows(
-    detection: Detection, detected_at: Column | None = None, ids_per_row: int = config.IDS_PER_ROW
-) -> DataFrame:
-    """Rows of the ``campaigns`` table.
+def similarity_family(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups of equal similarity (J3, rows per member) as a family, stored as ``text_similarity``."""
+    named = found.withColumn("campaign_key", F.concat(F.lit("similarity_"), F.col("similarity").cast("string")))
+    heads = named.select("campaign_key", "campaign_size", "avg_similarity").distinct()
+    return heads, named.select("campaign_key", "content_id")
 
-    A campaign is one row with its sorted ids; one above ``ids_per_row`` ids is
-    spread over hashed parts of about that size, numbered in the metadata.
+
+def stored_rows(detection: Detection, detected_at: Column | None = None) -> DataFrame:
+    """Rows of the ``campaigns`` table (S5): one per campaign, whatever its size.
+
+    The ids are the rows of ``campaign_members`` (``detection.members``), since no
+    bound holds for their number; ``content_ids`` is null.
     """
-    parts = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("campaign_size") / ids_per_row))
-    heads = detection.campaigns.withColumn("parts", parts)
-    keys = heads.select("campaign_id", "detection_method", "parts", F.col("campaign_size").alias("weight"))
-    placed = lookup(detection.members, keys, ["campaign_id", "detection_method"], "weight")
-    chunks = (
-        placed.withColumn("part", F.pmod(F.xxhash64("content_id"), F.col("parts")))
-        .groupBy("campaign_id", "detection_method", "part")
-        .agg(F.sort_array(F.collect_list("content_id")).alias("content_ids"))
-    )
-    metadata = F.to_json(
-        F.struct("detection_method", F.col("details"), F.col("part").alias("part"), F.col("parts").alias("parts"))
-    )
-    return chunks.join(heads, ["campaign_id", "detection_method"]).select(
+    return detection.campaigns.select(
         "campaign_id",
-        "content_ids",
+        F.lit(None).cast("array<string>").alias("content_ids"),
         "similarity_score",
         "campaign_size",
         (F.current_timestamp() if detected_at is None else detected_at).alias("detected_at"),
         "campaign_type",
-        metadata.alias("metadata"),
+        F.to_json(F.struct("detection_method", "details")).alias("metadata"),
     )
 
 
@@ -167,10 +161,10 @@ def interval_family(
 
 def detect_coordinated(
     content: DataFrame, min_size: int = config.CAMPAIGN_MIN_SIZE, block_rows: int = config.BLOCK_ROWS
-) -> Detection | None:
-    """R2 on a content table; None below ``min_size`` rows."""
+) -> Detection:
+    """R2 on a content table; below ``min_size`` rows there are no findings."""
     if content.limit(min_size).count() < min_size:
-        return None
+        content = content.limit(0)
     return unify(coordinated_families(embedded(content), block_rows=block_rows))
 
 

@@ -67,6 +67,12 @@ CAMPAIGNS = _table(
     ("metadata", _S, True),
 )
 
+CAMPAIGN_MEMBERS = _table(
+    ("campaign_id", _S, False),
+    ("detection_method", _S, False),
+    ("content_id", _S, False),
+)
+
 CONTENT_SIMILARITY = _table(
     ("content_id_1", _S, False),
     ("content_id_2", _S, False),
@@ -81,5 +87,6 @@ TABLES = {
     "authenticity_scores": AUTHENTICITY_SCORES,
     "embeddings": EMBEDDINGS,
     "campaigns": CAMPAIGNS,
+    "campaign_members": CAMPAIGN_MEMBERS,
     "content_similarity": CONTENT_SIMILARITY,
 }

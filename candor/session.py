@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 def workspace(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local master, where
-    driver and executors share one disk, falls back to a temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``; where that is unset, it is a
+    folder of the session's warehouse, which all executors share as well.
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
@@ -25,15 +24,25 @@ def workspace(spark: SparkSession) -> str:
         return configured
     if current:
         return current
-    if not sc.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="candor-"))
-    return sc.getCheckpointDir()
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir', None).rstrip('/')}/_scratch"
+    sc.setCheckpointDir(folder)
+    return folder
+
+
+def own_folder(spark: SparkSession) -> str:
+    """The part of the workspace that holds this application's intermediate tables."""
+    return f"{workspace(spark).rstrip('/')}/candor-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; frames that read them are then void."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the workspace."""
-    return f"{workspace(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from candor.functions.text import WHITESPACE
+
 
 @dataclass(frozen=True)
 class CorpusSpec:
@@ -94,11 +98,11 @@ def line_items(spark: SparkSession, path: str, text: str = "content") -> DataFra
     per-split counts are ordered globally, one row per split.
     """
     lines = (
-        spark.read.text(path)
+        spark.read.text(path, lineSep="\n")
         .select(
             F.col("_metadata.file_path").alias("file"),
             F.col("_metadata.file_block_start").alias("start"),
-            F.regexp_replace("value", r"^\s+|\s+$", "").alias(text),
+            F.regexp_replace("value", f"^{WHITESPACE}+|{WHITESPACE}+$", "").alias(text),
         )
         .where(F.length(text) > 0)
         .withColumn("pos", F.monotonically_increasing_id())
@@ -118,23 +122,20 @@ def load_images(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     ``images``: image_id, width, height, r, g, b with row-major arrays of 0..255.
     """
     raw = spark.read.format("image").load(path).select("image.*")
-    step = F.col("nChannels")
-    at = lambda i, c: F.conv(
-        F.substring(F.col("bytes"), (i * step + F.least(step - 1, F.lit(c))) * 2 + 1, F.lit(2)), 16, 10
-    ).cast("int")
-    cells = F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)
-    channel = lambda c: F.transform(cells, lambda i: at(i, c))
+
+    @F.pandas_udf("r array<int>, g array<int>, b array<int>")
+    def channels(data: pd.Series, height: pd.Series, width: pd.Series, step: pd.Series) -> pd.DataFrame:
+        found = []
+        for raster, h, w, c in zip(data, height, width, step):
+            cells = np.frombuffer(raster, np.uint8, h * w * c).reshape(-1, c)  # stored as BGR or gray
+            found.append([cells[:, min(c - 1, 2)], cells[:, 1 if c >= 3 else 0], cells[:, 0]])
+        return pd.DataFrame(found, columns=["r", "g", "b"])
+
     images = (
         raw.where("height > 0")
-        .withColumn("bytes", F.hex("data"))
+        .withColumn("_c", channels("data", "height", "width", "nChannels"))
         .select(
-            F.concat(F.lit("img_"), F.substring(F.md5("origin"), 1, 8)).alias("image_id"),
-            "origin",
-            "width",
-            "height",
-            channel(2).alias("r"),
-            F.when(step >= 3, channel(1)).otherwise(channel(0)).alias("g"),
-            channel(0).alias("b"),
+            F.concat(F.lit("img_"), F.substring(F.md5("origin"), 1, 8)).alias("image_id"), "origin", "width", "height", "_c.r", "_c.g", "_c.b"
         )
     )
     return images, raw.where("height < 0").select("origin")

@@ -132,6 +132,11 @@ class ContentStore:
     def insert_embeddings(self, rows: DataFrame) -> None:
         self.append("embeddings", embedding_rows(rows))
 
+    def insert_campaigns(self, campaigns: DataFrame, members: DataFrame) -> None:
+        """One row per campaign and one per campaign and content id."""
+        self.append("campaigns", campaigns)
+        self.append("campaign_members", members)
+
     def text_content(self, limit: int = 1000, source: str | None = None) -> DataFrame:
         rows = self.read("text_content")
         return latest(rows if source is None else rows.where(F.col("source") == source), limit)

@@ -19,14 +19,9 @@ def _start(writer, trigger: dict | None) -> StreamingQuery:
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def hourly_volume(stream: DataFrame, ts: str = "timestamp", by: str = "source_platform", late: str = "1 hour") -> DataFrame:
-    """Rows per hour and platform; an hour is emitted once the watermark passes it."""
-    return (
-        stream.withWatermark(ts, late)
-        .groupBy(F.window(ts, "1 hour").alias("w"), by)
-        .agg(F.count("*").alias("n"))
-        .select(F.col("w.start").alias("hour"), by, "n")
-    )
+def hourly_volume(rows: DataFrame, ts: str = "timestamp", by: str = "source_platform") -> DataFrame:
+    """Rows per hour and platform of a batch or micro-batch."""
+    return rows.groupBy(F.date_trunc("hour", ts).alias("hour"), by).agg(F.count("*").alias("n"))
 
 
 def score_stream(stream: DataFrame, id: str = "id", text: str = "content") -> DataFrame:
@@ -52,26 +47,24 @@ def latest_counts(
     checkpoint: str,
     ts: str = "timestamp",
     by: str = "source_platform",
-    late: str = "1 hour",
     trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Running hourly counts (update mode), one folder per micro-batch.
+    """Hourly counts of every micro-batch, one folder each.
 
-    Rows may arrive up to ``late`` behind the newest one; choose it to cover the
-    disorder of the source, since the state of older hours is closed.
-    Rewriting a batch folder is idempotent, so a restarted batch leaves no duplicates;
-    ``newest_counts`` reads the last value of every hour.
+    No hour is ever closed: a late row is counted in the batch that brings it, and
+    no state is kept. Rewriting a batch folder is idempotent, so a restarted batch
+    leaves no duplicates; ``newest_counts`` adds the batches up.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        hourly_volume(batch, ts, by).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return write_batches(hourly_volume(stream, ts, by, late), save, checkpoint, "update", trigger)
+    return write_batches(stream, save, checkpoint, "append", trigger)
 
 
 def newest_counts(spark: SparkSession, path: str, by: str = "source_platform") -> DataFrame:
     rows = spark.read.option("basePath", path).parquet(path)
-    return rows.groupBy("hour", by).agg(F.max_by("n", "batch").alias("n"))
+    return rows.groupBy("hour", by).agg(F.sum("n").alias("n"))
 
 
 def spike_alerts(counts: DataFrame, baseline: DataFrame, min_size: int = config.CAMPAIGN_MIN_SIZE, deviations: float = 2.0) -> DataFrame:

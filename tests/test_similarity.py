@@ -61,12 +61,6 @@ def test_zero_null_and_strict(spark):
     assert pairs.similar_pairs(df, threshold=1.0, strict=True).count() == 0
 
 
-def test_unequal_lengths_are_refused(spark):
-    df = spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0])], "content_id string, embedding array<double>")
-    with pytest.raises(ValueError):
-        pairs.similar_pairs(df)
-
-
 def test_scope_restricts_pairs(spark):
     v = sample()
     df = frame(spark, v).withColumn("content_type", F.when(F.col("content_id").cast("int") % 2 == 0, "x").otherwise("y"))
@@ -219,11 +213,26 @@ def test_search_equals_brute_force_over_query_blocks(spark):
         ]
 
 
-def test_search_checks_the_number_of_queries(spark, monkeypatch):
-    df = frame(spark, sample(n=6, copies=1))
-    monkeypatch.setattr(pairs.config, "MAX_QUERIES", 5)
-    with pytest.raises(ValueError):
-        pairs.find_similar(df.selectExpr("content_id as query_id", "embedding as query"), df)
+def test_search_with_more_queries_than_one_pass(spark, monkeypatch):
+    df = frame(spark, sample(n=60, copies=3))
+    queries = df.selectExpr("content_id as query_id", "embedding as query")
+    both = lambda: [sorted(map(tuple, f.collect())) for f in (pairs.find_similar(queries, df, 0.8), pairs.top_similar(queries, df, k=3))]
+    whole = both()
+    monkeypatch.setattr(pairs.config, "PASS_QUERIES", 7)
+    assert both() == whole and len(whole[1]) == 180
+
+
+def test_more_than_ten_thousand_queries(spark):
+    many = spark.range(10_500).selectExpr("cast(id as string) as query_id", "array(1D, cast(id as double)) as query")
+    one = spark.createDataFrame([("c", [1.0, 0.0])], "content_id string, embedding array<double>")
+    assert pairs.find_similar(many, one, threshold=-1.0).count() == 10_500
+
+
+def test_vectors_of_two_lengths_do_not_meet(spark):
+    rows = [("a", [1.0, 0.0], "t"), ("b", [1.0, 0.1], "t"), ("c", [1.0, 0.0, 0.0], "t"), ("d", [1.0, 0.1, 0.0], "t")]
+    df = spark.createDataFrame(rows, "content_id string, embedding array<double>, content_type string")
+    got = {(r["content_id_1"], r["content_id_2"]) for r in pairs.sql_similar_pairs(df).collect()}
+    assert got == {("a", "b"), ("c", "d")}
 
 
 def test_search_treats_odd_vectors_as_dissimilar(spark):

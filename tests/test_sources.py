@@ -93,26 +93,36 @@ def test_corpus_bounds_are_strict(spark):
     assert got[0]["metadata"] == '{"score":1,"parent":2,"type":"comment"}'
 
 
-def fake_session(master, configured=None, current=None):
+def fake_session(configured=None, current=None):
     """The few calls ``workspace`` makes, with fixed answers."""
     chosen = []
     context = SimpleNamespace(
-        master=master,
         getConf=lambda: SimpleNamespace(get=lambda key, default: configured),
         getCheckpointDir=lambda: chosen[-1] if chosen else current,
         setCheckpointDir=chosen.append,
     )
-    return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: configured)), chosen
+    return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: "s3://house/" if "warehouse" in key else configured)), chosen
 
 
 def test_workspace_uses_the_folder_the_cluster_names():
-    spark, chosen = fake_session("yarn", configured="hdfs:///shared")
+    spark, chosen = fake_session(configured="hdfs:///shared")
     assert session.workspace(spark) == "hdfs:///shared" and chosen == ["hdfs:///shared"]
-    spark, chosen = fake_session("yarn", current="hdfs:///set")
+    spark, chosen = fake_session(current="hdfs:///set")
     assert session.workspace(spark) == "hdfs:///set" and not chosen
-    with pytest.raises(RuntimeError):
-        session.workspace(fake_session("yarn")[0])
-    assert "candor-" in session.workspace(fake_session("local[2]")[0])
+    spark, chosen = fake_session()
+    assert session.workspace(spark) == "s3://house/_scratch" and chosen == ["s3://house/_scratch"]
+
+
+def test_release_removes_own_tables_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "own_folder", lambda spark: str(tmp_path / "own"))
+    kept = session.written(spark.range(3).toDF("a"), "kept")
+    assert kept.count() == 3
+    other = session.workspace(spark).rstrip("/") + "/other"
+    spark.range(2).write.mode("overwrite").parquet(other)
+    session.release(spark)
+    assert spark.read.parquet(other).count() == 2
+    with pytest.raises(Exception):
+        kept.count()
 
 
 def test_streamed_scores_and_volume_equal_batch(spark, tmp_path):
@@ -129,20 +139,21 @@ def test_streamed_scores_and_volume_equal_batch(spark, tmp_path):
     assert pick(spark.read.parquet(out)) == pick(scoring.score_text(batch))
 
     out, state = monitors.scratch(spark, "volume")
-    monitors.run_to_end(monitors.latest_counts(stream, out, state, late="12 hours"))
+    monitors.run_to_end(monitors.latest_counts(stream, out, state))
     got = {(r["hour"], r["source_platform"]): r["n"] for r in monitors.newest_counts(spark, out).collect()}
     hours = batch.groupBy(F.date_trunc("hour", "timestamp").alias("h"), "source_platform").count().collect()
     assert got == {(r["h"], r["source_platform"]): r["count"] for r in hours}
 
 
-def test_closed_hours_only_in_append_mode(spark, tmp_path):
+def test_rows_of_any_lateness_are_counted(spark, tmp_path):
     schema = "id string, source_platform string, timestamp timestamp"
-    for n, hour in enumerate((1, 1, 2, 9)):
-        spark.createDataFrame([(str(n), "p", datetime(2024, 1, 1, hour, n))], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for n, (day, hour) in enumerate(((5, 1), (9, 2), (1, 7), (9, 2), (1, 7), (5, 1), (5, 1))):
+        spark.createDataFrame([(str(n), "p", datetime(2024, 1, day, hour, n))], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out, state = monitors.scratch(spark, "closed")
-    monitors.run_to_end(monitors.write_parquet(monitors.hourly_volume(stream), out, state))
-    assert {(r["hour"].hour, r["n"]) for r in spark.read.parquet(out).collect()} == {(1, 2), (2, 1)}
+    out, state = monitors.scratch(spark, "late")
+    monitors.run_to_end(monitors.latest_counts(stream, out, state))
+    got = {(r["hour"].day, r["hour"].hour): r["n"] for r in monitors.newest_counts(spark, out).collect()}
+    assert got == {(5, 1): 3, (9, 2): 2, (1, 7): 2}
 
 
 def test_derived_columns_use_python_words(spark):
