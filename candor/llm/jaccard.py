@@ -6,10 +6,11 @@ documents share some of the first few shingles of each (a prefix). So
 
 1. every document sends its prefix to be counted; shingles that only one set has
    drop out, and so do documents with too few shared ones;
-2. the others are partitioned into groups around their commonest shared shingle,
-   and a matrix of shingle and group holds each group's union of shingles;
-3. two groups are opened only if their unions overlap enough to bound a link, and
-   opened groups meet in blocks of bounded size, where whole sets are compared.
+2. the others are partitioned into groups of similar size around their commonest
+   shared shingle, and a matrix of shingle and group holds each group's union;
+3. a set opens another group only if its overlap with the group's union allows a
+   link, and sets that open each other's groups meet in blocks of bounded size,
+   where whole sets are compared.
 
 Members of a large group that link to its leader are one component already and
 need not meet each other. Blocks give a spanning forest of their links, never all
@@ -27,9 +28,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candor.llm.common import map_texts, slices, without
+from candor.llm.common import map_texts, slices
 from candor.operators.graph import connected_components
-from candor.operators.skew import lookup
+from candor.operators.skew import lookup, small_enough
 from candor.session import written
 
 WORDS = 5
@@ -38,8 +39,8 @@ SEPARATORS = (0x20, *range(0x09, 0x0E))
 LOCAL_REPEATS = 3  # sets of one slice that hold a shingle before it is reported as common
 COMMON = 100_000  # common shingles that are broadcast to order by (1.6 MB); the order only steers the cost
 BUCKET = 100_000  # prefix entries that one task counts at a time
-BLOCK_ROWS = 512
-BLOCK_BYTES = 2 << 20
+BLOCK_ROWS = 1024
+BLOCK_BYTES = 4 << 20
 FILTER_BITS = 1 << 26  # of the filter of candidate sets, at most (8 MB)
 WIDE = 16  # a shingle of as many sets of a block is counted by a matrix product
 
@@ -133,8 +134,8 @@ def prefix(shingles: np.ndarray, common: np.ndarray, counts: np.ndarray, percent
     return first
 
 
-def sketch(docs: DataFrame, text: str, words: int) -> DataFrame:
-    """Every row with its set's size and digest (``kind``); a slice's first row reports its common shingles."""
+def sketch(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
+    """Every row's id with its set's size and digest (``kind``); a slice's first row reports its common shingles."""
 
     def make():
         def work(texts):
@@ -157,7 +158,7 @@ def sketch(docs: DataFrame, text: str, words: int) -> DataFrame:
         T.StructField("_key", T.LongType()),
         T.StructField("_common", T.BinaryType()),
     ]
-    return map_texts(docs, text, make, fields)
+    return map_texts(docs, text, make, fields, keep=[doc_id])
 
 
 def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -377,17 +378,51 @@ def to_leader(rows: DataFrame, words: int, percent: int) -> DataFrame:
     return rows.select("kind", "text", "leader", "leader_text").mapInArrow(task, "kind string, leader string")
 
 
-def link_groups(member: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """(g1, g2), g1 < g2: groups whose unions of prefix shingles overlap enough for a link across."""
-    shape = member.groupBy("g").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    union = prefixes.join(member.select("key", "g").distinct(), "key").select("shingle", "g").distinct()
-    one, two = (union.select("shingle", F.col("g").alias(f"g{i}")) for i in (1, 2))
-    met = one.join(two, "shingle").where("g1 < g2").groupBy("g1", "g2").agg(F.count("*").alias("overlap"))
-    for i in (1, 2):
-        met = met.join(shape.select(*[F.col(c).alias(f"{c}{i}") for c in ("g", "low", "high")]), f"g{i}")
-    enough = F.col("overlap") >= F.least(need(F.col("low1")), need(F.col("low2")))
-    sizes = (100 * F.col("high1") >= percent * F.col("low2")) & (100 * F.col("high2") >= percent * F.col("low1"))
-    return met.where(enough & sizes).select("g1", "g2")
+def opened(member: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """(kind, g, other, bytes): sets and the other groups that may hold a set they link to.
+
+    A group's union of prefix shingles has to share as many with the set as a link
+    asks for, the sizes have to fit, and some set of that group has to open this one.
+    """
+    shape = member.groupBy(F.col("g").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    held = prefixes.join(member.select("kind", "key", "n", "g", "bytes"), "key").select("shingle", "kind", "n", "g", "bytes")
+    union = held.select("shingle", F.col("g").alias("other")).distinct()
+    met = held.join(union, "shingle").where("g <> other")
+    met = met.groupBy("kind", "g", "other", "n", "bytes").agg(F.count("*").alias("overlap"))
+    enough = F.col("overlap") >= need(F.ceil(F.col("n") * percent / 100))
+    met = met.where(enough).join(shape, "other")
+    met = met.where((100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low")))
+    met = written(met.select("kind", "g", "other", "bytes"), "jaccard-opened")
+    back = met.select(F.col("other").alias("g"), F.col("g").alias("other")).distinct()
+    return met.join(back, ["g", "other"], "left_semi")
+
+
+def meetings(grouped: DataFrame, across: DataFrame) -> DataFrame:
+    """(unit, kind): units of at most two blocks in which all sets that have to be compared meet.
+
+    ``grouped`` has (kind, g, star, bytes); the sets of a group meet each other, but
+    for those with ``star`` 1, which are connected. ``across`` as from ``opened``.
+    """
+    low, high = F.least("g", "other"), F.greatest("g", "other")
+    rows = grouped.select(F.xxhash64("g").alias("u"), F.lit(False).alias("across"), F.lit(0).alias("side"), "star", "kind", "bytes").unionByName(
+        across.select(
+            F.xxhash64(low, high).alias("u"), F.lit(True).alias("across"), (F.col("g") == high).cast("int").alias("side"), F.lit(0).alias("star"), "kind", "bytes"
+        )
+    )
+    sides = rows.groupBy("u", "across", "side", "star").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes"))
+    parts = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    meeting = F.sum("rows").over(Window.partitionBy("u")) > 1  # of at most two sides
+    sides = written(sides.withColumn("parts", parts).withColumn("meeting", meeting).where("meeting"), "jaccard-sides")
+    blocks = sides.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    b = F.struct("side", "star", "part")
+    one, two = blocks.select("u", "across", b.alias("one")), blocks.select("u", b.alias("two"))
+    both = one.join(two, "u")
+    inner = (F.col("one") <= F.col("two")) & ~((F.col("one.star") == 1) & (F.col("two.star") == 1))
+    both = both.where(F.when(F.col("across"), F.col("one.side") < F.col("two.side")).otherwise(inner))
+    units = both.select(F.xxhash64("u", "one", "two").alias("unit"), "u", F.explode(F.array_distinct(F.array("one", "two"))).alias("b"))
+    placed = rows.join(sides.select("u", "side", "star", "parts"), ["u", "side", "star"])
+    placed = placed.select("u", F.struct("side", "star", F.pmod(F.xxhash64("kind"), "parts").cast("int").alias("part")).alias("b"), "kind")
+    return units.join(placed, ["u", "b"]).select("unit", "kind")
 
 
 def links(docs: DataFrame, rows: DataFrame, text: str, words: int, percent: int) -> DataFrame:
@@ -401,66 +436,47 @@ def links(docs: DataFrame, rows: DataFrame, text: str, words: int, percent: int)
     # a set's shared prefix shingles, and the group of the commonest one
     best = F.max(F.struct("df", "shingle")).alias("best")
     per_key = found.groupBy("key").agg(F.count("*").alias("shared"), best)
+    level = F.floor(F.log("n") / math.log(100 / percent))  # sets that link differ by one level at most
     member = written(
         kinds.join(per_key, "key")
         .where(F.col("shared") >= need(F.ceil(F.col("n") * percent / 100)))
-        .select("kind", "key", "n", "shared", F.col("best.shingle").alias("g")),
+        .select("kind", "key", "n", "shared", F.xxhash64("best.shingle", level).alias("g")),
         "jaccard-members",
     )
-    texts = written(candidate_texts(docs, text, member.select("kind", "key"), words).join(member, "kind"), "jaccard-texts")
-    size = texts.groupBy("g").agg(
-        F.count("*").alias("rows"),
-        F.sum(F.octet_length("text")).alias("bytes"),
-        F.max(F.struct(F.col("shared") / F.col("n"), "kind")).alias("head"),
-    )
-    parts = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    size = written(size.select("g", "rows", parts.alias("parts"), F.col("head.kind").alias("leader")), "jaccard-groups")
-    # large groups: those that link to the leader are connected and do not meet each other
-    large = size.where("parts > 1")
-    heads = texts.join(large.select(F.col("leader").alias("kind")), "kind", "left_semi").select(
-        F.col("kind").alias("leader"), F.col("text").alias("leader_text"), "g"
+    whole = candidate_texts(docs, text, member.select("kind", "key"), words).join(member, "kind")
+    whole = written(whole.withColumn("bytes", F.octet_length("text").cast("long")), "jaccard-texts")
+    narrow, texts = whole.drop("text"), whole.select("kind", "text")
+    # of groups above one block, those that link to the leader are connected and do not meet each other
+    size = narrow.groupBy("g").agg(
+        F.count("*").alias("rows"), F.sum("bytes").alias("bytes"), F.max(F.struct(F.col("shared") / F.col("n"), "kind")).alias("head")
     )
-    stars = written(
-        to_leader(texts.select("kind", "text", "g").join(heads, "g").where("kind <> leader"), words, percent), "jaccard-stars"
+    size = size.where((F.col("rows") > BLOCK_ROWS) | (F.col("bytes") > BLOCK_BYTES)).select("g", F.col("head.kind").alias("leader"))
+    members = written(narrow.join(size, "g").select("kind", "leader"), "jaccard-large")
+    members = F.broadcast(members) if small_enough(members) else members
+    heads = texts.join(members.select(F.col("leader").alias("kind")).distinct(), "kind").select(
+        F.col("kind").alias("leader"), F.col("text").alias("leader_text")
     )
-    absorbed = stars.select("kind").withColumn("star", F.lit(1))
-    placed = (
-        texts.join(absorbed, "kind", "left")
-        .join(size.select("g", "parts"), "g")
-        .select("kind", "text", "g", F.coalesce("star", F.lit(0)).alias("star"), F.pmod(F.xxhash64("kind"), "parts").alias("part"))
-    )
-    placed = written(placed, "jaccard-placed")
-    blocks = placed.groupBy("g", "star", "part").count().select("g", F.struct("star", "part").alias("block"))
-    pairs = link_groups(member, found, percent).unionByName(size.where("rows > 1").select(F.col("g").alias("g1"), F.col("g").alias("g2")))
-    one, two = (blocks.select(F.col("g").alias(f"g{i}"), F.col("block").alias(f"b{i}")) for i in (1, 2))
-    same = F.col("g1") == F.col("g2")
-    units = (
-        pairs.join(one, "g1")
-        .join(two, "g2")
-        .where(~same | (F.col("b1") < F.col("b2")) | ((F.col("b1") == F.col("b2")) & (F.col("b1.star") == 0)))
-        .where(~(same & (F.col("b1.star") == 1) & (F.col("b2.star") == 1)))
-        .select(
-            F.xxhash64("g1", "b1", "g2", "b2").alias("unit"),
-            F.explode(F.array_distinct(F.array(F.struct(F.col("g1").alias("g"), F.col("b1").alias("b")), F.struct(F.col("g2").alias("g"), F.col("b2").alias("b"))))).alias("side"),
-        )
-        .select("unit", F.col("side.g").alias("g"), F.col("side.b.star").alias("star"), F.col("side.b.part").alias("part"))
+    followers = texts.join(members.where("kind <> leader"), "kind").join(heads, "leader")
+    stars = written(to_leader(followers, words, percent), "jaccard-stars")
+    grouped = narrow.join(stars.select("kind", F.lit(1).alias("star")), "kind", "left").select(
+        "kind", "g", F.coalesce("star", F.lit(0)).alias("star"), "bytes"
     )
-    edges = compare(units.join(placed, ["g", "star", "part"]), words, percent)
+    meeting = meetings(grouped, opened(narrow, found, percent))
+    edges = compare(meeting.join(texts, "kind"), words, percent)
     return edges.unionByName(stars.select(F.col("leader").alias("src"), F.col("kind").alias("dst")))
 
 
 def jaccard_components(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
-    """Every row with ``n_shingles`` and ``component_id``.
+    """(doc_id, n_shingles, component_id) of every row.
 
     ``component_id`` is the smallest id that chains of links reach, the row's own
     included. Rows with equal sets link. Null and empty texts and texts without
-    words have no shingles and keep their own id. Null ids stay null unless the
-    component has another id. Repeated rows stay; other columns named like the new
-    ones are replaced.
+    words have no shingles and keep their own id. Null ids stay null, their
+    component is named by its other ids. Repeated rows stay, other columns are left out.
     """
-    rows = written(sketch(docs, text, words), "jaccard-sketch")
+    rows = written(sketch(docs, doc_id, text, words), "jaccard-sketch")
     edges = written(links(docs, rows, text, words, percent), "jaccard-links")
     component = connected_components(edges).select(F.col("id").alias("_kind"), F.col("component").alias("_root"))
     id_ = F.col(f"`{doc_id}`")
@@ -468,11 +484,8 @@ def jaccard_components(
     rooted = written(
         kinds.join(component, "_kind", "left").withColumn("_root", F.coalesce("_root", "_kind")), "jaccard-roots"
     )
-    lowest = rooted.groupBy("_root").agg(F.min("_low").alias("_id"), F.count("*").alias("_kinds"))
-    named = lookup(rooted, lowest, ["_root"], "_kinds").select("_kind", F.col("_id"), "_rows")
-    named = written(named, "jaccard-named")
-    kept = without(rows, ["component_id", "_common", "_key"])
+    lowest = rooted.groupBy("_root").agg(F.min("_low").alias("component_id"), F.count("*").alias("_kinds"))
+    named = written(lookup(rooted, lowest, ["_root"], "_kinds").select("_kind", "component_id", "_rows"), "jaccard-named")
+    kept = rows.select(id_, "n_shingles", "_kind")
     with_set = lookup(kept.where("_kind is not null"), named, ["_kind"], "_rows")
-    without_set = kept.where("_kind is null").withColumn("_id", id_)
-    both = with_set.unionByName(without_set)
-    return both.withColumnRenamed("_id", "component_id").drop("_kind")
+    return with_set.drop("_kind").unionByName(kept.where("_kind is null").withColumn("component_id", id_).drop("_kind"))
