@@ -226,16 +226,22 @@ def _repetition(gray: np.ndarray, stride: int) -> float:
     size = np.sqrt((patch * patch).sum())
     if size < np.finfo(float).eps:
         return 1.0
-    windows = np.lib.stride_tricks.sliding_window_view(gray, (PATCH, PATCH))[::stride, ::stride]
-    hits = total = 0
-    for row in windows:  # one line of positions at a time
-        flat = row.reshape(len(row), -1)
-        flat = flat - flat.mean(axis=1, keepdims=True)
-        spread = np.sqrt((flat * flat).sum(axis=1)) * size
-        dot = flat @ patch.ravel()
-        hits += int((np.divide(dot, spread, out=np.zeros_like(dot), where=spread > 0) > 0.8).sum())
-        total += len(row)
-    return hits / total
+    gray = gray - gray.mean()  # smaller sums; correlations stay the same
+    n = PATCH * PATCH
+    squares = _window_sums(gray * gray)[::stride, ::stride] - _window_sums(gray)[::stride, ::stride] ** 2 / n
+    flat = squares <= 1e-9 * n  # windows of one shade correlate with nothing
+    # the patch has mean 0, so the windows' own means drop out of the products
+    shape = tuple(a + b - 1 for a, b in zip(gray.shape, patch.shape))
+    product = np.fft.irfft2(np.fft.rfft2(gray, shape) * np.fft.rfft2(patch[::-1, ::-1], shape), shape)
+    dot = product[PATCH - 1 : h, PATCH - 1 : w][::stride, ::stride]
+    spread = np.sqrt(np.where(flat, 1.0, squares)) * size
+    return float((np.where(flat, 0.0, dot / spread) > 0.8).mean())
+
+
+def _window_sums(values: np.ndarray) -> np.ndarray:
+    """Sum of every PATCH x PATCH window from cumulative sums."""
+    total = np.pad(values.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    return total[PATCH:, PATCH:] - total[:-PATCH, PATCH:] - total[PATCH:, :-PATCH] + total[:-PATCH, :-PATCH]
 
 
 def pattern_repetition(gray_images: DataFrame, stride: int = 1) -> DataFrame:

@@ -28,58 +28,47 @@ def distinct_token_sets(df: DataFrame, id: str, text: str) -> tuple[DataFrame, D
     return named, sets.withColumn("key", F.col("first_id"))
 
 
-def frequent_tokens(postings: DataFrame, limit: int = 100_000) -> DataFrame:
-    """Tokens above 1/``limit`` of all postings: at most ``limit`` rows."""
-    counts = cut_lineage(postings.groupBy("token").agg(F.count("*").alias("df")))
-    total = counts.agg(F.sum("df")).first()[0] or 0
-    return counts.where(F.col("df") > total / limit)
-
-
 def overlap_set_pairs(sets: DataFrame, min_ratio: float = 0.5, posting: int = 2_000) -> DataFrame:
     """(key_1, key_2, ratio): |A and B| / |A| > ``min_ratio`` over ordered pairs of sets.
 
-    Exact prefix filter with a count. At least k + 1 tokens must be shared, with
-    k = floor(min_ratio * |A|). All but 0.8 k tokens of A are probed, the rarest
-    first; the rest can supply at most 0.8 k shared tokens, so a pair with fewer
-    than k + 1 - 0.8 k probe hits is out without being looked at. Hits are counted
-    on token hashes, where a collision can only add a candidate; the ratio comes
-    from the tokens themselves. Tokens are ranked by frequency where it matters (the broadcast frequent ones, at most
-    100 000) and by hash below that. Posting lists above ``posting`` rows are split
+    Exact prefix filter with a count, on both sides. At least k + 1 tokens must be
+    shared, with k = floor(min_ratio * |A|). With the tokens of every set in order
+    of rarity, the last 0.8 k shared ones may lie anywhere; all others lie within
+    the first |A| - 0.8 k tokens of A and the first |B| - 0.8 k of B, so a pair with
+    fewer than k + 1 - 0.8 k hits there is out without being looked at. Hits are
+    counted on token hashes, where a collision can only add a candidate; the ratio
+    comes from the tokens themselves. Posting lists above ``posting`` rows are split
     over salts on one side and replicated on the other.
     """
     sized = sets.withColumn("size", F.size("tokens"))
     hashed = F.explode(F.transform("tokens", lambda t: F.xxhash64(t))).alias("token")
-    postings = sized.select("first_id", "last_id", "copies", "size", hashed)
-    frequent = F.broadcast(frequent_tokens(postings))
-    postings = cut_lineage(
-        postings.join(frequent, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)).cast("long"))
+    postings = cut_lineage(sized.select("first_id", hashed))
+    counts = postings.groupBy("token").agg(F.count("*").alias("df"), F.count("*").alias("weight"))
+    several = counts.where("df > 1")  # a token of one set meets nothing
+    shared = lookup(postings, several, ["token"], "weight")
+    ranked = shared.groupBy("first_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"), F.count("*").alias("kept"))
+    ordered = cut_lineage(
+        ranked.join(sized.select("first_id", "last_id", "copies", "size"), "first_id").select(
+            "first_id", "last_id", "copies", "size",
+            F.posexplode("ts").alias("at", "t"),
+            (F.col("size") - F.col("kept")).alias("before"),
+        ).select("first_id", "last_id", "copies", "size", (F.col("before") + F.col("at") + 1).alias("rn"), "t.token", "t.df")
     )
     required = F.floor(F.col("size") * min_ratio)
     rest = F.floor(required * 0.8)
-    ranked = F.sort_array(F.collect_list(F.struct("df", "token")))
-    probes = (
-        postings.groupBy("first_id", "size", "copies")
-        .agg(ranked.alias("ts"))
-        .select(
-            "first_id",
-            "size",
-            "copies",
-            (required + 1 - rest).alias("needed"),
-            F.explode(F.slice("ts", F.lit(1), (F.col("size") - rest).cast("int"))).alias("t"),
-        )
-        .select("first_id", "size", "copies", "needed", F.col("t.token").alias("token"), F.col("t.df").alias("df"))
-    )
     salts = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("df") / posting))
-    left = probes.select(
-        F.col("first_id").alias("key_1"), F.col("size").alias("size_1"), F.col("copies").alias("copies_1"), "needed", "token",
+    left = ordered.where(F.col("rn") <= F.col("size") - rest).select(
+        F.col("first_id").alias("key_1"), F.col("size").alias("size_1"), F.col("copies").alias("copies_1"),
+        (required + 1 - rest).alias("needed"), rest.alias("rest"), "token",
         F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"),
     )
-    right = postings.select(
-        F.col("first_id").alias("key_2"), F.col("size").alias("size_2"), F.col("last_id").alias("last_2"), "token",
+    right = ordered.select(
+        F.col("first_id").alias("key_2"), F.col("size").alias("size_2"), F.col("last_id").alias("last_2"),
+        (F.col("size") - F.col("rn")).alias("after"), "token",
         F.pmod(F.xxhash64("first_id"), salts).alias("salt"),
     )
     # a pair needs an id of A below an id of B, and B at least as many tokens as must be shared
-    useful = (F.col("key_1") < F.col("last_2")) & (F.col("size_2") > F.col("size_1") * min_ratio)
+    useful = (F.col("key_1") < F.col("last_2")) & (F.col("size_2") > F.col("size_1") * min_ratio) & (F.col("after") >= F.col("rest"))
     differs = (F.col("key_1") != F.col("key_2")) | (F.col("copies_1") > 1)
     candidates = (
         left.join(right, ["token", "salt"])
@@ -89,6 +78,9 @@ def overlap_set_pairs(sets: DataFrame, min_ratio: float = 0.5, posting: int = 2_
         .where("hits >= needed")
         .select("key_1", "key_2")
     )
+    # sets of several ids also meet themselves, whatever their tokens
+    itself = sets.where("copies > 1").select(F.col("first_id").alias("key_1"), F.col("first_id").alias("key_2"))
+    candidates = candidates.unionByName(itself).distinct()
     candidates = cut_lineage(candidates)
     one = sized.select(F.col("first_id").alias("key_1"), F.col("tokens").alias("t1"))
     two = sized.select(F.col("first_id").alias("key_2"), F.col("tokens").alias("t2"))

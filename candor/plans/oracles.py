@@ -3,9 +3,35 @@
 from __future__ import annotations
 
 from candor import config
-from candor.functions.text import AI_PHRASES, FORMAL_WORDS, STOP_WORDS
 from candor.plans.fixtures import PHRASE, RASTER_WIDTH
 
+# fixed values: the listed phrases and words, stated here again so that the checks stand on their own
+AI_PHRASES = (
+    "as an ai",
+    "i'm an ai",
+    "as a language model",
+    "i don't have personal",
+    "i can't browse",
+    "i don't have access",
+    "as of my last update",
+    "i'm sorry, but i",
+    "i understand you're looking",
+    "it's important to note",
+    "please note that",
+    "i'd be happy to help",
+    "furthermore",
+    "moreover",
+    "additionally",
+    "in conclusion",
+)
+FORMAL_WORDS = ("utilize", "facilitate", "implement", "furthermore", "therefore", "however")
+STOP_WORDS = {
+    "en": "the of and to in is it that for on with as was by be this are at from his they".split(),
+    "fr": "le la les de des du et un une est que qui dans en pour par sur au avec pas".split(),
+    "de": "der die das und ist von zu mit den dem ein eine nicht sich auf für im auch es als".split(),
+    "es": "el los las de del y un una es que en por con para se su al lo como más".split(),
+}
+
 WS = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 SPLIT_WS = WS + "+"
 

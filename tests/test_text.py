@@ -8,6 +8,27 @@ from pyspark.sql import functions as F
 from candor.functions import scoring
 from candor.functions import text as tx
 
+# fixed values: the listed phrases and words
+AI_PHRASES = (
+    "as an ai",
+    "i'm an ai",
+    "as a language model",
+    "i don't have personal",
+    "i can't browse",
+    "i don't have access",
+    "as of my last update",
+    "i'm sorry, but i",
+    "i understand you're looking",
+    "it's important to note",
+    "please note that",
+    "i'd be happy to help",
+    "furthermore",
+    "moreover",
+    "additionally",
+    "in conclusion",
+)
+FORMAL_WORDS = ("utilize", "facilitate", "implement", "furthermore", "therefore", "however")
+
 TEXTS = [
     "A. B.",
     "no stop",
@@ -47,8 +68,8 @@ def plain_features(text):
         "word_length_std": statistics.pstdev(map(len, words)) if words else None,
         "avg_sentence_length": statistics.fmean(sizes) if sizes else None,
         "sentence_length_std": statistics.pstdev(sizes) if sizes else None,
-        "ai_phrase_density": sum(p in low for p in tx.AI_PHRASES) / n if n else 0.0,
-        "formal_language_density": sum(p in low for p in tx.FORMAL_WORDS) / n if n else 0.0,
+        "ai_phrase_density": sum(p in low for p in AI_PHRASES) / n if n else 0.0,
+        "formal_language_density": sum(p in low for p in FORMAL_WORDS) / n if n else 0.0,
         "repetition_score": max(counts.values()) / n if n >= 2 and counts else 0.0,
         "perfect_punctuation": float(len(pieces) >= 2 and caps / len(pieces) > 0.95),
     }
