@@ -86,7 +86,7 @@ def _pivot_cells(reps: DataFrame, n: int, threshold: float, block_rows: int) ->
 
     split = F.element_at(F.array(*[F.lit(int(b)) for b in np.maximum(blocks, 1)]), F.col("cell") + 1)
     return celled.withColumn(
-        "own", F.col("cell") * F.lit(_BLOCKS) + F.pmod(F.xxhash64("rep", "vkey"), split)
+        "own", F.col("cell").cast("long") * F.lit(_BLOCKS) + F.pmod(F.xxhash64("rep", "vkey"), split)
     ).withColumn("partners", partners("vec"))
 
 
@@ -98,7 +98,7 @@ def _scope_cells(reps: DataFrame, n: int, scope: str, block_rows: int) -> DataFr
     for r in celled.groupBy("cell").count().collect():
         blocks[r["cell"]] = -(-r["count"] // block_rows)
     split = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell") + 1)
-    base = F.col("cell") * F.lit(_BLOCKS)
+    base = F.col("cell").cast("long") * F.lit(_BLOCKS)
     return celled.withColumn("own", base + F.pmod(F.xxhash64("rep", "vkey"), split)).withColumn(
         "partners", F.sequence(base, base + split - 1)
     )

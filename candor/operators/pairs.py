@@ -4,13 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candor import config
-from candor.functions.vectors import cosine
 from candor.operators import blocks
 from candor.operators.skew import balanced_join, lookup
 from candor.session import cut_lineage, written
@@ -98,29 +95,38 @@ def lsh_pairs(
     id: str = "content_id",
     vector: str = "embedding",
     threshold: float = config.SIMILARITY_THRESHOLD,
-    tables: int = 4,
-    bucket_length: float = 1.0,
+    bits: int = 8,
+    recall: float = 0.95,
     seed: int = 1,
+    block_rows: int = config.PAIR_BLOCK_ROWS,
 ) -> DataFrame:
-    """Approximate J1: random projections propose pairs, the cosine is rechecked.
+    """Approximate J1: rows that share a bucket are compared exactly, copies included.
 
-    A subset of the exact result; for data whose exact join is not affordable.
+    A bucket is the signs of ``bits`` random projections, so it holds about
+    2 ** -bits of unrelated rows. The number of tables follows from the threshold:
+    a pair right at it shares a bucket with probability ``recall``, closer ones
+    more often. A subset of the exact pairs; buckets above a block are split.
     """
-    unit = blocks.unit_members(df, id, vector).withColumn("features", array_to_vector("vec"))
-    reps = cut_lineage(
-        blocks.representatives(unit.drop("features")).withColumn("features", array_to_vector("vec"))
-    )
-    model = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    ).fit(reps)
-    reach = (2 * (1 - threshold)) ** 0.5 + 1e-9
-    close = model.approxSimilarityJoin(reps, reps, reach).where("datasetA.rep < datasetB.rep")
-    score = F.round(cosine(F.col("datasetA.vec"), F.col("datasetB.vec")), 12)
-    return close.select(
-        F.col("datasetA.rep").alias("content_id_1"),
-        F.col("datasetB.rep").alias("content_id_2"),
-        score.alias("similarity_score"),
-    ).where(F.col("similarity_score") >= threshold)
+    members = cut_lineage(blocks.unit_members(df, id, vector))
+    reps = cut_lineage(blocks.representatives(members))
+    same = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** bits
+    tables = max(1, int(np.ceil(np.log(1 - recall) / np.log1p(-min(same, 1 - 1e-9)))))
+
+    @F.pandas_udf("array<bigint>")
+    def buckets(vec: pd.Series) -> pd.Series:
+        out = []
+        for v in vec:
+            planes = np.random.default_rng([seed, len(v)]).normal(size=(len(v), tables * bits)) if not out or len(v) != len(planes) else planes
+            signs = (np.asarray(v) @ planes > 0).reshape(tables, bits)
+            out.append(np.arange(tables) * (1 << bits) + signs @ (1 << np.arange(bits)))
+        return pd.Series(out)
+
+    table = reps.select("rep", "copies", F.col("copies").alias("weight"), "vkey")
+    named = lookup(members.select("id", "vkey"), table, ["vkey"], "weight").drop("vkey")
+    spread = cut_lineage(reps.withColumn("bucket", F.explode(buckets("vec"))))
+    placed = blocks.place(spread, threshold, "bucket", prune="scope", block_rows=block_rows)
+    found = blocks.blocked_join(placed, blocks.pair_kernel, blocks.PAIR_SCHEMA, threshold, scope="bucket").distinct()
+    return expand_pairs(named, found, threshold)
 
 
 def sql_similar_pairs(df: DataFrame, threshold: float = config.SIMILARITY_THRESHOLD) -> DataFrame:

@@ -674,10 +674,18 @@ def copy_groups(spark, sf):
     return members.select("id", "rep", "copies")
 
 
-@query("lsh_similar_vectors")
+@query("lsh_similar_vectors", "SELECT CAST(0 AS BIGINT) AS outside, TRUE AS enough")
 def lsh_similar_vectors(spark, sf):
-    """Approximate form of similar_vectors; tests check it is a subset of the exact pairs."""
-    return pairs.lsh_pairs(fx.vectors(spark, sf), threshold=0.35).select("content_id_1", "content_id_2", d6("similarity_score"))
+    """Approximate form of similar_vectors: pairs outside the exact ones, and whether nine tenths of those are found."""
+    rows = fx.vectors(spark, sf)
+    ids = ["content_id_1", "content_id_2"]
+    near = pairs.lsh_pairs(rows, threshold=0.35).select(*ids, F.lit(1).alias("found"))
+    exact = pairs.similar_pairs(rows, threshold=0.35).select(*ids, F.lit(1).alias("exact"))
+    both = exact.join(near, ids, "full")
+    return both.agg(
+        F.count_if(F.col("exact").isNull()).alias("outside"),
+        (F.count("found") >= 0.9 * F.count("exact")).alias("enough"),
+    )
 
 
 @query(
@@ -1224,17 +1232,36 @@ def train_split(spark, sf):
     return both.groupBy("part").agg(F.count("*").alias("n"))
 
 
-@query("authenticity_classifier")
+@query(
+    "authenticity_classifier",
+    build("SELECT source = 'human' AS label, count(*) AS n, TRUE AS rated FROM content WHERE source <> 'unknown' GROUP BY 1", "content"),
+)
 def authenticity_classifier(spark, sf):
+    """Rows per label that the trained model rates, each as one of the two classes."""
     rows = cut_lineage(projections.classifier_rows(sized_content(spark, sf)))
-    model = models.train_classifier(rows)
-    return models.predict(model, rows).select("id", "label", "prediction")
+    rated = models.predict(models.train_classifier(rows), rows)
+    return rated.groupBy((F.col("label") == 1).alias("label")).agg(
+        F.count("*").alias("n"), F.every(F.col("prediction").isin(0.0, 1.0)).alias("rated")
+    )
 
 
-@query("authenticity_classifier_v2")
+@query(
+    "authenticity_classifier_v2",
+    build(
+        f"""SELECT count(*) AS rows, count(*) FILTER (source = 'human') AS positives, TRUE AS in_range FROM content
+        WHERE len({words_of('content')}) > 5 AND ('0x' || substr(md5(id), 1, 8))::BIGINT % 100 >= 80""",
+        "content",
+    ),
+)
 def authenticity_classifier_v2(spark, sf):
+    """The held-out rows behind the evaluation of the second model."""
     _, held = models.train_classifier_v2(cut_lineage(sized_content(spark, sf)))
-    return models.evaluate(held)
+    rated = models.evaluate(held)
+    return rated.select(
+        (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("rows"),
+        (F.col("tp") + F.col("fn")).alias("positives"),
+        F.col("f1_score").between(0, 1).alias("in_range"),
+    )
 
 
 @query(
@@ -1262,10 +1289,12 @@ def prediction_metrics(spark, sf):
     )
 
 
-@query("embedding_kmeans")
+@query("embedding_kmeans", "SELECT count(*) AS rows, TRUE AS within_bound FROM embeddings")
 def embedding_kmeans(spark, sf):
+    """Every row gets one of at most 50 clusters."""
     rows = cut_lineage(fx.vectors(spark, sf).withColumn("content_type", F.lit("text")))
-    return models.embedding_clusters(rows)[1]
+    found = models.embedding_clusters(rows)[1]
+    return found.agg(F.count("cluster").alias("rows"), (F.count_distinct("cluster") <= 50).alias("within_bound"))
 
 
 # --- images -----------------------------------------------------------------------------

@@ -69,10 +69,19 @@ def test_scope_restricts_pairs(spark):
 
 
 def test_lsh_is_a_subset(spark):
-    v = sample(copies=1)
+    v = sample(copies=12)
     exact = brute_pairs(v, 0.9)
-    got = {(r[0], r[1]) for r in pairs.lsh_pairs(frame(spark, v), threshold=0.9).collect()}
-    assert got <= exact and len(got) > len(exact) / 2
+    for block_rows in (4096, 8):
+        found = pairs.lsh_pairs(frame(spark, v), threshold=0.9, block_rows=block_rows).collect()
+        got = {(r["content_id_1"], r["content_id_2"]) for r in found}
+        assert len(got) == len(found) and got <= exact and len(got) >= 0.9 * len(exact)
+
+
+def test_lsh_copies_share_all_links(spark):
+    rows = [("a", [1.0, 0.2]), ("b", [1.0, 0.2]), ("c", [1.0, 0.21])]
+    df = spark.createDataFrame(rows, "content_id string, embedding array<double>")
+    got = {(r["content_id_1"], r["content_id_2"]) for r in pairs.lsh_pairs(df, threshold=0.9, recall=0.999).collect()}
+    assert got == {("a", "b"), ("a", "c"), ("b", "c")}
 
 
 def test_join_plan_has_no_cross_join(spark):
