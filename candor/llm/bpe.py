@@ -28,7 +28,7 @@ SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 OTHER, LETTER, NUMBER, SPACE = range(4)
 NO_RANK = np.iinfo(np.int32).max
 WINDOW = 1 << 20  # characters of a long text that are worked on at once
-CACHED_WORDS = 1 << 20  # distinct words that a task remembers
+CACHED_WORDS = 3 << 18  # distinct words that a task remembers
 
 
 def character_classes() -> np.ndarray:
@@ -254,7 +254,7 @@ class ByteLevelBPE:
         for p in pieces:
             held.append(p)
             size += len(p) if isinstance(p, str) else 1
-            if size >= 4 * WINDOW:
+            if size >= 2 * WINDOW:
                 work()
                 size = 0
         if held:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 4 << 20  # text that one numpy step works on; a longer text is a slice of its own
+SLICE_BYTES = 2 << 20  # text that one numpy step works on; a longer text is a slice of its own
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -68,7 +68,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_BPE)
     ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    decoded = bpe.decode(ids, path)
+    decoded = bpe.decode(ids.select("doc_id", "ids"), path)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

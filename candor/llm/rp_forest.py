@@ -253,11 +253,10 @@ def near_duplicates(
     rows = written(folded.select("id", "weight", "label", "vector"), "forest-rows")
     total = max(rows.count(), 1)
     leaf = max(SAMPLE_LEAF, leaf_rows * min(SAMPLE, total) // (2 * total))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").toArrow()
     forests: dict[int, list] = {}
-    for n in {len(r["vector"]) for r in sample}:
-        x = unit(np.array([r["vector"] for r in sample if len(r["vector"]) == n], float))
-        forests[n] = [fit_tree(x, t, leaf, spill) for t in range(trees)]
+    for _, x in by_length(sample.column("vector")):
+        forests[x.shape[1]] = [fit_tree(unit(x), t, leaf, spill) for t in range(trees)]
     spots = route(rows, forests, trees).withColumn("cell", F.xxhash64("label", F.size("vector"), "tree", "node")).drop("node")
     spots = written(spots, "forest-leaves")
     cells = written(split_large(spots, leaf_rows, spill), "forest-cells")
