@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candor.llm.common import map_texts, without
+from candor.llm.common import Shared, map_texts, without
 
 # fixed values: the Unicode property White_Space
 WHITE_SPACE = (*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -291,7 +291,7 @@ def windows(text: str, most: int = WINDOW):
 
 def shared(spark: SparkSession, tokenizer: str):
     """The tables of a vocabulary file in a broadcast (a few MB, bounded by the file)."""
-    return spark.sparkContext.broadcast(ByteLevelBPE.from_file(tokenizer))
+    return Shared(spark, ByteLevelBPE.from_file(tokenizer))
 
 
 def lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candor.llm.common import map_texts
+from candor.llm.common import Shared, map_texts
 
 ORDERS = (1, 2, 3, 4)  # bytes of an n-gram
 BITS = 16  # n-grams are hashed to 2 ** BITS places
@@ -145,7 +145,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", lang: st
     Null texts and those without a letter are ``und`` with score 0. Columns named
     like the new ones are replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def make():
         return lambda texts: list(shared.value.predict(texts))

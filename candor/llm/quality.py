@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candor.llm.common import map_texts
+from candor.llm.common import Shared, map_texts
 
 SAMPLE_ROWS = 3000  # labelled rows per class that a model is fitted on, half of them for the dictionaries
 SAMPLE_CHARS = 16_384  # characters of each that are collected for the fit; scores read whole texts
@@ -145,7 +145,7 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "
     Null and empty texts get the score of an empty text. Equal texts get equal
     scores. A column named like ``out`` is replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def make():
         scorer = shared.value.scorer()

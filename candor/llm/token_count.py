@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candor.llm.common import map_texts
+from candor.llm.common import Shared, map_texts
 
 BLANK = "▁"  # stands for a blank in the vocabulary
 CHUNK = 512  # bytes
@@ -224,7 +224,7 @@ def load(model: str) -> CountingTransducer:
 
 def shared(spark: SparkSession, model: str):
     """The vocabulary in a broadcast (about 1 MB, bounded by the model file)."""
-    return spark.sparkContext.broadcast(load(model))
+    return Shared(spark, load(model))
 
 
 def count_tokens(df: DataFrame, model: str, text: str = "text", n_tokens: str = "n_tokens", n_bytes: str = "n_bytes") -> DataFrame:

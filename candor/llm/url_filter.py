@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candor.llm.common import without
+from candor.llm.common import Shared, without
 from candor.session import written
 
 BITS_PER_KEY = 12
@@ -177,7 +177,7 @@ def judge(df: DataFrame, rules: DataFrame, url: str = "url", shard_keys: int = S
 
 def _judged(rows: DataFrame, keys: Column, cascades: list[Cascade]) -> DataFrame:
     """Where the longest listed key of these is longer than the rule so far, it becomes the rule."""
-    shared = rows.sparkSession.sparkContext.broadcast(cascades)
+    shared = Shared(rows.sparkSession, cascades)
     work = rows.withColumn("_these", keys)
     work = work.withColumn("_one", F.transform("_these", lambda k: _hashes(k)[0]))
     work = work.withColumn("_two", F.transform("_these", lambda k: _hashes(k)[1]))
