@@ -98,3 +98,21 @@ def test_odd_labels_and_empty(spark):
     got = sorted(map(repr, [(r["vec_id"], r["n_links"], r["component_id"]) for r in rf.near_duplicates(df).collect()]))
     assert got == sorted(map(repr, [(1, 0, 1), (2, 0, 2), (3, 2, 3), (4, 2, 3), (4, 2, 3), (None, 0, None)]))
     assert rf.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_group_of_several_leaves_is_whole(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(1500, 64))
+    middle = rng.normal(size=(3, 64))
+    v[:500] = middle[0] / np.linalg.norm(middle[0]) + rng.normal(scale=0.2 / 8, size=(500, 64))  # cosines about 0.96
+    v[500:700] = middle[1] / np.linalg.norm(middle[1]) + rng.normal(scale=0.1 / 8, size=(200, 64))  # all link
+    v[700:900] = v[0] + rng.normal(scale=0.3 / 8, size=(200, 64))  # rim of the first group: some links
+    v[900:1000] = middle[2] / np.linalg.norm(middle[2]) + rng.normal(scale=0.27 / 8, size=(100, 64))  # about half link
+    labels = (np.arange(len(v)) % 50 == 0).astype(int)
+    got = rf.near_duplicates(frame(spark, v, labels), leaf_rows=64).collect()
+    links, part = brute(v, labels, 0.93)
+    found = {r["vec_id"]: r for r in got}
+    assert len(got) == len(v) + len(ODD) and links.sum() > 250_000
+    assert [found[i]["n_links"] for i in range(900)] == links[:900].tolist()
+    assert sum(found[i]["n_links"] for i in range(len(v))) >= 0.999 * links.sum()
+    assert all(found[i]["component_id"] == part[i] for i in range(900))
