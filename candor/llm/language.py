@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,8 +22,10 @@ ORDERS = (1, 2, 3, 4)  # bytes of an n-gram
 BITS = 16  # n-grams are hashed to 2 ** BITS places
 SAMPLE_ROWS = 400  # texts per language that a model is fitted on
 SAMPLE_CHARS = 4_000  # characters of each that are collected for the fit; predictions read whole texts
-SAMPLE_TOTAL = 40_000  # texts over all languages
+SAMPLE_TOTAL = 40_000  # texts over all languages; with more of them each gets fewer texts, but one at least
+SPARE = 40  # texts drawn beyond twice the sample, so that small samples are filled too
 LANDMARKS = 64  # per language
+LANDMARKS_TOTAL = 6_400  # over all languages, shared in the same way
 RIDGE = 1e-2
 BATCH = 64  # texts of one matrix product
 UNDETERMINED = "und"
@@ -82,7 +84,9 @@ def softmax(x: np.ndarray) -> np.ndarray:
 def solve(texts: list[str], names: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
     """Nyström features from the first texts of each language, ridge regression on all."""
     languages = sorted(set(names))
-    y = np.array([languages.index(n) for n in names])
+    number = {n: k for k, n in enumerate(languages)}
+    y = np.array([number[n] for n in names])
+    landmarks = max(1, min(landmarks, LANDMARKS_TOTAL // len(languages)))
     chosen = np.concatenate([np.flatnonzero(y == k)[:landmarks] for k in range(len(languages))])
     marks = presence([texts[i] for i in chosen]).astype(np.float32)
     marks /= np.sqrt(np.maximum(marks.sum(1), 1))[:, None]
@@ -108,32 +112,30 @@ def solve(texts: list[str], names: list[str], landmarks: int = LANDMARKS, ridge:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """A model from about ``sample_rows`` texts of each non-null language.
 
-    Each language's rows are thinned by a hash of the text at a rate from its row
-    count, so only the bounded sample reaches the driver and a repeated run draws
-    the same. Texts without letters are not learned from. An empty table gives a
+    Where the languages are so many that this exceeds ``SAMPLE_TOTAL`` texts, each
+    gets an equal share of the total, at least one text. Each language's rows are
+    thinned by a hash of the text at a rate from its row count, so only the bounded
+    sample reaches the driver and a repeated run draws the same. Texts without letters are not learned from. An empty table gives a
     model that answers ``und``.
     """
     rows = docs.select(F.col(lang).alias("_lang"), F.col(text).cast("string").alias("_text")).where(
         "_lang is not null and _text rlike '\\\\p{L}'"
     )
-    most = SAMPLE_TOTAL // sample_rows
-    counts = rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(most)
+    counts = rows.groupBy("_lang").count()
+    sample_rows = max(1, min(sample_rows, SAMPLE_TOTAL // max(counts.count(), 1)))
     draw = F.pmod(F.xxhash64("_text"), F.lit(1 << 30))
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy("_draw", "_text"))
     taken = (
         rows.join(F.broadcast(counts), "_lang")
-        .where(draw * F.col("count") < F.lit(2 * sample_rows) * F.lit(float(1 << 30)))
+        .where(draw * F.col("count") < F.lit(2 * sample_rows + SPARE) * F.lit(float(1 << 30)))
         .select("_lang", F.substring("_text", 1, SAMPLE_CHARS).alias("_text"), draw.alias("_draw"))
-        .orderBy("_draw", "_lang", "_text")
-        .limit(2 * SAMPLE_TOTAL)
         .dropDuplicates(["_lang", "_text"])
+        .withColumn("_place", place)
+        .where(F.col("_place") <= sample_rows)
         .collect()
     )
-    texts, names, have = [], [], {}
-    for r in sorted(taken, key=lambda r: (r["_draw"], r["_lang"], r["_text"])):
-        if have.setdefault(r["_lang"], 0) < sample_rows:
-            have[r["_lang"]] += 1
-            texts.append(r["_text"])
-            names.append(r["_lang"])
+    taken = sorted(taken, key=lambda r: (r["_draw"], r["_lang"], r["_text"]))
+    texts, names = [r["_text"] for r in taken], [r["_lang"] for r in taken]
     if not texts:
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), 1.0)
     return solve(texts, names)

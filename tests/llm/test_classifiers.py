@@ -90,3 +90,14 @@ def test_held_out_rule(spark):
 
     rows = spark.range(200).select(F.col("id").alias("doc_id"), held_out().alias("h")).collect()
     assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_TOTAL", 60)  # 20 languages with 400 texts each would be far more
+    word = lambda k: "".join(chr(97 + (k * 7 + j * (k + 3)) % 26) for j in range(9))
+    rows = [(i, f"{word(i % 20)} {word(i % 20)[::-1]} {i}", f"l{i % 20}") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert len(model.languages) == 20
+    got = language.identify(docs, model).collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in got) > 0.95 * len(got)
