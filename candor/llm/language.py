@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candor.llm.common import Shared, map_texts
+from candor.session import written
 
 ORDERS = (1, 2, 3, 4)  # bytes of an n-gram
 BITS = 16  # n-grams are hashed to 2 ** BITS places
@@ -113,25 +114,34 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_rows: in
     """A model from about ``sample_rows`` texts of each non-null language.
 
     Where the languages are so many that this exceeds ``SAMPLE_TOTAL`` texts, each
-    gets an equal share of the total, at least one text. Each language's rows are
-    thinned by a hash of the text at a rate from its row count, so only the bounded
-    sample reaches the driver and a repeated run draws the same. Texts without letters are not learned from. An empty table gives a
+    gets an equal share of the total, at least one text. Each language's
+    distinct texts are thinned by their hash at a rate from their number, so only the
+    bounded sample reaches the driver, copies of a text leave the others their places,
+    and a repeated run draws the same. Texts without letters are not learned from. An empty table gives a
     model that answers ``und``.
     """
     rows = docs.select(F.col(lang).alias("_lang"), F.col(text).cast("string").alias("_text")).where(
         "_lang is not null and _text rlike '\\\\p{L}'"
     )
-    counts = rows.groupBy("_lang").count()
+    # copies of a text count once, in the rate as in the sample
+    hashed = rows.withColumn("_hash", F.xxhash64("_text"))
+    distinct = written(hashed.select("_lang", "_hash").distinct(), "language-texts")
+    counts = distinct.groupBy("_lang").count()
     sample_rows = max(1, min(sample_rows, SAMPLE_TOTAL // max(counts.count(), 1)))
-    draw = F.pmod(F.xxhash64("_text"), F.lit(1 << 30))
-    place = F.row_number().over(Window.partitionBy("_lang").orderBy("_draw", "_text"))
-    taken = (
-        rows.join(F.broadcast(counts), "_lang")
-        .where(draw * F.col("count") < F.lit(2 * sample_rows + SPARE) * F.lit(float(1 << 30)))
-        .select("_lang", F.substring("_text", 1, SAMPLE_CHARS).alias("_text"), draw.alias("_draw"))
-        .dropDuplicates(["_lang", "_text"])
+    draw = F.pmod("_hash", F.lit(1 << 30))
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy("_draw", "_hash"))
+    chosen = (
+        distinct.join(F.broadcast(counts), "_lang")
+        .withColumn("_draw", draw)
+        .where(F.col("_draw") * F.col("count") < F.lit(2 * sample_rows + SPARE) * F.lit(float(1 << 30)))
         .withColumn("_place", place)
         .where(F.col("_place") <= sample_rows)
+        .select("_lang", "_hash", "_draw")
+    )
+    taken = (
+        hashed.join(F.broadcast(chosen), ["_lang", "_hash"])
+        .groupBy("_lang", "_hash", "_draw")
+        .agg(F.min(F.substring("_text", 1, SAMPLE_CHARS)).alias("_text"))
         .collect()
     )
     taken = sorted(taken, key=lambda r: (r["_draw"], r["_lang"], r["_text"]))

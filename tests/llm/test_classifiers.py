@@ -101,3 +101,12 @@ def test_every_language_is_learned(spark, monkeypatch):
     assert len(model.languages) == 20
     got = language.identify(docs, model).collect()
     assert sum(r["lang_pred"] == r["lang"] for r in got) > 0.95 * len(got)
+
+
+def test_copies_leave_other_texts_in_the_sample(spark, monkeypatch):
+    held = {}
+    monkeypatch.setattr(language, "solve", lambda texts, names: held.update(zip(texts, names)) or len(texts))
+    copied = spark.range(20_000).selectExpr("id as doc_id", "'lauter gleiche Worte' as text", "'de' as lang")
+    others = spark.range(50).selectExpr("id as doc_id", "concat('Text Nummer ', id) as text", "'de' as lang")
+    assert language.fit(copied.union(others), sample_rows=40) == 40
+    assert len(held) == 40
