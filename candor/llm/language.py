@@ -12,17 +12,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candor.llm.common import Shared, map_texts
+from candor.llm.common import Shared, map_texts, slices
 from candor.session import written
 
 ORDERS = (1, 2, 3, 4)  # bytes of an n-gram
 BITS = 16  # n-grams are hashed to 2 ** BITS places
 SAMPLE_ROWS = 400  # texts per language that a model is fitted on
-SAMPLE_CHARS = 4_000  # characters of each that are collected for the fit; predictions read whole texts
 SAMPLE_TOTAL = 40_000  # texts over all languages; with more of them each gets fewer texts, but one at least
 SPARE = 40  # texts drawn beyond twice the sample, so that small samples are filled too
 LANDMARKS = 64  # per language
@@ -82,17 +82,17 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def solve(texts: list[str], names: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
-    """Nyström features from the first texts of each language, ridge regression on all."""
+def solve(found: np.ndarray, names: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
+    """Nyström features from the first texts of each language, ridge regression on all; ``found`` has packed presence rows."""
     languages = sorted(set(names))
     number = {n: k for k, n in enumerate(languages)}
     y = np.array([number[n] for n in names])
     landmarks = max(1, min(landmarks, LANDMARKS_TOTAL // len(languages)))
     chosen = np.concatenate([np.flatnonzero(y == k)[:landmarks] for k in range(len(languages))])
-    marks = presence([texts[i] for i in chosen]).astype(np.float32)
+    marks = np.unpackbits(found[chosen], axis=1).astype(np.float32)
     marks /= np.sqrt(np.maximum(marks.sum(1), 1))[:, None]
     kernel = np.concatenate(
-        [raw_scores(presence(texts[i : i + BATCH]), marks.T) for i in range(0, len(texts), BATCH)]
+        [raw_scores(np.unpackbits(found[i : i + BATCH], axis=1), marks.T) for i in range(0, len(found), BATCH)]
     ).astype(float)
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(float))
     good = values > 1e-6 * values.max()
@@ -113,6 +113,7 @@ def solve(texts: list[str], names: list[str], landmarks: int = LANDMARKS, ridge:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """A model from about ``sample_rows`` texts of each non-null language.
 
+    Presence vectors of whole texts are worked out in tasks; only they reach the driver.
     Where the languages are so many that this exceeds ``SAMPLE_TOTAL`` texts, each
     gets an equal share of the total, at least one text. Each language's
     distinct texts are thinned by their hash at a rate from their number, so only the
@@ -138,17 +139,28 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", sample_rows: in
         .where(F.col("_place") <= sample_rows)
         .select("_lang", "_hash", "_draw")
     )
-    taken = (
+    whole = (
         hashed.join(F.broadcast(chosen), ["_lang", "_hash"])
         .groupBy("_lang", "_hash", "_draw")
-        .agg(F.min(F.substring("_text", 1, SAMPLE_CHARS)).alias("_text"))
-        .collect()
+        .agg(F.min("_text").alias("_text"))
+        .select(F.col("_lang").cast("string"), "_draw", "_hash", "_text")
     )
-    taken = sorted(taken, key=lambda r: (r["_draw"], r["_lang"], r["_text"]))
-    texts, names = [r["_text"] for r in taken], [r["_lang"] for r in taken]
-    if not texts:
+    taken = whole.mapInArrow(packed, "_lang string, _draw long, _hash long, _found binary").collect()
+    taken = sorted(taken, key=lambda r: (r["_draw"], r["_lang"], r["_hash"]))
+    if not taken:
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), 1.0)
-    return solve(texts, names)
+    return solve(np.array([np.frombuffer(r["_found"], np.uint8) for r in taken]), [r["_lang"] for r in taken])
+
+
+def packed(batches):
+    """Presence bits of whole texts, 8 kB each at any length."""
+    for batch in batches:
+        for part in slices(batch, "_text"):
+            bits = [np.packbits(presence([t.as_py()])[0]).tobytes() for t in part.column(3)]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), part.column(2), pa.array(bits, pa.binary())],
+                names=["_lang", "_draw", "_hash", "_found"],
+            )
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from candor.llm.common import Shared, map_texts
 
 SAMPLE_ROWS = 3000  # labelled rows per class that a model is fitted on, half of them for the dictionaries
-SAMPLE_CHARS = 16_384  # characters of each that are collected for the fit; scores read whole texts
+BLOCKS = 8  # of BLOCK_BYTES characters, spread over a longer text, that a dictionary is made of
 DICTIONARY_BYTES = 65_536
 BLOCK_BYTES = 2_048
 LEVEL = 3
@@ -104,7 +104,9 @@ def fit(
     """A model from at most ``sample_rows`` rows of each label (1 good, 0 bad).
 
     The rows with the smallest hashes of their ids are taken, so a repeated run
-    takes the same; only their ids (bounded by ``sample_rows``) are broadcast.
+    takes the same; only their ids (bounded by ``sample_rows``) are broadcast. The
+    calibration rows are compressed whole inside tasks, and dictionaries are made of
+    blocks from all over their texts, so what reaches the driver is bounded.
     Other labels and nulls are ignored. Without rows of both classes the model
     answers with the share of label 1, or 0.5.
     """
@@ -117,22 +119,51 @@ def fit(
     chosen = [
         marked.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows) for y in (0, 1)
     ]
-    rows = (
-        docs.select(F.col(doc_id).alias("_id"), F.substring(F.col(text).cast("string"), 1, SAMPLE_CHARS).alias("_text"))
+    whole = (
+        docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"))
         .join(F.broadcast(chosen[0].union(chosen[1])), "_id")
         .where("_text is not null")
-        .orderBy(F.xxhash64("_id"), "_id", "_text")
+        .withColumn("_hash", F.xxhash64("_text"))
+    )
+    keys = (
+        whole.select("_id", "_y", "_hash")
+        .orderBy(F.xxhash64("_id"), "_id", "_hash")
         .limit(2 * sample_rows)  # an id that stands in several rows could else bring more
         .collect()
     )
-    by = {y: [r["_text"] for r in rows if r["_y"] == y] for y in (0, 1)}
+    keys = list(dict.fromkeys((r["_id"], r["_hash"], r["_y"]) for r in keys))
+    by = {y: [k for k in keys if k[2] == y] for y in (0, 1)}
     if not by[0] or not by[1]:
         return none
     half = {y: (len(t) + 1) // 2 for y, t in by.items()}
-    books = (dictionary(by[1][: half[1]]), dictionary(by[0][: half[0]]))
-    pair = QualityModel(books, none.centre, none.spread, none.weights, prior).compressors()
     rest = {y: t[half[y] :] or t for y, t in by.items()}
-    x = np.array([features(t, pair) for y in (0, 1) for t in rest[y]])
+
+    def picked(wanted):
+        """Whole texts of the keys, each once, with the key's number."""
+        numbered = docs.sparkSession.createDataFrame(
+            [(*k, i) for i, k in enumerate(wanted)], T.StructType([whole.schema["_id"], whole.schema["_hash"], whole.schema["_y"], T.StructField("_at", T.LongType())])
+        )
+        return whole.join(F.broadcast(numbered), ["_id", "_hash", "_y"]).groupBy("_at").agg(F.min("_text").alias("_text"))
+
+    size = BLOCKS * BLOCK_BYTES
+    spread_over = F.concat_ws("", F.transform(
+        F.sequence(F.lit(0), F.lit(BLOCKS - 1)),
+        lambda i: F.substring(F.col("_text"), F.floor(i * (F.length("_text") - BLOCK_BYTES) / (BLOCKS - 1)).cast("int") + 1, F.lit(BLOCK_BYTES)),
+    ))
+    learned = picked(by[0][: half[0]] + by[1][: half[1]]).select(
+        "_at", F.when(F.length("_text") > size, spread_over).otherwise(F.col("_text")).alias("_text")
+    )
+    found = [r["_text"] for r in sorted(learned.collect(), key=lambda r: r["_at"])]
+    books = (dictionary(found[half[0] :]), dictionary(found[: half[0]]))
+    shared = Shared(docs.sparkSession, QualityModel(books, none.centre, none.spread, none.weights, prior))
+
+    def make():
+        pair = shared.value.compressors()
+        return lambda texts: [np.array(c) for c in zip(*(features(t or "", pair) for t in texts))]
+
+    columns = [T.StructField("_less", T.DoubleType(), False), T.StructField("_both", T.DoubleType(), False)]
+    rated = map_texts(picked(rest[0] + rest[1]), "_text", make, columns).select("_at", "_less", "_both").collect()
+    x = np.array([(r["_less"], r["_both"]) for r in sorted(rated, key=lambda r: r["_at"])])
     y = np.repeat([0.0, 1.0], [len(rest[0]), len(rest[1])])
     weight = np.repeat([(1 - prior) / len(rest[0]), prior / len(rest[1])], [len(rest[0]), len(rest[1])]) * len(y)
     centre, spread = x.mean(0), x.std(0) + 1e-9

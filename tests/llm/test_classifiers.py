@@ -105,8 +105,21 @@ def test_every_language_is_learned(spark, monkeypatch):
 
 def test_copies_leave_other_texts_in_the_sample(spark, monkeypatch):
     held = {}
-    monkeypatch.setattr(language, "solve", lambda texts, names: held.update(zip(texts, names)) or len(texts))
+    monkeypatch.setattr(language, "solve", lambda texts, names: held.update(zip(map(bytes, texts), names)) or len(texts))
     copied = spark.range(20_000).selectExpr("id as doc_id", "'lauter gleiche Worte' as text", "'de' as lang")
     others = spark.range(50).selectExpr("id as doc_id", "concat('Text Nummer ', id) as text", "'de' as lang")
     assert language.fit(copied.union(others), sample_rows=40) == 40
     assert len(held) == 40
+
+
+def test_fits_read_whole_texts(spark):
+    head = "the same plain opening words of every text. " * 600  # beyond the former cuts
+    tails = ["fine words of a good text follow. ", "### $$$ *** !!! "]
+    rows = [(i, head + f"{i} " + tails[i % 2] * 900, ["en", "de"][i % 2], 1 - i % 2) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    model = quality.fit(docs, docs.select("doc_id", "quality"))
+    got = quality.score(docs, model).collect()
+    assert all((r["score"] > 0.5) == (r["quality"] == 1) for r in got)
+    assert all((r["score"] > 0.9) or (r["score"] < 0.1) for r in got)
+    named = language.identify(docs, language.fit(docs)).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in named)
