@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candor.llm.common import Shared, map_texts
+from candor.session import written
 
 # fixed values: the base findings, in the order in which equal starts are listed
 BASE_KINDS = ("assign", "access", "hex")
@@ -36,6 +37,8 @@ TOKEN_CHARS = 256  # a sampled token is learned from up to so many characters; r
 GENERATED = 400  # random strings drawn per alphabet, so that the chains know alphabets that a corpus lacks
 FALSE_SHARE = 1e-4  # share of ordinary held-back tokens that may pass the cut
 LEAST_RATIO = 12.0  # the cut is never below this log-likelihood ratio
+LEAST_PER_SYMBOL = 2.0  # and a finding's ratio exceeds this for each of its characters
+MIX = (0.5, 0.3, 0.2)  # shares of the contexts of two symbols, one symbol and one symbol's class
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "upper_hex": "0123456789ABCDEF",
@@ -54,6 +57,8 @@ _ACCESS = re.compile(ACCESS)
 _HEX = re.compile(rf"(?<![0-9a-f])[0-9a-f]{{{LEAST_HEX},}}")
 _CLASS = r"[A-Za-z0-9+/_=\-]"
 _TOKEN = re.compile(rf"(?<!{_CLASS}){_CLASS}{{{LEAST_TOKEN},}}")
+#: class of each symbol: upper, lower, digit, other; START is a class of its own
+CLASS = np.array([0 if c.isupper() else 1 if c.islower() else 2 if c.isdigit() else 3 for c in SYMBOLS] + [4])
 _CODE = np.full(128, START, np.int64)
 _CODE[[ord(c) for c in SYMBOLS]] = np.arange(len(SYMBOLS))
 
@@ -102,10 +107,12 @@ def contexts(codes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return one, two
 
 
-def chain(tokens: list[str], order: int, strength: float = 2.0) -> np.ndarray:
-    """log P(symbol | two symbols before), backed off to shorter contexts where samples are few.
+def chain(tokens: list[str], order: int) -> np.ndarray:
+    """log P(symbol | symbols before) from samples, mixed by fixed shares (MIX).
 
-    Shape (69, 69, 68): START is a context only. ``order`` 1 ignores the symbol two places before.
+    The mixed parts are the context of two symbols (``order`` 2 only), of one symbol, and of the class of one symbol (upper,
+    lower, digit, other) with even chances inside the class that follows, so that what no sample shows is judged by its classes.
+    Order 2 has shape (69, 69, 68), where START is a context only; order 1 has (69, 68).
     """
     k, n = START + 1, len(SYMBOLS)
     counts = np.zeros(k * k * n)
@@ -115,13 +122,15 @@ def chain(tokens: list[str], order: int, strength: float = 2.0) -> np.ndarray:
         np.add.at(counts, (two * k + one) * n + codes, 1.0)
     counts = counts.reshape(k, k, n)
     pairs = counts.sum(0)
-    single = pairs.sum(0)
-    base = (single + 0.5) / (single.sum() + 0.5 * n)
-    first = (pairs + strength * base) / (pairs.sum(1, keepdims=True) + strength)
+    into = np.eye(5)[CLASS[:n]][:, :4]  # symbol -> class
+    of_class = np.eye(5)[CLASS].T @ pairs @ into + 0.5
+    of_class /= of_class.sum(1, keepdims=True)
+    coarse = (of_class @ (into / into.sum(0)).T)[CLASS]
+    first = (pairs + 0.5 * coarse) / (pairs.sum(1, keepdims=True) + 0.5)
     if order == 1:
-        return np.broadcast_to(np.log(first), (k, k, n)).astype(np.float32)
-    second = (counts + strength * first[None]) / (counts.sum(2, keepdims=True) + strength)
-    return np.log(second).astype(np.float32)
+        return np.log((1 - MIX[2]) * first + MIX[2] * coarse).astype(np.float32)
+    second = (counts + 0.5 * first[None]) / (counts.sum(2, keepdims=True) + 0.5)
+    return np.log(MIX[0] * second + MIX[1] * first[None] + MIX[2] * coarse[None]).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -139,13 +148,19 @@ class MarkovModel:
         codes, begin = coded(tokens)
         one, two = contexts(codes, begin)
 
-        def total(table):
-            return np.add.reduceat(table[two, one, codes].astype(np.float64), begin)
+        def total(logs):
+            return np.add.reduceat(logs.astype(np.float64), begin)
 
-        each = np.stack([total(t) for t in self.random.values()])
+        each = np.stack([total(t[one, codes]) for t in self.random.values()])
         top = each.max(0)
         mixed = top + np.log(np.exp(each - top).mean(0))
-        return mixed - total(self.ordinary)
+        return mixed - total(self.ordinary[two, one, codes])
+
+    def is_random(self, tokens: list[str], ratios: np.ndarray) -> np.ndarray:
+        """Which tokens pass the cut, given their ratios."""
+        sizes = np.array([len(t) for t in tokens])
+        written_with = np.array([any(c.isalnum() for c in t) for t in tokens], bool)  # rules of dashes are no strings
+        return written_with & (ratios > self.cut) & (ratios > LEAST_PER_SYMBOL * sizes)
 
 
 def drawn(seed: int = 11) -> list[tuple[str, str]]:
@@ -169,7 +184,9 @@ def labelled_samples(
     those with the smallest hashes.
     """
     body = F.col(text).cast("string")
-    few = docs.select(body.alias("text")).where("text is not null").distinct().orderBy(F.xxhash64("text"), "text").limit(documents)
+    texts = docs.select(body.alias("text"), F.xxhash64(body).alias("hash")).where("text is not null")
+    chosen = texts.select("hash").distinct().orderBy("hash").limit(documents)
+    few = texts.join(F.broadcast(chosen), "hash", "left_semi").select("text").distinct()
 
     def task(batches):
         import pyarrow as pa
@@ -187,7 +204,7 @@ def labelled_samples(
                     [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["token", "kind"]
                 )
 
-    found = few.mapInArrow(task, "token string, kind string").distinct()
+    found = written(few.mapInArrow(task, "token string, kind string").distinct(), "labelled-tokens")
     by_hash = [F.xxhash64("token"), F.col("token"), F.col("kind")]
     ordinary = found.where(F.col("kind") == ORDINARY).orderBy(*by_hash).limit(tokens)
     return ordinary.unionByName(found.where(F.col("kind") != ORDINARY).orderBy(*by_hash).limit(tokens))
@@ -239,7 +256,8 @@ def scan(docs: DataFrame, model: MarkovModel, text: str = "text", out: str = "sp
 
     Code points, end exclusive. Base findings (kinds assign, access, hex; ratio null) are those of the fixed
     patterns, each kind leftmost and non-overlapping; kinds may overlap each other. Findings of kind markov are token runs
-    of at least LEAST_TOKEN characters whose log-likelihood ratio exceeds the model's cut and that touch no base finding.
+    of at least LEAST_TOKEN characters that touch no base finding and whose log-likelihood ratio exceeds the model's cut, and
+    LEAST_PER_SYMBOL for each character.
     Null and empty texts have none; equal texts have equal findings; a column named like ``out`` is replaced.
     """
     shared = Shared(docs.sparkSession, model)
@@ -250,9 +268,10 @@ def scan(docs: DataFrame, model: MarkovModel, text: str = "text", out: str = "sp
         def work(texts):
             found = [base_spans(t) if t else [] for t in texts]
             runs = [(i, s, e) for i, t in enumerate(texts) if t for s, e in tokens_between(t, found[i])]
-            ratios = rate.ratios([texts[i][s:e] for i, s, e in runs])
+            tokens = [texts[i][s:e] for i, s, e in runs]
+            ratios = rate.ratios(tokens)
             rows = [[(s, k, e, None) for s, k, e in spans] for spans in found]
-            for j in np.flatnonzero(ratios > rate.cut).tolist():
+            for j in np.flatnonzero(rate.is_random(tokens, ratios)).tolist():
                 i, s, e = runs[j]
                 rows[i].append((s, len(BASE_KINDS), e, float(ratios[j])))
             names = [*BASE_KINDS, MARKOV]
