@@ -466,6 +466,18 @@ def links(docs: DataFrame, rows: DataFrame, text: str, words: int, percent: int)
     return edges.unionByName(stars.select(F.col("leader").alias("src"), F.col("kind").alias("dst")))
 
 
+def _rooted(docs: DataFrame, doc_id: str, text: str, words: int, percent: int, lead) -> tuple[DataFrame, DataFrame]:
+    """(rows, rooted): every row's set, and per distinct set the digest that names its group, with the least ``lead`` of its rows."""
+    rows = written(sketch(docs, doc_id, text, words), "jaccard-sketch")
+    edges = written(links(docs, rows, text, words, percent), "jaccard-links")
+    component = connected_components(edges).select(F.col("id").alias("_kind"), F.col("component").alias("_root"))
+    kinds = rows.where("_kind is not null").groupBy("_kind").agg(F.min(lead).alias("_low"), F.count("*").alias("_rows"))
+    rooted = written(
+        kinds.join(component, "_kind", "left").withColumn("_root", F.coalesce("_root", "_kind")), "jaccard-roots"
+    )
+    return rows, rooted
+
+
 def jaccard_components(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
@@ -476,16 +488,37 @@ def jaccard_components(
     words have no shingles and keep their own id. Null ids stay null, their
     component is named by its other ids. Repeated rows stay, other columns are left out.
     """
-    rows = written(sketch(docs, doc_id, text, words), "jaccard-sketch")
-    edges = written(links(docs, rows, text, words, percent), "jaccard-links")
-    component = connected_components(edges).select(F.col("id").alias("_kind"), F.col("component").alias("_root"))
     id_ = F.col(f"`{doc_id}`")
-    kinds = rows.where("_kind is not null").groupBy("_kind").agg(F.min(id_).alias("_low"), F.count("*").alias("_rows"))
-    rooted = written(
-        kinds.join(component, "_kind", "left").withColumn("_root", F.coalesce("_root", "_kind")), "jaccard-roots"
-    )
+    rows, rooted = _rooted(docs, doc_id, text, words, percent, id_)
     lowest = rooted.groupBy("_root").agg(F.min("_low").alias("component_id"), F.count("*").alias("_kinds"))
     named = written(lookup(rooted, lowest, ["_root"], "_kinds").select("_kind", "component_id", "_rows"), "jaccard-named")
     kept = rows.select(id_, "n_shingles", "_kind")
     with_set = lookup(kept.where("_kind is not null"), named, ["_kind"], "_rows")
     return with_set.drop("_kind").unionByName(kept.where("_kind is null").withColumn("component_id", id_).drop("_kind"))
+
+
+def one_of_each_group(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT
+) -> DataFrame:
+    """The rows of ``docs`` that stand for their groups of near copies: one row of each group, all columns.
+
+    Groups are those of sets, whatever the ids: rows of one id with unlinked texts belong to different groups. The row with the
+    smallest id stays (null ids come last; among texts of one id that with the smallest hash; among rows equal in both the first by their
+    other columns). Texts without shingles link with nothing, so all their rows stay, repeated ones too.
+    """
+    id_ = F.col(f"`{doc_id}`")
+    body = F.col(f"`{text}`").cast("string")
+    key = F.concat(F.hex(F.xxhash64(body)), F.hex(F.xxhash64(F.lit(17), body)))
+    keyed = docs.select(F.struct(id_.isNull().alias("no"), id_.alias("id"), key.alias("key")).alias("_row"), body.alias("_body"))
+    _, rooted = _rooted(keyed, "_row", "_body", words, percent, F.col("_row"))
+    first = rooted.groupBy("_root").agg(F.min("_low").alias("_low"))
+    first = first.select(F.col("_low.id").alias("_id"), F.col("_low.key").alias("_text"))
+    shingled = F.coalesce(body.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # rows that are equal in id and text meet first, at most one of each task is shuffled
+    comparable = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() in ("string", "long", "integer", "double", "boolean") and f.name not in (text, doc_id)]
+    order = Window.partitionBy("_id", "_text").orderBy(*(comparable or [F.lit(1)]))
+    single = docs.where(shingled).select("*", id_.alias("_id"), key.alias("_text"))
+    single = single.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    same = F.col("_id").eqNullSafe(F.col("_first_id")) & (F.col("_text") == F.col("_first_text"))
+    named = first.select(F.col("_id").alias("_first_id"), F.col("_text").alias("_first_text"))
+    return single.join(named, same, "left_semi").drop("_id", "_text").unionByName(docs.where(~shingled))

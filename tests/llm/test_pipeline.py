@@ -58,3 +58,32 @@ def test_odd_rows_pass_every_stage(spark):
     for name, stage in cp.STAGES:
         empty = written(stage(spark, empty, SF), f"empty-{name}")
     assert empty.count() == 0
+
+
+def test_no_unlinked_text_is_lost(spark):
+    """Repeated and null ids: what stays is one row per group of linked texts, against brute force."""
+    from test_jaccard import shingles
+
+    a = " ".join(f"alpha{i}" for i in range(60))
+    near = a.replace("alpha59", "omega")
+    b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in ("beta", "gamma"))
+    rows = [(1, a), (5, a), (5, b), (9, b), (5, near), (None, c), (None, c), (7, "two words"), (7, "two words"), (7, "Two  WORDS"), (None, b), (8, None), (8, ""), (8, None), (None, " "), (3, "solo word here")]
+    rows = [(i, t, "en", f"s{k}", k) for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [tuple(r) for r in cp.one_of_each_group(spark, docs.repartition(4), SF).collect()]
+    sets = {t: shingles(t or "") for _, t, *_ in rows}
+    groups = []
+    for t in sets:
+        if sets[t]:
+            touched = [g for g in groups if any(100 * len(sets[t] & sets[o]) >= 75 * len(sets[t] | sets[o]) for o in g)]
+            groups = [g for g in groups if g not in touched] + [set().union({t}, *touched)]
+    bare = [r for r in rows if not sets[r[1]]]
+    assert sorted(map(repr, (r for r in got if not sets[r[1]]))) == sorted(map(repr, bare))
+    kept = [r for r in got if sets[r[1]]]
+    assert len(kept) == len(groups) and set(kept) <= set(rows)
+    for g in groups:
+        ids = [r[0] for r in rows if r[1] in g and r[0] is not None]
+        (one,) = [r for r in kept if r[1] in g]
+        assert one[0] == (min(ids) if ids else None)
+    again = [tuple(r) for r in cp.one_of_each_group(spark, docs.repartition(2), SF).collect()]
+    assert sorted(map(repr, again)) == sorted(map(repr, got))
