@@ -16,14 +16,17 @@ LEAST_LANGUAGE_SCORE = 0.5  # documents below fit none of the learned languages
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier takes for good ones (score 0.5 or more)."""
+    """Documents that the compression classifier takes for good ones (score 0.5 or more).
+
+    The text alone decides: repeated rows go or stay together, and a null text is judged as an empty one.
+    """
     known = table(spark, sf_dir, "documents").where(~held_out())
     model = quality.fit(known, table(spark, sf_dir, "labels").where(~held_out()))
     return quality.score(docs, model, out="_score").where("_score >= 0.5").select(*COLUMNS)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters that fit one of the learned languages."""
+    """Documents with letters that fit one of the learned languages; null texts and texts without letters go, repeated rows stay."""
     model = language.fit(table(spark, sf_dir, "documents").where(~held_out()))
     found = language.identify(docs, model, lang="_lang", score="_score")
     kept = found.where((F.col("_lang") != language.UNDETERMINED) & (F.col("_score") >= LEAST_LANGUAGE_SCORE))
@@ -31,15 +34,16 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that chains of near copies connect, the one with the smallest id; rows without an id stay."""
-    found = jaccard.jaccard_components(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """One row of each group of near copies, that with the smallest id; ids decide nothing else.
+
+    Texts of one id that do not link are groups of their own, null ids come last, equal rows leave one, and
+    rows without words stay as they are.
+    """
+    return jaccard.one_of_each_group(docs).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens with their places in sequences."""
+    """Pieces of at most 1024 tokens with their places in sequences; every row is packed, null texts as empty ones."""
     return packing.pack(packing.pieces(docs, public_tokenizers.path(BYTE_BPE)))
 
 
