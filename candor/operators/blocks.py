@@ -1,12 +1,13 @@
 """Blocked exact cosine joins.
 
 Identical vectors are folded into one representative with a copy count before
-anything is compared. The unit sphere is partitioned around sampled pivots; by
-the triangle inequality on angles a row only meets the cells that can hold a
-row within the threshold, and cells above the block size are split by id hash.
-Every qualifying pair meets in exactly one block pair. A kernel inside the task
-reduces the block pair to what the operator needs (counts, star edges, labels),
-so all pairs are only ever emitted when the pair list itself is the result.
+anything is compared. Rows are placed in cells of a k-d tree over a few principal
+coordinates of a sample. Coordinates never stretch distances, and the length of what they leave
+out is one coordinate more, so the gap between a row and the bounding box of a cell bounds,
+exactly, which cells can hold a row within the threshold. Cells above the block size are split by
+id hash, and inside a block pair the same bound skips whole tiles. Every qualifying pair meets in
+exactly one block pair. A kernel inside the task reduces the block pair to what the operator
+needs (counts, star edges, labels), so all pairs are only ever emitted when the pair list itself is the result.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from pyspark.sql import types as T
 
 from candor import config
 from candor.functions.vectors import unit
+from candor.session import cut_lineage
 
-_TILE = 1024
+_TILE = 128  # rows of a tile inside a block
+_COORDINATES = 8  # principal coordinates that cells and tiles are bounded in
 _DIGITS = 12  # cosines are compared and reported at this precision
 _BLOCKS = 1 << 24  # block numbers per cell in a block code
 
@@ -55,81 +58,171 @@ def _matrix(series: pd.Series) -> np.ndarray:
     return np.stack(series.to_numpy()) if len(series) else np.zeros((0, 1))
 
 
-def _angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(vectors @ pivots.T, -1.0, 1.0))
+def _split(at: np.ndarray, most: int) -> tuple[list, list[np.ndarray]]:
+    """A k-d tree: median splits along the widest coordinate until no leaf has more than ``most`` rows.
 
-
-def _pivot_cells(reps: DataFrame, n: int, threshold: float, block_rows: int) -> DataFrame:
-    """Add ``own`` (cell and block of the row) and ``partners`` (blocks it has to meet)."""
-    wanted = min(config.MAX_PIVOTS, math.ceil(2 * n / block_rows))
-    sample = reps.orderBy(F.xxhash64("vkey"), "vkey").limit(wanted).select("vec").collect()
-    pivots = np.array([r["vec"] for r in sample])
-
-    @F.pandas_udf("cell int, angle double")
-    def nearest(vec: pd.Series) -> pd.DataFrame:
-        angle = _angles(_matrix(vec), pivots)
-        cell = angle.argmin(axis=1)
-        return pd.DataFrame({"cell": cell.astype("int32"), "angle": angle[np.arange(len(cell)), cell]})
-
-    celled = reps.withColumn("_at", nearest("vec")).select("*", "_at.cell", "_at.angle").drop("_at")
-    radius, blocks = np.full(len(pivots), -np.inf), np.zeros(len(pivots), dtype="int64")
-    for r in celled.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect():
-        radius[r["cell"]] = r["radius"]
-        blocks[r["cell"]] = -(-r["n"] // block_rows)
-    reach = radius + math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
-    codes = [c * _BLOCKS + np.arange(b, dtype="int64") for c, b in enumerate(blocks)]
+    Returns nodes (coordinate, value, low child, high child), where a negative child is leaf -1 - child, and the rows of each leaf.
+    """
+    nodes, leaves = [], []
+
+    def grow(rows):
+        part = at[rows]
+        k = int(part.var(axis=0).argmax()) if len(rows) else 0
+        if len(rows) > most:
+            cut = float(np.median(part[:, k]))
+            low = part[:, k] <= cut
+            if low.all():  # a median that is the largest value
+                low = part[:, k] < cut
+                cut = float(np.nextafter(cut, -np.inf))
+            if low.any() and not low.all():
+                me = len(nodes)
+                nodes.append(None)
+                nodes[me] = (k, cut, grow(rows[low]), grow(rows[~low]))
+                return me
+        leaves.append(rows)
+        return -len(leaves)
+
+    grow(np.arange(len(at)))
+    return nodes, leaves
+
+
+def _leaf_of(at: np.ndarray, nodes: list) -> np.ndarray:
+    """Number of the leaf that each row falls into."""
+    if not nodes:
+        return np.zeros(len(at), dtype="int64")
+    table = np.array(nodes, dtype="float64")
+    k, cut, low, high = table[:, 0].astype(int), table[:, 1], table[:, 2].astype(int), table[:, 3].astype(int)
+    node = np.zeros(len(at), dtype="int64")
+    while True:
+        inner = np.flatnonzero(node >= 0)
+        if not len(inner):
+            return -1 - node
+        n = node[inner]
+        node[inner] = np.where(at[inner, k[n]] <= cut[n], low[n], high[n])
+
+
+def _gaps(low: np.ndarray, high: np.ndarray, low_2: np.ndarray, high_2: np.ndarray) -> np.ndarray:
+    """Squared distance between boxes: every row of the first two arrays against every row of the others."""
+    out = np.zeros((len(low), len(low_2)))
+    for k in range(low.shape[1]):
+        gap = np.maximum(low_2[None, :, k] - high[:, None, k], low[:, None, k] - high_2[None, :, k])
+        out += np.maximum(gap, 0) ** 2
+    return out
+
+
+def _reach(threshold: float) -> float:
+    """Squared distance of two unit vectors at the threshold, with room for rounding."""
+    return 2 - 2 * max(-1.0, threshold) + 1e-6
+
+
+def _box_cells(reps: DataFrame, n: int, threshold: float, block_rows: int, first: int) -> tuple[DataFrame, int]:
+    """Add ``at``, ``own`` (cell and block of the row) and ``partners`` (blocks it has to meet); cells are numbered from ``first``."""
+    wanted = min(config.MAX_PIVOTS, n)
+    rows = reps.orderBy(F.xxhash64("vkey"), "vkey").limit(wanted).select("vec").collect()
+    sample = np.array([r["vec"] for r in rows])
+    centre = sample.mean(axis=0)
+    axes = np.linalg.svd(sample - centre, full_matrices=False)[2][:_COORDINATES].T
+
+    def coordinates(vectors: np.ndarray) -> np.ndarray:
+        moved = vectors - centre
+        main = moved @ axes
+        rest = np.sqrt(np.maximum((moved * moved).sum(axis=1) - (main * main).sum(axis=1), 0))
+        return np.column_stack([main, rest])
+
+    cells = max(1, min(config.MAX_PIVOTS // 2, math.ceil(2 * n / block_rows)))
+    nodes, leaves = _split(coordinates(sample), math.ceil(len(sample) / cells))
+
+    @F.pandas_udf("at array<double>, cell int")
+    def placed(vec: pd.Series) -> pd.DataFrame:
+        at = coordinates(_matrix(vec)) if len(vec) else np.zeros((0, axes.shape[1] + 1))
+        return pd.DataFrame({"at": list(at), "cell": _leaf_of(at, nodes).astype("int32")})
+
+    celled = cut_lineage(reps.withColumn("_at", placed("vec")).select("*", "_at.at", "_at.cell").drop("_at"))
+    width = axes.shape[1] + 1
+    low, high, blocks = np.full((len(leaves), width), np.inf), np.full((len(leaves), width), -np.inf), np.zeros(len(leaves), dtype="int64")
+    bounds = [f(F.get("at", i)) for i in range(width) for f in (F.min, F.max)]
+    for r in celled.groupBy("cell").agg(F.count("*"), *bounds).collect():
+        low[r[0]], high[r[0]], blocks[r[0]] = r[2::2], r[3::2], -(-r[1] // block_rows)
+    reach = _reach(threshold)
+    codes = [(first + c) * _BLOCKS + np.arange(b, dtype="int64") for c, b in enumerate(blocks)]
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
-    def partners(vec: pd.Series) -> pd.Series:
-        near = _angles(_matrix(vec), pivots) <= reach
+    def partners(at: pd.Series) -> pd.Series:
+        if not len(at):
+            return pd.Series([], dtype=object)
+        rows = _matrix(at)
+        near = _gaps(rows, rows, low, high) <= reach
         return pd.Series([np.concatenate([codes[c] for c in np.flatnonzero(row)]) for row in near])
 
     split = F.element_at(F.array(*[F.lit(int(b)) for b in np.maximum(blocks, 1)]), F.col("cell") + 1)
-    return celled.withColumn(
-        "own", F.col("cell").cast("long") * F.lit(_BLOCKS) + F.pmod(F.xxhash64("rep", "vkey"), split)
-    ).withColumn("partners", partners("vec"))
-
-
-def _scope_cells(reps: DataFrame, n: int, scope: str, block_rows: int) -> DataFrame:
-    """Cells by scope hash: rows of one scope share a cell, oversized cells are split."""
-    cells = max(1, min(config.MAX_PIVOTS, math.ceil(2 * n / block_rows)))
-    celled = reps.withColumn("cell", F.pmod(F.xxhash64(scope), F.lit(cells)).cast("int"))
-    blocks = np.ones(cells, dtype="int64")
-    for r in celled.groupBy("cell").count().collect():
-        blocks[r["cell"]] = -(-r["count"] // block_rows)
-    split = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell") + 1)
-    base = F.col("cell").cast("long") * F.lit(_BLOCKS)
-    return celled.withColumn("own", base + F.pmod(F.xxhash64("rep", "vkey"), split)).withColumn(
-        "partners", F.sequence(base, base + split - 1)
+    own = (F.col("cell").cast("long") + first) * F.lit(_BLOCKS) + F.pmod(F.xxhash64("rep", "vkey"), split)
+    return celled.withColumn("own", own).withColumn("partners", partners("at")).drop("cell"), len(leaves)
+
+
+def _scope_cells(reps: DataFrame, n: int, scope: str, block_rows: int, lengths: list[int]) -> DataFrame:
+    """Cells by scope value: small scopes share cells by hash, a scope above ``block_rows`` rows has blocks of its own."""
+    kind = F.xxhash64(scope, F.size("vec"))
+    large = reps.groupBy(kind.alias("_kind")).agg(F.count("*").alias("_rows")).where(F.col("_rows") > block_rows)
+    cells = max(1, math.ceil(2 * n / block_rows))
+    length = F.array_position(F.array(*[F.lit(int(x)) for x in lengths]), F.size("vec")) - 1
+    shared = length * F.lit(cells) + F.pmod(F.xxhash64(scope), F.lit(cells))
+    parts = F.ceil(F.col("_rows") / block_rows)
+    base = F.lit(1 << 62) + F.col("_kind").bitwiseAND((1 << 38) - 1) * F.lit(_BLOCKS)
+    alone = F.col("_rows").isNotNull()
+    return (
+        reps.withColumn("_kind", kind)
+        .join(large, "_kind", "left")
+        .withColumn("at", F.lit(None).cast("array<double>"))
+        .withColumn("own", F.when(alone, base + F.pmod(F.xxhash64("rep", "vkey"), parts)).otherwise(shared))
+        .withColumn("partners", F.when(alone, F.sequence(base, base + parts - 1)).otherwise(F.array(shared)))
+        .drop("_kind", "_rows")
     )
 
 
-def _matches(vec, left, right, threshold, strict, same):
-    """Index pairs at or above the threshold, one tile of rows at a time."""
-    for start in range(0, len(left), _TILE):
-        li = left[start : start + _TILE]
-        sims = vec[li] @ vec[right].T
-        near = sims >= threshold - 1e-9
+def _tiles(rows: np.ndarray, at: np.ndarray | None):
+    """(rows, lowest, highest coordinates) of the tiles of a block; one box without bounds where no coordinates are known."""
+    if at is None:
+        parts = [rows[i : i + _TILE * 8] for i in range(0, len(rows), _TILE * 8)]
+        return parts, None, None
+    parts = [rows[p] for p in _split(at[rows], _TILE)[1]]
+    return parts, np.array([at[p].min(axis=0) for p in parts]), np.array([at[p].max(axis=0) for p in parts])
+
+
+def _matches(vec, at, left, right, threshold, strict, same):
+    """Index pairs at or above the threshold, one tile of rows against all tiles in reach at a time."""
+    if not len(left) or not len(right):
+        return
+    parts, low, high = _tiles(left, at)
+    others, low_2, high_2 = (parts, low, high) if same else _tiles(right, at)
+    near_by = np.ones((len(parts), len(others)), dtype=bool) if at is None else _gaps(low, high, low_2, high_2) <= _reach(threshold)
+    for t, li in enumerate(parts):
         if same:
-            near &= np.arange(len(right))[None, :] > (start + np.arange(len(li)))[:, None]
+            near_by[t, :t] = False  # met already
+        met = np.flatnonzero(near_by[t])
+        if not len(met):
+            continue
+        ri = np.concatenate([others[o] for o in met])
+        sims = vec[li] @ vec[ri].T
+        near = sims >= threshold - 1e-9
+        if same and met[0] == t:  # a tile with itself: each pair once
+            near[:, : len(li)] &= np.triu(np.ones((len(li), len(li)), dtype=bool), 1)
         a, b = np.nonzero(near)
         s = np.round(sims[a, b], _DIGITS)
         ok = s > threshold if strict else s >= threshold
         if ok.any():
-            yield li[a[ok]], right[b[ok]], s[ok]
+            yield li[a[ok]], ri[b[ok]], s[ok]
 
 
 def _group_matches(table: pa.Table, threshold, strict, by_scope):
     """Matching index pairs of one block pair; ``by_scope`` keeps pairs of one scope only."""
-    column = table.column("vec").combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    vec = flat.reshape(table.num_rows, -1)
+    vec = _array(table, "vec")
+    at = None if table.column("at").null_count else _array(table, "at")
     own = table.column("own").to_numpy()
     same = own.min() == own.max()
     side = own == own.min()
     every = np.arange(table.num_rows)
     if not by_scope:
-        yield from _matches(vec, every[side], every if same else every[~side], threshold, strict, same)
+        yield from _matches(vec, at, every[side], every if same else every[~side], threshold, strict, same)
         return
     scope = table.column("scope").to_numpy()
     order = np.argsort(scope, kind="stable")
@@ -137,34 +230,41 @@ def _group_matches(table: pa.Table, threshold, strict, by_scope):
     for part in np.split(order, cuts):
         left = part[side[part]]
         right = part if same else part[~side[part]]
-        if len(left) and len(right):
-            yield from _matches(vec, left, right, threshold, strict, same)
+        yield from _matches(vec, at, left, right, threshold, strict, same)
+
+
+def _array(table: pa.Table, name: str) -> np.ndarray:
+    flat = table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(table.num_rows, -1)
 
 
 def place(
     reps: DataFrame,
     threshold: float,
     scope: str | None = None,
-    prune: str = "pivots",
+    prune: str = "boxes",
     block_rows: int = config.BLOCK_ROWS,
 ) -> DataFrame:
     """Give every representative its block and the blocks it has to meet.
 
     ``reps`` has rep, vkey, copies, vec and is materialised by the caller. Any
     subset of the placed rows may be joined with any threshold from the given
-    one upwards. ``prune`` picks the cells: around pivots, or by scope value.
+    one upwards. ``prune`` picks the cells: around boxes, or by scope value.
+    Vectors of different lengths never share a cell, so they do not match.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    n, shortest, longest = reps.agg(F.count("*"), F.min(F.size("vec")), F.max(F.size("vec"))).first()
-    if n and shortest != longest:
-        raise ValueError("all vectors of a similarity join must have the same length")
-    if n == 0:
-        empty = F.array().cast("array<bigint>")
-        return reps.withColumn("own", F.lit(0).cast("long")).withColumn("partners", empty)
-    if prune == "pivots":
-        return _pivot_cells(reps, n, threshold, block_rows)
-    return _scope_cells(reps, n, scope, block_rows)
+    # one row per embedding model's length
+    sizes = {r[0]: r[1] for r in reps.groupBy(F.size("vec")).count().orderBy(F.size("vec")).collect()}
+    if prune == "scope":
+        return _scope_cells(reps, sum(sizes.values()), scope, block_rows, list(sizes) or [0])
+    out, first = None, 0
+    for length, n in sizes.items():
+        placed, cells = _box_cells(reps.where(F.size("vec") == length), n, threshold, block_rows, first)
+        out, first = placed if out is None else out.unionByName(placed), first + cells
+    if out is not None:
+        return out
+    return reps.select("*", F.array().cast("array<double>").alias("at"), F.lit(0).cast("long").alias("own"), F.array().cast("array<bigint>").alias("partners"))
 
 
 def blocked_join(
@@ -184,7 +284,7 @@ def blocked_join(
     """
     code = F.xxhash64(scope) if scope else F.lit(0).cast("long")
     rows = (
-        placed.select("rep", "copies", "vec", code.alias("scope"), *carry, "own", F.explode("partners").alias("other"))
+        placed.select("rep", "copies", "vec", "at", code.alias("scope"), *carry, "own", F.explode("partners").alias("other"))
         .withColumn("lo", F.least("own", "other"))
         .withColumn("hi", F.greatest("own", "other"))
         .drop("other")
@@ -246,12 +346,10 @@ def degree_kernel(table, matches):
     return {"rep": table.column("rep").to_numpy(zero_copy_only=False)[hit], "degree": degree[hit]}
 
 
-def star_kernel(table, matches):
-    """Edges from each row to the smallest row of its connected part of this block pair."""
-    rep = table.column("rep").to_numpy(zero_copy_only=False)
-    rank = np.argsort(np.argsort(rep, kind="stable"), kind="stable")
-    root = np.arange(len(rep))  # indexed by rank, so smaller root = smaller rep
-    for i, j, _ in matches:
+def _roots(rank: np.ndarray, found: list) -> np.ndarray:
+    """Smallest rank of the connected part of each rank, over the index pairs ``found``."""
+    root = np.arange(len(rank))
+    for i, j in found:
         a, b = rank[i], rank[j]
         while True:
             ra, rb = root[a], root[b]
@@ -264,26 +362,71 @@ def star_kernel(table, matches):
                 if (nxt == root).all():
                     break
                 root = nxt
-    ordered = np.empty(len(rep), dtype=object)
-    ordered[rank] = rep
-    away = np.flatnonzero(root != np.arange(len(root)))
-    return {"src": ordered[root[away]], "dst": ordered[away]}
+    return root
 
 
-def border_kernel(table, matches):
-    """Smallest cluster label among the labelled neighbours of each unlabelled row."""
-    label = table.column("label").to_numpy(zero_copy_only=False)
-    rep = table.column("rep").to_numpy(zero_copy_only=False)
-    known = np.array([x is not None for x in label], dtype=bool)
-    names, codes = np.unique(label[known].astype(str), return_inverse=True) if known.any() else ([], [])
-    code = np.full(len(rep), len(names), dtype="int64")
-    code[known] = codes
-    best = np.full(len(rep), len(names), dtype="int64")
-    for i, j, _ in matches:
-        np.minimum.at(best, i, code[j])
-        np.minimum.at(best, j, code[i])
-    hit = np.flatnonzero(~known & (best < len(names)))
-    return {"rep": rep[hit], "label": [str(names[c]) for c in best[hit]]}
+CLUSTER_SCHEMA = "kind string, rep string, platform string, other string, n long"
+
+
+def cluster_kernel(min_samples: int, platforms: bool = False):
+    """One pass for density clusters, and for platform counts where ``platforms`` says so.
+
+    Rows: ``degree`` (n neighbours of rep in this block pair, copies included); ``star`` (edges that connect what the rows connect that
+    are core rows within this block pair already); ``edge`` (each other match, of which a row that is
+    not core here has fewer than ``min_samples``); ``platform`` (n rows of platform ``other`` that rep matches).
+    """
+
+    def run(table, matches):
+        rep = table.column("rep").to_numpy(zero_copy_only=False)
+        copies = table.column("copies").to_numpy()
+        degree = np.zeros(len(rep), dtype="int64")
+        found = []
+        for i, j, _ in matches:
+            degree += np.bincount(i, copies[j], len(rep)).astype("int64") + np.bincount(j, copies[i], len(rep)).astype("int64")
+            found.append((i.astype("int32"), j.astype("int32")))
+        core = degree + copies >= min_samples
+        order = np.argsort(rep, kind="stable")
+        rank = np.empty(len(rep), dtype="int64")
+        rank[order] = np.arange(len(rep))
+        inner = [core[i] & core[j] for i, j in found]
+        root = _roots(rank, [(i[c], j[c]) for (i, j), c in zip(found, inner)])
+        away = np.flatnonzero(root != np.arange(len(root)))
+        none = np.zeros(0, dtype="int64")
+        one, two = (np.concatenate([x[k][~c] for x, c in zip(found, inner)] or [none]) for k in (0, 1))
+        hit = np.flatnonzero(degree)
+        parts = [
+            ("degree", rep[hit], None, None, degree[hit]),
+            ("star", rep[order[root[away]]], None, rep[order[away]], None),
+            ("edge", rep[one], None, rep[two], None),
+        ]
+        if platforms:
+            parts.append(("platform", *_platform_counts(rep, copies, table.column("platform").to_numpy(zero_copy_only=False), found)))
+        columns = {name: [] for name in ("kind", "rep", "platform", "other", "n")}
+        for kind, *values in parts:
+            size = len(values[0])
+            columns["kind"] += [kind] * size
+            for name, x in zip(("rep", "platform", "other", "n"), values):
+                columns[name] += [None] * size if x is None else list(x)
+        return columns
+
+    return run
+
+
+def _platform_counts(rep, copies, platform, found):
+    """(rep, platform, other, n) of the matches between different platforms; null platforms take no part."""
+    known = np.array([p is not None for p in platform], dtype=bool)
+    names, at = np.unique(np.where(known, platform, "").astype(str), return_inverse=True)
+    keys, weights = [np.zeros(0, dtype="int64")], [np.zeros(0, dtype="int64")]
+    for i, j in found:
+        cross = (at[i] != at[j]) & known[i] & known[j]
+        for x, y in ((i[cross], j[cross]), (j[cross], i[cross])):
+            key, n = np.unique(x.astype("int64") * len(names) + at[y], return_inverse=True)
+            keys.append(key)
+            weights.append(np.bincount(n, copies[y], len(key)).astype("int64"))
+    key, back = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(back, np.concatenate(weights), len(key)).astype("int64")
+    row, col = key // len(names), key % len(names)
+    return rep[row], [str(names[x]) for x in at[row]], [str(names[x]) for x in col], total
 
 
 def scope_count_kernel(table, matches):
@@ -300,19 +443,6 @@ def scope_count_kernel(table, matches):
 
 def platform_kernel(table, matches):
     """Per row and other platform: how many rows of that platform it matches."""
-    rep = table.column("rep").to_numpy(zero_copy_only=False)
-    copies = table.column("copies").to_numpy()
-    names, at = np.unique(table.column("platform").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
-    hits = np.zeros((len(rep), len(names)), dtype="int64")
-    for i, j, _ in matches:
-        cross = at[i] != at[j]
-        i, j = i[cross], j[cross]
-        np.add.at(hits, (i, at[j]), copies[j])
-        np.add.at(hits, (j, at[i]), copies[i])
-    row, col = np.nonzero(hits)
-    return {
-        "rep": rep[row],
-        "platform": [str(names[x]) for x in at[row]],
-        "other": [str(names[x]) for x in col],
-        "matches": hits[row, col],
-    }
+    rep, platform = (table.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "platform"))
+    found = [(i, j) for i, j, _ in matches]
+    return dict(zip(("rep", "platform", "other", "matches"), _platform_counts(rep, table.column("copies").to_numpy(), platform, found)))

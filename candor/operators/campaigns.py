@@ -181,16 +181,35 @@ def cross_platform(
 
     Rows of a platform with the same vector are folded first, and the blocks
     report match counts per row and other platform instead of the match list
-    (``cross_platform_matches`` lists it).
+    (``cross_platform_matches`` lists it). Vectors of different lengths do not match.
     """
-    sizes = df.groupBy(platform).agg(F.count("*").alias("weight")).where(F.col("weight") >= min_rows)
-    rows = lookup(df.select(id, vector, F.col(platform)), sizes, [platform], "weight").withColumnRenamed(platform, "platform")
-    members = cut_lineage(blocks.unit_members(rows, id, vector, ["platform"]))
-    reps = cut_lineage(blocks.representatives(members, "platform"))
+    members = cut_lineage(platform_members(df, id, platform, vector))
+    reps = cut_lineage(blocks.representatives(members.where("platform is not null"), "platform"))
     placed = blocks.place(reps, threshold, block_rows=block_rows)
     schema = "rep string, platform string, other string, matches long"
     partial = blocks.blocked_join(placed, blocks.platform_kernel, schema, threshold, carry=["platform"])
-    hits = partial.groupBy("rep", "platform", "other").agg(F.sum("matches").alias("matches"))
+    return cross_platform_findings(platform_sizes(df, platform), members, reps, partial, min_rows, min_matches)
+
+
+def platform_sizes(df: DataFrame, platform: str) -> DataFrame:
+    return df.groupBy(F.col(platform).cast("string").alias("platform")).agg(F.count("*").alias("weight"))
+
+
+def platform_members(df: DataFrame, id: str, platform: str, vector: str) -> DataFrame:
+    """(id, platform, vkey, vec) of every row with a vector."""
+    return blocks.unit_members(df.select(id, vector, F.col(platform).cast("string").alias("platform")), id, vector, ["platform"])
+
+
+def cross_platform_findings(
+    sizes: DataFrame, members: DataFrame, reps: DataFrame, partial: DataFrame, min_rows: int = 2, min_matches: int = 2
+) -> tuple[DataFrame, DataFrame]:
+    """Campaigns and members from match counts per block pair: ``partial`` has rep, platform, other, matches.
+
+    Platforms with fewer than ``min_rows`` rows take no part.
+    """
+    sizes = sizes.where(F.col("weight") >= min_rows)
+    hits = cut_lineage(partial.groupBy("rep", "platform", "other").agg(F.sum("matches").alias("matches")))
+    hits = hits.join(sizes.select("platform"), "platform", "left_semi").join(sizes.select(F.col("platform").alias("other")), "other", "left_semi")
     hits = cut_lineage(hits.join(reps.select("rep", "platform", "vkey", "copies"), ["rep", "platform"]))
     ordered = hits.withColumn("platform_1", F.least("platform", "other")).withColumn("platform_2", F.greatest("platform", "other"))
     key = F.concat_ws("_", F.lit("cross_platform"), "platform_1", "platform_2")
@@ -257,4 +276,6 @@ def shared_hours(one: DataFrame, two: DataFrame, ts: str = "timestamp") -> DataF
 
 def in_hours(df: DataFrame, hours: DataFrame, ts: str = "timestamp") -> DataFrame:
     """Rows of the given hours."""
-    return df.withColumn("hour", hour_of(ts)).join(hours.select("hour").distinct(), "hour", "left_semi")
+    rows = df.withColumn("hour", hour_of(ts))
+    counts = rows.groupBy("hour").agg(F.count("*").alias("_rows")).join(hours.select("hour").distinct(), "hour", "left_semi")
+    return lookup(rows, cut_lineage(counts), ["hour"], "_rows")

@@ -82,76 +82,108 @@ def similarity_graph(pairs: DataFrame, vertices: DataFrame) -> tuple[DataFrame,
     return vertices.select(F.col("id").cast("string").alias("id")), edges
 
 
+def factorised_graph(ids: DataFrame, members: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vertices, edges, named) of a similarity graph whose copies are one weighted vertex each.
+
+    ``members`` and ``pairs`` come from ``pairs.similar_groups``; ``ids`` (column ``id``) has every id once, also those without a
+    usable vector. A vertex of n copies stands for n ids that are all linked with each other and have the same neighbours.
+    ``named`` maps every id to its vertex (columns id, rep, copies).
+    """
+    grouped = members.select("id", "rep", "copies")
+    alone = ids.select(F.col("id").cast("string").alias("id")).join(grouped.select("id"), "id", "left_anti")
+    named = cut_lineage(grouped.unionByName(alone.select("id", F.col("id").alias("rep"), F.lit(1).cast("long").alias("copies"))))
+    vertices = cut_lineage(named.where("id = rep").select("id", "copies"))
+    return vertices, cut_lineage(pairs.select(F.col("rep_1").alias("src"), F.col("rep_2").alias("dst"))), named
+
+
+def of_ids(found: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows per vertex (column ``id``) -> rows per id; the vertices of many copies are broadcast."""
+    table = found.withColumnRenamed("id", "rep").join(named.where("id = rep").select("rep", F.col("copies").alias("_weight")), "rep")
+    rows = lookup(named.select("id", "rep"), table, ["rep"], "_weight")
+    return rows.drop("rep")
+
+
 def clustering_coefficients(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, degree, triangles, coefficient); a degree below 2 counts 0.
 
-    Edges are directed from the lower to the higher (degree, id), which bounds
-    every neighbour list by sqrt(2 * edges); only closed triangles are emitted.
+    Where ``vertices`` has a column ``copies``, a vertex stands for so many ids that are linked with each other, and the
+    row holds what each of them has; their edges and triangles are counted in closed form and never listed.
+    Edges are directed from the lower to the higher (number of neighbours, id), which bounds
+    every neighbour list by sqrt(2 * edges); only closed triangles of vertices are emitted.
     """
-    pairs = edges.select("src", "dst").distinct()
-    degree = _both_ways(pairs).groupBy(F.col("u").alias("id")).agg(F.count("*").alias("degree"))
-    one = degree.select(F.col("id").alias("src"), F.col("degree").alias("d1"))
-    two = degree.select(F.col("id").alias("dst"), F.col("degree").alias("d2"))
+    weighed = "copies" in vertices.columns
+    vertices = vertices.select("id", (F.col("copies") if weighed else F.lit(1)).cast("long").alias("copies"))
+    pairs = cut_lineage(edges.select("src", "dst").distinct())
     twice = 2 * pairs.count()
-    first = lookup(pairs, one.withColumn("w", F.col("d1")), ["src"], "w", total=twice)
-    ranked = lookup(first, two.withColumn("w", F.col("d2")), ["dst"], "w", total=twice)
+    around = cut_lineage(_both_ways(pairs).groupBy(F.col("u").alias("id")).agg(F.count("*").alias("d")).join(vertices, "id"))
+    one = around.select(F.col("id").alias("src"), F.col("d").alias("d1"), F.col("copies").alias("c1"), F.col("d").alias("w"))
+    two = around.select(F.col("id").alias("dst"), F.col("d").alias("d2"), F.col("copies").alias("c2"), F.col("d").alias("w"))
+    first = lookup(pairs, one, ["src"], "w", total=twice)
+    ranked = lookup(first, two, ["dst"], "w", total=twice)
     forward = (F.col("d1") < F.col("d2")) | ((F.col("d1") == F.col("d2")) & (F.col("src") < F.col("dst")))
+    low, high = F.struct(F.col("src").alias("id"), F.col("c1").alias("c")), F.struct(F.col("dst").alias("id"), F.col("c2").alias("c"))
     directed = cut_lineage(
-        ranked.select(
-            F.when(forward, F.col("src")).otherwise(F.col("dst")).alias("a"),
-            F.when(forward, F.col("dst")).otherwise(F.col("src")).alias("b"),
+        ranked.select(F.when(forward, low).otherwise(high).alias("x"), F.when(forward, high).otherwise(low).alias("y")).select(
+            F.col("x.id").alias("a"), F.col("x.c").alias("ca"), F.col("y.id").alias("b"), F.col("y.c").alias("cb")
         )
     )
-    ahead = directed.groupBy("a").agg(F.collect_list("b").alias("next"))
+    # ids of neighbouring vertices, and pairs of them within one vertex
+    ends = directed.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("cb").alias("c")), F.struct(F.col("b").alias("id"), F.col("ca").alias("c")))).alias("e"))
+    near = ends.groupBy("e.id").agg(F.sum("e.c").alias("near"), F.sum(F.expr("e.c * (e.c - 1) div 2")).alias("near_pairs"))
+    ahead = directed.groupBy("a").agg(F.collect_list(F.struct(F.col("b").alias("id"), F.col("cb").alias("c"))).alias("next"))
     closed = (
         balanced_join(directed, ahead.select(F.col("a").alias("b"), F.col("next").alias("from_b")), ["b"])
         .join(ahead.withColumnRenamed("next", "from_a"), "a")
-        .select("a", "b", F.array_intersect("from_a", "from_b").alias("common"))
+        .select("a", "b", "ca", "cb", F.array_intersect("from_a", "from_b").alias("common"))
         .where(F.size("common") > 0)
     )
-    ends = closed.select(F.explode(F.array("a", "b")).alias("id"), F.size("common").cast("long").alias("t"))
-    far = closed.select(F.explode("common").alias("id"), F.lit(1).cast("long").alias("t"))
-    triangles = ends.unionByName(far).groupBy("id").agg(F.sum("t").alias("triangles"))
-    d = F.coalesce("degree", F.lit(0).cast("long"))
-    t = F.coalesce("triangles", F.lit(0).cast("long"))
-    return (
-        vertices.select("id")
-        .join(degree, "id", "left")
-        .join(triangles, "id", "left")
-        .select(
-            "id",
-            d.alias("degree"),
-            t.alias("triangles"),
-            F.when(d >= 2, 2.0 * t / (d * (d - 1))).otherwise(0.0).alias("coefficient"),
-        )
+    far = F.aggregate("common", F.lit(0).cast("long"), lambda s, x: s + x["c"])
+    both = closed.select(F.explode(F.array(
+        F.struct(F.col("a").alias("id"), (F.col("cb") * far).alias("t")), F.struct(F.col("b").alias("id"), (F.col("ca") * far).alias("t"))
+    )).alias("e")).select("e.id", "e.t")
+    third = closed.select("ca", "cb", F.explode("common").alias("x")).select("x.id", (F.col("ca") * F.col("cb")).alias("t"))
+    triangles = both.unionByName(third).groupBy("id").agg(F.sum("t").alias("triangles"))
+    zero = F.lit(0).cast("long")
+    n, s, p = F.col("copies"), F.coalesce("near", zero), F.coalesce("near_pairs", zero)
+    own = F.expr("(copies - 1) * (copies - 2) div 2")
+    counted = vertices.join(near, "id", "left").join(triangles, "id", "left").select(
+        "id", (n - 1 + s).alias("degree"), (own + (n - 1) * s + p + F.coalesce("triangles", zero)).alias("triangles")
     )
+    d, t = F.col("degree"), F.col("triangles")
+    return counted.select("id", "degree", "triangles", F.when(d >= 2, 2.0 * t / (d * (d - 1))).otherwise(0.0).alias("coefficient"))
 
 
 def density(nodes, edges):
     return F.when(nodes > 1, 2.0 * edges / (nodes * (nodes - 1))).otherwise(0.0)
 
 
-def analyze_network(vertices: DataFrame, edges: DataFrame, min_size: int = config.CAMPAIGN_MIN_SIZE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Components of at least ``min_size`` nodes, their members, and graph-wide metrics."""
+def analyze_network(
+    vertices: DataFrame, edges: DataFrame, min_size: int = config.CAMPAIGN_MIN_SIZE, named: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Components of at least ``min_size`` ids, their members, and graph-wide metrics.
+
+    With weighted vertices (``factorised_graph``) every figure is that of the ids; ``named`` then gives the members their ids.
+    """
+    weighed = vertices.select("id", (F.col("copies") if "copies" in vertices.columns else F.lit(1)).cast("long").alias("copies"))
     members = cut_lineage(
-        clustering_coefficients(vertices, edges).join(
-            connected_components(edges.select("src", "dst"), vertices), "id"
-        )
-    )
-    shape = members.groupBy("component").agg(
-        F.count("*").alias("size"),
-        (F.sum("degree") / 2).cast("long").alias("edges"),
-        F.avg("coefficient").alias("avg_clustering"),
+        clustering_coefficients(weighed, edges)
+        .join(connected_components(edges.select("src", "dst"), weighed), "id")
+        .join(weighed, "id")
     )
-    components = shape.where(F.col("size") >= min_size).select(
+    n = F.sum("copies")
+    ends = (F.sum(F.col("degree") * F.col("copies")) / 2).cast("long")
+    mean = F.sum(F.col("coefficient") * F.col("copies")) / n
+    shape = members.groupBy("component").agg(n.alias("size"), F.count("*").alias("weight"), ends.alias("edges"), mean.alias("avg_clustering"))
+    large = shape.where(F.col("size") >= min_size)
+    components = large.select(
         "component", "size", "edges", density(F.col("size"), F.col("edges")).alias("density"), "avg_clustering"
     )
-    reported = lookup(members.select("id", "component"), components.select("component", "size"), ["component"], "size")
+    reported = lookup(members.select("id", "component"), large.select("component", "weight"), ["component"], "weight")
     totals = members.agg(
-        F.count("*").alias("total_nodes"),
-        (F.sum("degree") / 2).cast("long").alias("total_edges"),
+        n.alias("total_nodes"),
+        ends.alias("total_edges"),
         F.count_if(F.col("id") == F.col("component")).alias("number_of_components"),
-        F.avg("coefficient").alias("avg_clustering"),
+        mean.alias("avg_clustering"),
     )
     metrics = totals.withColumn("density", density(F.col("total_nodes"), F.col("total_edges")))
-    return components, reported, metrics
+    return components, reported if named is None else of_ids(reported, named), metrics

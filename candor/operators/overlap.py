@@ -28,58 +28,49 @@ def distinct_token_sets(df: DataFrame, id: str, text: str) -> tuple[DataFrame, D
     return named, sets.withColumn("key", F.col("first_id"))
 
 
-def frequent_tokens(postings: DataFrame, limit: int = 100_000) -> DataFrame:
-    """Tokens above 1/``limit`` of all postings: at most ``limit`` rows."""
+def ordered_sets(sets: DataFrame) -> DataFrame:
+    """Each set with its tokens as (df, token hash), the rarest first: ``ts``; the order is the same for all sets.
+
+    ``df`` is the number of sets with the token. Counts are attached by a join that broadcasts only the few heavy tokens.
+    """
+    hashed = F.explode(F.transform("tokens", lambda t: F.xxhash64(t))).alias("token")
+    postings = cut_lineage(sets.select("first_id", hashed))
     counts = cut_lineage(postings.groupBy("token").agg(F.count("*").alias("df")))
-    total = counts.agg(F.sum("df")).first()[0] or 0
-    return counts.where(F.col("df") > total / limit)
+    counted = lookup(postings, counts.withColumn("weight", F.col("df")), ["token"], "weight")
+    ranked = counted.groupBy("first_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))
+    return cut_lineage(
+        sets.select("first_id", "last_id", "copies", F.size("tokens").alias("size")).join(ranked, "first_id")
+    )
 
 
-def overlap_set_pairs(sets: DataFrame, min_ratio: float = 0.5, posting: int = 2_000) -> DataFrame:
+def overlap_set_pairs(sets: DataFrame, ordered: DataFrame, min_ratio: float = 0.5, posting: int = 2_000) -> DataFrame:
     """(key_1, key_2, ratio): |A and B| / |A| > ``min_ratio`` over ordered pairs of sets.
 
-    Exact prefix filter with a count. At least k + 1 tokens must be shared, with
-    k = floor(min_ratio * |A|). All but 0.8 k tokens of A are probed, the rarest
-    first; the rest can supply at most 0.8 k shared tokens, so a pair with fewer
-    than k + 1 - 0.8 k probe hits is out without being looked at. Hits are counted
+    Exact prefix filter with a count. At least k + 1 tokens must be shared, with k = floor(min_ratio * |A|). Some of
+    A's tokens are probed, the rarest first; the rest can supply only so many shared tokens, so a pair with fewer
+    probe hits than what is missing is out without being looked at. Low ratios leave out 0.8 k tokens and ask for many hits, high ones
+    leave out k - 2 and ask for three. A hit at place i of A and j of B (both in the order of
+    rarity) bounds the shared tokens by min(i, j) before it and by what is left of either set behind it; hits
+    that cannot belong to a pair are not joined. Hits are counted
     on token hashes, where a collision can only add a candidate; the ratio comes
-    from the tokens themselves. Tokens are ranked by frequency where it matters (the broadcast frequent ones, at most
-    100 000) and by hash below that. Posting lists above ``posting`` rows are split
+    from the tokens themselves. Posting lists above ``posting`` rows are split
     over salts on one side and replicated on the other.
     """
-    sized = sets.withColumn("size", F.size("tokens"))
-    hashed = F.explode(F.transform("tokens", lambda t: F.xxhash64(t))).alias("token")
-    postings = sized.select("first_id", "last_id", "copies", "size", hashed)
-    frequent = F.broadcast(frequent_tokens(postings))
-    postings = cut_lineage(
-        postings.join(frequent, "token", "left").withColumn("df", F.coalesce("df", F.lit(0)).cast("long"))
-    )
     required = F.floor(F.col("size") * min_ratio)
-    rest = F.floor(required * 0.8)
-    ranked = F.sort_array(F.collect_list(F.struct("df", "token")))
-    probes = (
-        postings.groupBy("first_id", "size", "copies")
-        .agg(ranked.alias("ts"))
-        .select(
-            "first_id",
-            "size",
-            "copies",
-            (required + 1 - rest).alias("needed"),
-            F.explode(F.slice("ts", F.lit(1), (F.col("size") - rest).cast("int"))).alias("t"),
-        )
-        .select("first_id", "size", "copies", "needed", F.col("t.token").alias("token"), F.col("t.df").alias("df"))
-    )
-    salts = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("df") / posting))
-    left = probes.select(
-        F.col("first_id").alias("key_1"), F.col("size").alias("size_1"), F.col("copies").alias("copies_1"), "needed", "token",
-        F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"),
-    )
-    right = postings.select(
-        F.col("first_id").alias("key_2"), F.col("size").alias("size_2"), F.col("last_id").alias("last_2"), "token",
-        F.pmod(F.xxhash64("first_id"), salts).alias("salt"),
-    )
+    rest = F.greatest(F.floor(required * 0.8), required - 2) if min_ratio >= 0.8 else F.floor(required * 0.8)
+    probed = (F.col("size") - rest).cast("int")
+    salts = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("t.df") / posting))
+    left = ordered.select(
+        F.col("first_id").alias("key_1"), F.col("size").alias("size_1"), F.col("copies").alias("copies_1"), required.alias("required"),
+        (required + 1 - rest).alias("needed"), F.posexplode(F.slice("ts", F.lit(1), probed)).alias("place_1", "t"),
+    ).select("*", F.col("t.token").alias("token"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt")).drop("t")
+    right = ordered.select(
+        F.col("first_id").alias("key_2"), F.col("size").alias("size_2"), F.col("last_id").alias("last_2"), F.posexplode("ts").alias("place_2", "t"),
+    ).select("*", F.col("t.token").alias("token"), F.pmod(F.xxhash64("key_2"), salts).alias("salt")).drop("t")
     # a pair needs an id of A below an id of B, and B at least as many tokens as must be shared
-    useful = (F.col("key_1") < F.col("last_2")) & (F.col("size_2") > F.col("size_1") * min_ratio)
+    useful = (F.col("key_1") < F.col("last_2")) & (F.col("size_2") > F.col("required"))
+    behind = F.least(F.col("size_1") - F.col("place_1"), F.col("size_2") - F.col("place_2"))
+    useful &= F.least("place_1", "place_2") + behind > F.col("required")
     differs = (F.col("key_1") != F.col("key_2")) | (F.col("copies_1") > 1)
     candidates = (
         left.join(right, ["token", "salt"])
@@ -90,8 +81,8 @@ def overlap_set_pairs(sets: DataFrame, min_ratio: float = 0.5, posting: int = 2_
         .select("key_1", "key_2")
     )
     candidates = cut_lineage(candidates)
-    one = sized.select(F.col("first_id").alias("key_1"), F.col("tokens").alias("t1"))
-    two = sized.select(F.col("first_id").alias("key_2"), F.col("tokens").alias("t2"))
+    one = sets.select(F.col("first_id").alias("key_1"), F.col("tokens").alias("t1"))
+    two = sets.select(F.col("first_id").alias("key_2"), F.col("tokens").alias("t2"))
     shared = F.size(F.array_intersect("t1", "t2"))
     return (
         balanced_join(balanced_join(candidates, one, ["key_1"]), two, ["key_2"])
@@ -139,14 +130,26 @@ def _top_pairs(found: DataFrame, members: DataFrame, sets: DataFrame, k: int) ->
     )
 
 
+#: ratios that a top-k search starts from, one after the other, until k pairs lie above one
+DESCENT = (0.95, 0.8)
+
+
 def word_overlap_pairs(
     df: DataFrame, id: str = "id", text: str = "content", min_words: int = 5, min_ratio: float = 0.5, limit: int | None = 20
 ) -> DataFrame:
     """Pairs id_1 < id_2 by share of the first text's words found in the second, best first.
 
-    ``limit`` is the reported top-k; None lists every pair.
+    ``limit`` is the reported top-k; None lists every pair. The top-k search descends: it joins at a high ratio, where few tokens
+    are probed, and goes on to the next lower one only if fewer than k pairs lie above it.
     """
     rows = df.where((F.col("word_count") > min_words) & F.col(text).isNotNull())
     members, sets = distinct_token_sets(rows, id, text)
-    found = overlap_set_pairs(sets, min_ratio)
-    return _all_pairs(found, members) if limit is None else _top_pairs(cut_lineage(found), members, sets, limit)
+    ordered = ordered_sets(sets)
+    if limit is None:
+        return _all_pairs(overlap_set_pairs(sets, ordered, min_ratio), members)
+    for ratio in [*(r for r in DESCENT if r > min_ratio), min_ratio]:
+        found = cut_lineage(overlap_set_pairs(sets, ordered, ratio))
+        # each pair of sets stands for one pair of ids at least
+        if ratio == min_ratio or found.limit(limit).count() >= limit:
+            break
+    return _top_pairs(found, members, sets, limit)

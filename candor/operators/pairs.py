@@ -33,12 +33,8 @@ def similar_groups(
     keep = [scope] if scope else []
     found = cut_lineage(blocks.unit_members(df, id, vector, keep))
     reps = cut_lineage(blocks.representatives(found, scope))
-    lengths = [r[0] for r in reps.select(F.size("vec")).distinct().collect()]  # as many as there are embedding models
-    pairs = None
-    for n in lengths or [0]:
-        placed = blocks.place(reps.where(F.size("vec") == n), threshold, block_rows=block_rows)
-        found_here = blocks.blocked_join(placed, blocks.pair_kernel, blocks.PAIR_SCHEMA, threshold, strict, scope)
-        pairs = found_here if pairs is None else pairs.unionByName(found_here)
+    placed = blocks.place(reps, threshold, block_rows=block_rows)
+    pairs = blocks.blocked_join(placed, blocks.pair_kernel, blocks.PAIR_SCHEMA, threshold, strict, scope)
     keys = ["vkey", *keep]
     table = reps.select("rep", "copies", F.col("copies").alias("weight"), *keys)
     return lookup(found.select("id", *keys), table, keys, "weight").drop(*keys), pairs
@@ -157,11 +153,50 @@ def equal_similarity_campaigns(
     return lookup(rows.select("similarity", "content_id"), sizes, ["similarity"], "weight")
 
 
+def equal_similarity_groups(
+    members: DataFrame, pairs: DataFrame, min_size: int = config.CAMPAIGN_MIN_SIZE, digits: int | None = None, strict: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """J3 from the factorised pairs of ``similar_groups``: ``(groups, members)``, the latter with one row per value and id.
+
+    A pair of representatives stands for copies_1 * copies_2 pairs of one value, copies of a vector are pairs of value 1 among
+    themselves; sizes and means follow from these weights. No pair of ids is listed.
+    """
+    value = F.col("s") if digits is None else F.round("s", digits)
+    weighed = pairs.select(
+        F.col("similarity_score").alias("s"), (F.col("copies_1") * F.col("copies_2")).alias("n"),
+        F.array(F.struct(F.col("rep_1").alias("rep"), F.col("copies_1").alias("copies")), F.struct(F.col("rep_2").alias("rep"), F.col("copies_2").alias("copies"))).alias("ends"),
+    )
+    if not strict:
+        copied = members.where("id = rep and copies > 1").select(
+            F.lit(1.0).alias("s"), F.expr("copies * (copies - 1) div 2").alias("n"), F.array(F.struct("rep", "copies")).alias("ends"))
+        weighed = weighed.unionByName(copied)
+    weighed = cut_lineage(weighed.withColumn("similarity", value))
+    means = weighed.groupBy("similarity").agg((F.sum(F.col("s") * F.col("n")) / F.sum("n")).alias("avg_similarity"))
+    ends = cut_lineage(weighed.select("similarity", F.explode("ends").alias("e")).select("similarity", "e.rep", "e.copies").distinct())
+    sizes = ends.groupBy("similarity").agg(F.sum("copies").alias("campaign_size"), F.count("*").alias("weight")).where(F.col("campaign_size") >= min_size)
+    groups = cut_lineage(sizes.join(means, "similarity"))
+    held = lookup(ends, groups.select("similarity", "weight"), ["similarity"], "weight")
+    ids = members.select(F.col("id").alias("content_id"), "rep")
+    return groups.drop("weight"), balanced_join(cut_lineage(held.select("similarity", "rep")), ids, ["rep"]).select("similarity", "content_id")
+
+
 def suspicious_ids(pairs: DataFrame) -> DataFrame:
-    """Distinct ids on either side of a pair."""
+    """Distinct ids on either side of a listed pair."""
     return pairs.select(F.explode(F.array("content_id_1", "content_id_2")).alias("content_id")).distinct()
 
 
+def similar_ids(
+    df: DataFrame, id: str = "content_id", vector: str = "embedding", threshold: float = config.SIMILARITY_THRESHOLD, block_rows: int = config.BLOCK_ROWS
+) -> DataFrame:
+    """The ids that any pair of J1 would hold (A14): those with a copy, or with a neighbour in any block. No pair leaves a block."""
+    found = cut_lineage(blocks.unit_members(df, id, vector))
+    reps = cut_lineage(blocks.representatives(found))
+    placed = blocks.place(reps, threshold, block_rows=block_rows)
+    near = blocks.blocked_join(placed, blocks.degree_kernel, "rep string, degree long", threshold).select("rep").distinct()
+    paired = reps.join(near.withColumn("paired", F.lit(True)), "rep", "left").where("paired or copies > 1").select("vkey", "copies")
+    return lookup(found.select(F.col("id").alias("content_id"), "vkey"), cut_lineage(paired), ["vkey"], "copies").select("content_id").distinct()
+
+
 def _passes(queries: DataFrame):
     """Ids and unit vectors of the queries in parts of about PASS_QUERIES rows, each in a broadcast.
 

@@ -17,7 +17,7 @@ from candor.operators import campaigns as rules
 from candor.operators import clusters, graph, images, intervals, models, overlap, pairs, projections, rollups
 from candor.plans import detection, reports
 from candor.plans import fixtures as fx
-from candor.plans.oracles import WS, build, hour_key, listed, messages, moment, quoted, r6, steps, words_of, IMAGE_RULES
+from candor.plans.oracles import WS, build, hour_key, listed, messages, moment, quoted, r6, steps, words_of, IMAGE_RULES, REPETITION_RULE
 from candor.session import cut_lineage, scratch_path
 from candor.sources import corpus
 from candor.sources.tables import ContentStore, embedding_rows, latest, score_rows, text_rows
@@ -123,28 +123,39 @@ def store_embeddings(spark, sf):
     )
 
 
+_ENDS = "(SELECT content_id_1 AS content_id, s FROM vector_pairs UNION ALL SELECT content_id_2, s FROM vector_pairs)"
+
+
 @query(
     "store_campaigns",
     build(
-        """SELECT campaign_id, campaign_type, detection_method, campaign_size, 0e0 AS similarity_score, content_id FROM (
+        f"""SELECT campaign_id, campaign_type, detection_method, campaign_size, similarity_score, content_id FROM (
           SELECT 'volume_spike_' || strftime(hour, '%Y%m%d_%H') AS campaign_id, 'volume_spike' AS campaign_type,
-            'volume_spikes' AS detection_method, n AS campaign_size, id AS content_id FROM post_hours JOIN post_spikes USING (hour)
+            'volume_spikes' AS detection_method, n AS campaign_size, 0e0 AS similarity_score, id AS content_id FROM post_hours JOIN post_spikes USING (hour)
+          UNION ALL
+          SELECT 'length_pattern_' || bucket, 'length_pattern', 'length_pattern_campaigns', n, 0e0, id FROM turn_lengths l
+            JOIN turn_length_patterns p ON p.bucket = CAST(floor(l.len / (l.len * 0.1e0 + 10e0)) AS INTEGER)
           UNION ALL
-          SELECT 'length_pattern_' || bucket, 'length_pattern', 'length_pattern_campaigns', n, id FROM turn_lengths l
-            JOIN turn_length_patterns p ON p.bucket = CAST(floor(l.len / (l.len * 0.1e0 + 10e0)) AS INTEGER))""",
+          SELECT 'similarity_' || CAST(similarity AS VARCHAR), 'text_similarity', 'similarity_campaigns', campaign_size, {r6('avg_similarity')}, content_id
+          FROM (SELECT round(s, 2) AS similarity, count(DISTINCT content_id) AS campaign_size, avg(s) AS avg_similarity FROM {_ENDS} GROUP BY 1
+            HAVING count(DISTINCT content_id) >= 5)
+          JOIN (SELECT DISTINCT round(s, 2) AS similarity, content_id FROM {_ENDS}) USING (similarity))""",
         "post_hours",
         "post_spikes",
         "turn_lengths",
         "turn_length_patterns",
+        "vector_pairs",
     ),
 )
 def store_campaigns(spark, sf):
     s = store(spark)
+    members, near = pairs.similar_groups(fx.vectors(spark, sf), threshold=0.35)
     turns = fx.turns(spark, sf)
     found = detection.unify(
         {
             "volume_spikes": rules.volume_spikes(fx.event_posts(spark, sf)),
             "length_pattern_campaigns": rules.length_patterns(turns),
+            "similarity_campaigns": detection.similarity_family(*pairs.equal_similarity_groups(members, near, digits=2)),
         }
     )
     s.insert_campaigns(detection.stored_rows(found), found.members)
@@ -153,7 +164,7 @@ def store_campaigns(spark, sf):
         "campaign_type",
         projections.json_field(F.col("metadata"), "$.detection_method").alias("detection_method"),
         "campaign_size",
-        "similarity_score",
+        d6("similarity_score"),
     )
     return heads.join(s.read("campaign_members"), ["campaign_id", "detection_method"])
 
@@ -717,9 +728,9 @@ def same_type_pairs(spark, sf):
     ),
 )
 def equal_similarity_campaigns(spark, sf):
-    found = cut_lineage(pairs.similar_pairs(fx.vectors(spark, sf), threshold=0.35))
-    out = pairs.equal_similarity_campaigns(found, digits=2)
-    return out.select("similarity", "content_id", "campaign_size", d6("avg_similarity"))
+    members, found = pairs.similar_groups(fx.vectors(spark, sf), threshold=0.35)
+    groups, ids = pairs.equal_similarity_groups(members, found, digits=2)
+    return ids.join(groups, "similarity").select("similarity", "content_id", "campaign_size", d6("avg_similarity"))
 
 
 _OVERLAP = f"""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS id, list_distinct(string_split(lower(text), ' ')) AS ts FROM documents
@@ -876,15 +887,16 @@ def semantic_clusters(spark, sf):
 
 
 def _graph(spark, sf):
+    """Similarity graph of the vectors with copies as weighted vertices: (vertices, edges, ids by vertex)."""
     rows = fx.vectors(spark, sf)
-    found = cut_lineage(pairs.similar_pairs(rows, threshold=0.35))
-    return graph.similarity_graph(found, rows.select(F.col("content_id").alias("id")))
+    members, found = pairs.similar_groups(rows, threshold=0.35)
+    return graph.factorised_graph(rows.select(F.col("content_id").alias("id")), cut_lineage(members), found)
 
 
 @query("graph_components", build("SELECT id, component FROM graph_parts", "graph_parts"))
 def graph_components(spark, sf):
-    vertices, edges = _graph(spark, sf)
-    return graph.connected_components(edges.select("src", "dst"), vertices)
+    vertices, edges, named = _graph(spark, sf)
+    return graph.of_ids(graph.connected_components(edges, vertices), named)
 
 
 @query(
@@ -892,12 +904,15 @@ def graph_components(spark, sf):
     build(f"SELECT content_id_1 AS src, content_id_2 AS dst, {r6('s')} AS weight FROM vector_pairs", "vector_pairs"),
 )
 def similarity_graph_edges(spark, sf):
-    return _graph(spark, sf)[1].select("src", "dst", d6("weight"))
+    rows = fx.vectors(spark, sf)
+    found = pairs.similar_pairs(rows, threshold=0.35)
+    return graph.similarity_graph(found, rows.select(F.col("content_id").alias("id")))[1].select("src", "dst", d6("weight"))
 
 
 @query("clustering_coefficients", build(f"SELECT id, degree, triangles, {r6('coefficient')} AS coefficient FROM coefficients", "coefficients"))
 def clustering_coefficients(spark, sf):
-    return graph.clustering_coefficients(*_graph(spark, sf)).select("id", "degree", "triangles", d6("coefficient"))
+    vertices, edges, named = _graph(spark, sf)
+    return graph.of_ids(graph.clustering_coefficients(vertices, edges), named).select("id", "degree", "triangles", d6("coefficient"))
 
 
 _DENSITY = "CASE WHEN {n} > 1 THEN 2e0 * {m} / ({n} * ({n} - 1)) ELSE 0e0 END"
@@ -912,7 +927,8 @@ _DENSITY = "CASE WHEN {n} > 1 THEN 2e0 * {m} / ({n} * ({n} - 1)) ELSE 0e0 END"
     ),
 )
 def network_components(spark, sf):
-    found, _, _ = graph.analyze_network(*_graph(spark, sf))
+    vertices, edges, _ = _graph(spark, sf)
+    found, _, _ = graph.analyze_network(vertices, edges)
     return found.select("component", "size", "edges", d6("density"), d6("avg_clustering"))
 
 
@@ -925,7 +941,8 @@ def network_components(spark, sf):
     ),
 )
 def network_component_members(spark, sf):
-    return graph.analyze_network(*_graph(spark, sf))[1].select("id", "component")
+    vertices, edges, named = _graph(spark, sf)
+    return graph.analyze_network(vertices, edges, named=named)[1].select("id", "component")
 
 
 @query(
@@ -940,7 +957,8 @@ def network_component_members(spark, sf):
     ),
 )
 def network_metrics(spark, sf):
-    _, _, totals = graph.analyze_network(*_graph(spark, sf))
+    vertices, edges, _ = _graph(spark, sf)
+    _, _, totals = graph.analyze_network(vertices, edges)
     return totals.select("total_nodes", "total_edges", "number_of_components", d6("avg_clustering"), d6("density"))
 
 
@@ -1137,7 +1155,7 @@ def score_points(spark, sf):
     build("SELECT content_id_1 AS content_id FROM vector_pairs UNION SELECT content_id_2 FROM vector_pairs", "vector_pairs"),
 )
 def suspicious_ids(spark, sf):
-    return pairs.suspicious_ids(pairs.similar_pairs(fx.vectors(spark, sf), threshold=0.35))
+    return pairs.similar_ids(fx.vectors(spark, sf), threshold=0.35)
 
 
 @query(
@@ -1352,9 +1370,9 @@ def image_histograms(spark, sf):
     return out.select("image_id", *[d6(f"{c}_uniformity") for c in ("red", "green", "blue")])
 
 
-@query("image_repetition")
+@query("image_repetition", build(f"SELECT image_id, {r6('pattern_repetition')} AS pattern_repetition FROM repetition_stats", "repetition_stats"))
 def image_repetition(spark, sf):
-    """Template matching over whole images; tests compare it with brute force."""
+    """Template matching over whole images."""
     return images.pattern_repetition(images.with_gray(fx.rasters(spark, sf))).select("image_id", d6("pattern_repetition"))
 
 
@@ -1391,7 +1409,36 @@ def image_rule_scores(spark, sf):
     return scoring.score_images(rows).select("content_id", d6("authenticity_score"), d6("confidence_score"), "explanation")
 
 
-@query("image_scores")
+_ALL_RULES = [*IMAGE_RULES[:4], REPETITION_RULE, *IMAGE_RULES[4:]]
+_SURER = [(IMAGE_RULES[0][0], "0.1e0"), (IMAGE_RULES[1][0], "0.1e0"), (REPETITION_RULE[0], "0.1e0")]
+# fixed values: what each rule reports
+_IMAGE_MESSAGES = (
+    "Uniform noise pattern",
+    "Consistent saturation levels",
+    "Lack of natural compression artifacts",
+    "Unnaturally consistent edges",
+    "Repetitive patterns detected",
+    "Natural noise variation",
+    "Natural compression artifacts",
+)
+
+
+@query(
+    "image_scores",
+    build(
+        f"""SELECT image_id AS content_id, 'image' AS content_type,
+        {r6("greatest(0e0, least(1e0, " + steps('0.5e0', _ALL_RULES) + "))")} AS authenticity_score,
+        {r6("greatest(0.1e0, least(1e0, " + steps('0.5e0', _SURER) + "))")} AS confidence_score,
+        {messages([(rule, text) for (rule, _), text in zip(_ALL_RULES, _IMAGE_MESSAGES)])} AS explanation, 'image_analyzer_v1.0' AS model_version
+        FROM color_stats JOIN texture_stats USING (image_id) JOIN blocking_stats USING (image_id) JOIN noise_stats USING (image_id)
+        JOIN repetition_stats USING (image_id)""",
+        "color_stats",
+        "texture_stats",
+        "blocking_stats",
+        "noise_stats",
+        "repetition_stats",
+    ),
+)
 def image_scores(spark, sf):
     """Full image scores, template matching included."""
     scored = scoring.score_images(images.image_features(fx.rasters(spark, sf)))

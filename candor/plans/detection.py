@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from candor import config
 from candor.functions.scoring import score_text
 from candor.functions.vectors import hashing_embedding
+from candor.operators import blocks, clusters, rollups
 from candor.operators import campaigns as rules
-from candor.operators import rollups
-from candor.operators.clusters import semantic_clusters
 from candor.operators.intervals import interval_statistics, is_regular, regular_groups
 from candor.operators.skew import lookup
 from candor.session import cut_lineage, written
@@ -73,11 +72,10 @@ def unify(families: dict[str, tuple[DataFrame, DataFrame]]) -> Detection:
     return Detection(found, held)
 
 
-def similarity_family(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Groups of equal similarity (J3, rows per member) as a family, stored as ``text_similarity``."""
-    named = found.withColumn("campaign_key", F.concat(F.lit("similarity_"), F.col("similarity").cast("string")))
-    heads = named.select("campaign_key", "campaign_size", "avg_similarity").distinct()
-    return heads, named.select("campaign_key", "content_id")
+def similarity_family(groups: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups of equal similarity (J3, ``pairs.equal_similarity_groups``) as a family, stored as ``text_similarity``."""
+    name = F.concat(F.lit("similarity_"), F.col("similarity").cast("string")).alias("campaign_key")
+    return groups.select(name, "campaign_size", "avg_similarity"), members.select(name, "content_id")
 
 
 def stored_rows(detection: Detection, detected_at: Column | None = None) -> DataFrame:
@@ -125,22 +123,41 @@ def analysed(content: DataFrame) -> DataFrame:
 
 
 def coordinated_families(
-    rows: DataFrame, intervals: DataFrame | None = None, block_rows: int = config.BLOCK_ROWS
+    rows: DataFrame, intervals: DataFrame | None = None, block_rows: int = config.PAIR_BLOCK_ROWS
 ) -> dict[str, tuple[DataFrame, DataFrame]]:
-    """Semantic, temporal, network and cross-platform findings of materialised rows (R2)."""
-    members, clusters = semantic_clusters(rows, id="id", block_rows=block_rows)
+    """Semantic, temporal, network and cross-platform findings of materialised rows (R2).
+
+    Semantic clusters and cross-platform matches have one threshold, so one comparison of the vectors serves both.
+    The temporal rule compares inside hours only, where its own cells keep it far below that.
+    """
+    vectors = cut_lineage(rules.platform_members(rows, "id", "source_platform", "embedding"))
+    reps = cut_lineage(blocks.representatives(vectors, "platform"))
+    samples = config.CLUSTER_MIN_SAMPLES
+    passed = clusters.pass_over(reps, config.SIMILARITY_THRESHOLD, samples, block_rows, platforms=True)
+    named = _or_none("platform")
+    members, found = clusters.cluster_findings(
+        vectors.withColumn("platform", named), reps.withColumn("platform", named), passed, samples, ("vkey", "platform")
+    )
+    matches = passed.where("kind = 'platform'").select("rep", "platform", "other", F.col("n").alias("matches"))
     name = F.concat(F.lit("cluster_"), F.col("cluster")).alias("campaign_key")
     return {
         "semantic_campaigns": (
-            clusters.select(name, F.col("cluster_size").alias("campaign_size"), "avg_similarity"),
+            found.select(name, F.col("cluster_size").alias("campaign_size"), "avg_similarity"),
             members.select(name, "content_id"),
         ),
         "temporal_campaigns": rules.temporal_patterns(rows, block_rows=block_rows),
         "network_campaigns": interval_family(rows, "network_", 0.1, intervals),
-        "cross_platform_campaigns": rules.cross_platform(rows, block_rows=block_rows),
+        "cross_platform_campaigns": rules.cross_platform_findings(
+            rules.platform_sizes(rows, "source_platform"), vectors.where("platform is not null"), reps, matches
+        ),
     }
 
 
+def _or_none(platform: str) -> Column:
+    """A platform to join by: rows without one are a group like any other."""
+    return F.concat(F.when(F.col(platform).isNull(), "-").otherwise("+"), F.coalesce(platform, F.lit("")))
+
+
 def interval_family(
     rows: DataFrame, prefix: str, factor: float, intervals: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -160,7 +177,7 @@ def interval_family(
 
 
 def detect_coordinated(
-    content: DataFrame, min_size: int = config.CAMPAIGN_MIN_SIZE, block_rows: int = config.BLOCK_ROWS
+    content: DataFrame, min_size: int = config.CAMPAIGN_MIN_SIZE, block_rows: int = config.PAIR_BLOCK_ROWS
 ) -> Detection:
     """R2 on a content table; below ``min_size`` rows there are no findings."""
     if content.limit(min_size).count() < min_size:
@@ -169,7 +186,7 @@ def detect_coordinated(
 
 
 def detect_all(
-    content: DataFrame, images: DataFrame | None = None, limit: int | None = None, block_rows: int = config.BLOCK_ROWS
+    content: DataFrame, images: DataFrame | None = None, limit: int | None = None, block_rows: int = config.PAIR_BLOCK_ROWS
 ) -> Detection:
     """Every family over a content table.
 

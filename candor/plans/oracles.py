@@ -114,6 +114,7 @@ TEXT_RULES = [
     ("flesch_reading_ease < 30e0", "0.1e0"),
     ("sentence_length_std > 5e0", "0.1e0"),
 ]
+REPETITION_RULE = ("pattern_repetition > 0.1e0", "-0.15e0")
 IMAGE_RULES = [
     ("noise_uniformity < 0.1e0", "-0.2e0"),
     ("saturation_stddev < 20e0", "-0.15e0"),
@@ -542,3 +543,35 @@ cte(
     "raster",
     "stencil",
 )
+PATCH, TEMPLATE_LEAST = 16, 32
+cte("image_lines", "SELECT image_id, w, h, y, list(CAST(v AS DOUBLE) ORDER BY x) AS line FROM gray_px GROUP BY image_id, w, h, y", "gray_px")
+cte(
+    "template_lines",
+    f"""SELECT image_id, y - (h // 2 - 8) AS k, line[w // 2 - 7 : w // 2 + 8] AS part FROM image_lines
+    WHERE w >= {TEMPLATE_LEAST} AND h >= {TEMPLATE_LEAST} AND y BETWEEN h // 2 - 8 AND h // 2 + 7""",
+    "image_lines",
+)
+cte(
+    "templates",
+    "SELECT image_id, sum(list_sum(part)) AS s, sum(list_dot_product(part, part)) - sum(list_sum(part)) ** 2 / 256e0 AS own FROM template_lines GROUP BY image_id",
+    "template_lines",
+)
+cte(
+    "windows",
+    f"""SELECT image_id, y0, x, sum(list_sum(seen)) AS s, sum(list_dot_product(seen, seen)) AS q, sum(list_dot_product(seen, part)) AS d FROM (
+      SELECT image_id, y - k AS y0, x, part, line[x + 1 : x + {PATCH}] AS seen
+      FROM image_lines JOIN template_lines USING (image_id), range(0, {RASTER_WIDTH} - {PATCH} + 1) t(x) WHERE y - k BETWEEN 0 AND h - {PATCH})
+    GROUP BY image_id, y0, x""",
+    "image_lines",
+    "template_lines",
+)
+cte(
+    "repetition_stats",
+    """SELECT image_id, CASE WHEN any_value(t.own) IS NULL THEN 0e0 WHEN any_value(t.own) <= 0 THEN 1e0 ELSE avg(
+        CASE WHEN q - v.s ** 2 / 256e0 > 0 AND (d - v.s * t.s / 256e0) / (sqrt(q - v.s ** 2 / 256e0) * sqrt(t.own)) > 0.8e0 THEN 1e0 ELSE 0e0 END
+      ) END AS pattern_repetition
+    FROM raster LEFT JOIN templates t USING (image_id) LEFT JOIN windows v USING (image_id) GROUP BY image_id""",
+    "raster",
+    "templates",
+    "windows",
+)

@@ -176,9 +176,9 @@ def test_campaigns_are_one_row_at_any_size(spark):
 
 
 def test_similarity_groups_are_stored(spark):
-    rows = [(0.5, str(i), 5, 0.5) for i in range(5)] + [(0.75, str(i), 6, 0.75) for i in range(6)]
-    found = spark.createDataFrame(rows, "similarity double, content_id string, campaign_size long, avg_similarity double")
-    both = detection.unify({"similarity_campaigns": detection.similarity_family(found)})
+    groups = spark.createDataFrame([(0.5, 5, 0.5), (0.75, 6, 0.75)], "similarity double, campaign_size long, avg_similarity double")
+    ids = spark.createDataFrame([(0.5, str(i)) for i in range(5)] + [(0.75, str(i)) for i in range(6)], "similarity double, content_id string")
+    both = detection.unify({"similarity_campaigns": detection.similarity_family(groups, ids)})
     stored = {(r["campaign_id"], r["campaign_type"], r["campaign_size"], r["similarity_score"]) for r in detection.stored_rows(both).collect()}
     assert stored == {("similarity_0.5", "text_similarity", 5, 0.5), ("similarity_0.75", "text_similarity", 6, 0.75)}
     assert both.members.count() == 11

@@ -1,3 +1,4 @@
+import datetime
 import itertools
 
 import numpy as np
@@ -296,17 +297,143 @@ def test_split_posting_lists_give_the_same_pairs(spark):
     rows = [(str(i), f"common words are shared by all x{i % 9} y{i % 4}", 8) for i in range(40)]
     df = spark.createDataFrame(rows, "id string, content string, word_count int")
     _, sets = overlap.distinct_token_sets(df, "id", "content")
-    one = {tuple(r) for r in overlap.overlap_set_pairs(sets).collect()}
-    assert {tuple(r) for r in overlap.overlap_set_pairs(sets, posting=3).collect()} == one
+    ordered = overlap.ordered_sets(sets)
+    one = {tuple(r) for r in overlap.overlap_set_pairs(sets, ordered).collect()}
+    assert {tuple(r) for r in overlap.overlap_set_pairs(sets, ordered, posting=3).collect()} == one
 
 
-def test_star_kernel_connects_like_union_find(spark):
+def test_word_overlap_descends_only_as_far_as_needed(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = {f"{i:02}": " ".join(f"w{x}" for x in rng.choice(300, 30, replace=False)) for i in range(40)}
+    texts |= {f"c{i}": texts["07"] for i in range(3)} | {f"d{i}": texts["08"] + f" extra{i}" for i in range(3)}
+    df = spark.createDataFrame([(i, t, 30) for i, t in texts.items()], "id string, content string, word_count int")
+    asked = []
+    plain = overlap.overlap_set_pairs
+
+    def seen(sets, ordered, ratio, *more):
+        asked.append(ratio)
+        return plain(sets, ordered, ratio, *more)
+
+    monkeypatch.setattr(overlap, "overlap_set_pairs", seen)
+    expected = brute_overlap(texts, 0.5)
+    for k, ratios in ((2, [0.95]), (500, [0.95, 0.8, 0.5])):
+        asked.clear()
+        top = overlap.word_overlap_pairs(df, limit=k).collect()
+        assert [(r[0], r[1]) for r in top] == sorted(expected, key=lambda p: (-expected[p], p))[:k]
+        assert asked == ratios
+
+
+def test_star_edges_connect_like_union_find(spark):
     v = sample(n=80, copies=1)
     df = frame(spark, v)
-    reps = cut_lineage(blocks.representatives(blocks.unit_members(df, "content_id", "embedding")))
+    reps = cut_lineage(blocks.representatives(blocks.unit_members(df, "content_id", "embedding")).selectExpr("*", "null as platform"))
     placed = cut_lineage(blocks.place(reps, 0.9, block_rows=8))
-    stars = blocks.blocked_join(placed, blocks.star_kernel, "src string, dst string", 0.9)
-    assert placed.select("own").distinct().count() > 5
+    # with one sample needed, every row is a core row
+    passed = blocks.blocked_join(placed, blocks.cluster_kernel(1), blocks.CLUSTER_SCHEMA, 0.9, carry=["platform"])
+    stars = passed.where("kind = 'star'").selectExpr("rep as src", "other as dst")
+    assert placed.select("own").distinct().count() > 5 and passed.where("kind = 'edge'").count() == 0
     got = {r["id"]: r["component"] for r in graph.connected_components(stars, reps.selectExpr("rep as id")).collect()}
     found = pairs.similar_pairs(df, threshold=0.9).selectExpr("content_id_1 as src", "content_id_2 as dst")
     assert got == {r["id"]: r["component"] for r in graph.connected_components(found, reps.selectExpr("rep as id")).collect()}
+
+
+def two_models(n=40, seed=3):
+    """Vectors of two lengths, the second ones in tight groups as well."""
+    rng = np.random.default_rng(seed)
+    out = {}
+    for k, length in enumerate((4, 6)):
+        centres = rng.normal(size=(4, length))
+        for i in range(n):
+            v = centres[i % 4] + rng.normal(scale=0.05, size=length)
+            out[f"m{k}_{i:02}"] = v.tolist()
+    return out
+
+
+def test_vectors_of_two_models(spark):
+    """Clusters, hours, platforms and buckets of a table with two embedding lengths: each length as if it were alone."""
+    v = two_models()
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, x, f"p{k % 3}", start + datetime.timedelta(minutes=7 * (k % 20))) for k, (i, x) in enumerate(v.items())]
+    df = spark.createDataFrame(rows, "id string, embedding array<double>, source_platform string, timestamp timestamp")
+    parts = [df.where(F.size("embedding") == n) for n in (4, 6)]
+
+    def both(run):
+        whole = run(df)
+        return sorted(whole), sorted(x for p in parts for x in run(p))
+
+    members = lambda d: [tuple(r) for r in clusters.semantic_clusters(d, id="id", block_rows=8)[0].collect()]
+    got, alone = both(members)
+    assert got == alone and len(got) == len(v)
+    lsh = lambda d: [tuple(r)[:2] for r in pairs.lsh_pairs(d, id="id", threshold=0.9, block_rows=8).collect()]
+    got, alone = both(lsh)
+    assert got == alone and got
+    matches = lambda d: [(r["platform_1"], r["platform_2"], r["matches"]) for r in campaigns.cross_platform(d, block_rows=8)[0].collect()]
+    totals = [dict(((a, b), n) for a, b, n in matches(p)) for p in parts]
+    assert {(a, b): n for a, b, n in matches(df)} == {k: sum(t.get(k, 0) for t in totals) for k in {k for t in totals for k in t}}
+    hours = lambda d: [(r["hour"], r["similar_pairs_count"]) for r in campaigns.temporal_patterns(d, min_size=1, block_rows=8)[0].collect()]
+    totals = [dict(hours(p)) for p in parts]
+    assert dict(hours(df)) == {k: sum(t.get(k, 0) for t in totals) for k in {k for t in totals for k in t}}
+
+
+def test_tiles_and_cells_skip_pairs(spark):
+    """Groups of directions that are apart: what a block pair compares falls far below all pairs, and no pair is lost."""
+    rng = np.random.default_rng(5)
+    centres = np.linalg.qr(rng.normal(size=(12, 12)))[0]
+    v = np.repeat(centres, 200, axis=0) + rng.normal(scale=0.05, size=(2400, 12))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(f"r{i:04}", x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "content_id string, embedding array<double>")
+    reps = cut_lineage(blocks.representatives(blocks.unit_members(df, "content_id", "embedding")))
+    placed = blocks.place(reps, 0.9, block_rows=256)
+    met = placed.select(F.size("partners").alias("n")).agg(F.avg("n")).first()[0]
+    assert met < 0.4 * placed.select("own").distinct().count()
+    sims = v @ v.T
+    want = int((np.triu(np.round(sims, 12) >= 0.9, 1)).sum())
+    assert pairs.similar_pairs(df, threshold=0.9).count() == want
+    compared = sum(len(li) * len(ri) for li, ri in blocks_compared(v, 0.9))
+    assert compared < 0.7 * len(v) ** 2 / 2
+
+
+def blocks_compared(v, threshold):
+    """Row sets that tiles of one block compare, with coordinates as the join takes them."""
+    at = v @ np.linalg.svd(v - v.mean(axis=0), full_matrices=False)[2][:8].T
+    parts, low, high = blocks._tiles(np.arange(len(v)), at)
+    near = blocks._gaps(low, high, low, high) <= blocks._reach(threshold)
+    return [(parts[a], parts[b]) for a in range(len(parts)) for b in range(a, len(parts)) if near[a, b]]
+
+
+def copied(seed=8):
+    """Vectors of which several occur more than once, two without use."""
+    rng = np.random.default_rng(seed)
+    v = sample(n=60, copies=9, seed=seed)
+    v[20:24] = v[20]
+    v[40:42] = v[40]
+    return v
+
+
+def test_factorised_figures_equal_those_of_listed_pairs(spark):
+    v = copied()
+    df = frame(spark, v)
+    df = df.unionByName(spark.createDataFrame([("z1", None), ("z2", [0.0] * 8)], df.schema))
+    listed = cut_lineage(pairs.similar_pairs(df, threshold=0.9))
+    members, near = pairs.similar_groups(df, threshold=0.9)
+    members, near = cut_lineage(members), cut_lineage(near)
+    assert near.count() < listed.count()
+    # groups of equal similarity
+    groups, ids = pairs.equal_similarity_groups(members, near, digits=2)
+    got = {(r["similarity"], r["content_id"], r["campaign_size"], round(r["avg_similarity"], 9)) for r in ids.join(groups, "similarity").collect()}
+    plain = pairs.equal_similarity_campaigns(listed, digits=2)
+    assert got == {(r["similarity"], r["content_id"], r["campaign_size"], round(r["avg_similarity"], 9)) for r in plain.collect()} and got
+    # ids of any pair
+    assert {r[0] for r in pairs.similar_ids(df, threshold=0.9, block_rows=16).collect()} == {r[0] for r in pairs.suspicious_ids(listed).collect()}
+    # graph
+    ids = df.select(F.col("content_id").alias("id"))
+    one, edges = graph.similarity_graph(listed, ids)
+    vertices, links, named = graph.factorised_graph(ids, members, near)
+    rows = lambda d: sorted(tuple(r) for r in d.collect())
+    assert rows(graph.of_ids(graph.clustering_coefficients(vertices, links), named).select("id", "degree", "triangles", "coefficient")) == rows(graph.clustering_coefficients(one, edges))
+    assert rows(graph.of_ids(graph.connected_components(links, vertices), named).select("id", "component")) == rows(graph.connected_components(edges.select("src", "dst"), one))
+    for a, b in zip(graph.analyze_network(vertices, links, 3, named), graph.analyze_network(one, edges, 3)):
+        x, y = (a.orderBy(a.columns[:1]).toPandas(), b.select(a.columns).orderBy(a.columns[:1]).toPandas())
+        for c in a.columns:
+            assert x[c].tolist() == (pytest.approx(y[c].tolist()) if x[c].dtype.kind == "f" else y[c].tolist())
