@@ -169,6 +169,22 @@ def store_campaigns(spark, sf):
     return heads.join(s.read("campaign_members"), ["campaign_id", "detection_method"])
 
 
+@query(
+    "similarity_partners",
+    build(
+        f"""SELECT id AS content_id, CASE WHEN id = content_id_1 THEN content_id_2 ELSE content_id_1 END AS partner_id, {r6('s')} AS similarity_score
+        FROM vector_pairs JOIN (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM labels WHERE quality = 0) ON id IN (content_id_1, content_id_2)""",
+        "vector_pairs",
+    ),
+)
+def similarity_partners(spark, sf):
+    """Stored pairs of the vectors, and the partners of the contents that are labelled as bad ones."""
+    s = store(spark)
+    s.insert_similarity(pairs.similar_pairs(fx.vectors(spark, sf), threshold=0.35))
+    bad = fx.table(spark, sf, "labels").where("quality = 0").select(F.col("doc_id").alias("content_id"))
+    return s.partners(bad).select("content_id", "partner_id", d6("similarity_score"))
+
+
 @query(
     "latest_human_text",
     build(
@@ -1589,6 +1605,7 @@ def _post_stream(spark, sf) -> DataFrame:
 def _streamed_counts(spark, sf) -> DataFrame:
     out, state = monitors.scratch(spark, "volume")
     monitors.run_to_end(monitors.latest_counts(_post_stream(spark, sf), out, state))
+    monitors.compact_counts(spark, out)
     return monitors.newest_counts(spark, out)
 
 

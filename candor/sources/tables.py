@@ -137,6 +137,34 @@ class ContentStore:
         self.append("campaigns", campaigns)
         self.append("campaign_members", members)
 
+    def insert_similarity(self, pairs: DataFrame, now: Column | None = None) -> None:
+        """Append pairs (content_id_1, content_id_2, similarity_score, similarity_type), each in both directions.
+
+        Rows are dealt by the table's own buckets, so a bucket gets one file a batch and partners of any id lie in one
+        bucket, whichever side of the pair it was on. ``similar_pairs`` gives the pairs once again.
+        """
+        kind = F.coalesce(F.col("similarity_type"), F.lit("semantic"))
+        row = lambda a, b: F.struct(F.col(a).alias("content_id_1"), F.col(b).alias("content_id_2"))
+        both = F.explode(F.array(row("content_id_1", "content_id_2"), row("content_id_2", "content_id_1"))).alias("e")
+        rows = pairs.select("similarity_score", kind.alias("similarity_type"), both).select("e.*", "similarity_score", "similarity_type")
+        stamped = rows.withColumn("created_at", F.current_timestamp() if now is None else now)
+        self.append("content_similarity", stamped.repartition(SIMILARITY_BUCKETS, "content_id_1"))
+
+    def similar_pairs(self) -> DataFrame:
+        """Every stored pair once, the smaller id first."""
+        return self.read("content_similarity").where("content_id_1 < content_id_2")
+
+    def partners(self, ids: DataFrame) -> DataFrame:
+        """(content_id, partner_id, similarity_score, similarity_type) of the given ids (column ``content_id``).
+
+        The join uses the buckets of the table: only ``ids`` are moved, to as many partitions as there are buckets.
+        """
+        asked = ids.select(F.col("content_id").cast("string").alias("content_id")).distinct().repartition(SIMILARITY_BUCKETS, "content_id")
+        rows = self.read("content_similarity").hint("merge")
+        return rows.join(asked, rows["content_id_1"] == asked["content_id"]).select(
+            "content_id", F.col("content_id_2").alias("partner_id"), "similarity_score", "similarity_type"
+        )
+
     def text_content(self, limit: int = 1000, source: str | None = None) -> DataFrame:
         rows = self.read("text_content")
         return latest(rows if source is None else rows.where(F.col("source") == source), limit)

@@ -53,18 +53,64 @@ def latest_counts(
 
     No hour is ever closed: a late row is counted in the batch that brings it, and
     no state is kept. Rewriting a batch folder is idempotent, so a restarted batch
-    leaves no duplicates; ``newest_counts`` adds the batches up.
+    leaves no duplicates; ``newest_counts`` adds the batches up, ``compact_counts`` folds them into one.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        hourly_volume(batch, ts, by).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        hourly_volume(batch, ts, by).write.mode("overwrite").options(**_MARKED).parquet(f"{path}/batch={batch_id}")
 
     return write_batches(stream, save, checkpoint, "append", trigger)
 
 
+_MARKED = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "true"}  # a folder counts from its commit file on
+
+
+def _folders(spark: SparkSession, path: str, key: str) -> dict[int, str]:
+    """Finished ``key=number`` folders below ``path`` by number: those whose writing was committed."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return {}
+    out = {}
+    for status in files.listStatus(root):
+        place = status.getPath()
+        name = place.getName()
+        done = spark._jvm.org.apache.hadoop.fs.Path(place, "_SUCCESS")
+        if name.startswith(f"{key}=") and files.exists(done):
+            out[int(name.split("=", 1)[1])] = place.toString()
+    return out
+
+
+def compact_counts(spark: SparkSession, path: str, by: str = "source_platform") -> int | None:
+    """Fold all finished batch folders into one; returns the last batch number it holds, None without any.
+
+    The fold is written to ``compacted/until=N`` and counts as soon as its commit file is there; from then on readers leave out
+    batches up to N, so a batch that is written again after a restart counts once. A fold that broke off has no commit file
+    and is written again. Folders are deleted one fold late, so that a reader that planned before keeps its files.
+    """
+    batches, folds = _folders(spark, path, "batch"), _folders(spark, f"{path}/compacted", "until")
+    before = max(folds, default=-1)
+    fresh = [n for n in batches if n > before]
+    if not fresh:
+        return before if folds else None
+    until = max(fresh)
+    newest_counts(spark, path, by).coalesce(1 + len(fresh) // 100).write.mode("overwrite").options(**_MARKED).parquet(f"{path}/compacted/until={until}")
+    files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for old in [p for n, p in batches.items() if n <= before] + [p for n, p in folds.items() if n < before]:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(old), True)
+    return until
+
+
 def newest_counts(spark: SparkSession, path: str, by: str = "source_platform") -> DataFrame:
-    rows = spark.read.option("basePath", path).parquet(path)
-    return rows.groupBy("hour", by).agg(F.sum("n").alias("n"))
+    """Hourly counts of everything that arrived: the newest fold (``compact_counts``) and the batches after it."""
+    folds = _folders(spark, f"{path}/compacted", "until")
+    last = max(folds, default=-1)
+    parts = [folds[last]] if folds else []
+    parts += [p for n, p in sorted(_folders(spark, path, "batch").items()) if n > last]
+    if not parts:
+        return spark.createDataFrame([], f"hour timestamp, `{by}` string, n long")
+    # every folder holds the same columns; the numbers in their names are no columns of the counts
+    return spark.read.parquet(*parts).groupBy("hour", by).agg(F.sum("n").alias("n"))
 
 
 def spike_alerts(counts: DataFrame, baseline: DataFrame, min_size: int = config.CAMPAIGN_MIN_SIZE, deviations: float = 2.0) -> DataFrame:

@@ -156,6 +156,58 @@ def test_rows_of_any_lateness_are_counted(spark, tmp_path):
     assert got == {(5, 1): 3, (9, 2): 2, (1, 7): 2}
 
 
+def test_folded_counts_survive_restarts_and_late_rows(spark, tmp_path):
+    schema = "id string, source_platform string, timestamp timestamp"
+    put = lambda n, day: spark.createDataFrame([(str(n), "p", datetime(2024, 1, day, 3, n % 60))], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out, state = monitors.scratch(spark, "folded")
+    run = lambda: monitors.run_to_end(
+        monitors.latest_counts(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), out, state)
+    )
+    counts = lambda: {r["hour"].day: r["n"] for r in monitors.newest_counts(spark, out).collect()}
+    assert monitors.compact_counts(spark, out) is None and counts() == {}
+    for n in range(4):
+        put(n, 5)
+    run()
+    assert counts() == {5: 4}
+    assert monitors.compact_counts(spark, out) == 3 and counts() == {5: 4}
+    # a batch that is written again after the fold, as a restart would do
+    rows = spark.createDataFrame([("0", "p", datetime(2024, 1, 5, 3, 0))], schema)
+    monitors.hourly_volume(rows).write.mode("overwrite").parquet(f"{out}/batch=3")
+    assert counts() == {5: 4}
+    for n in range(4, 7):
+        put(n, 2 if n == 4 else 5)  # the first one is late
+    run()
+    assert counts() == {5: 6, 2: 1}
+    # a fold that broke off has no commit file and does not count
+    spark.createDataFrame([(datetime(2024, 1, 5, 3), "p", 99)], "hour timestamp, source_platform string, n long").write.parquet(f"{out}/compacted/until=50")
+    session_files(spark, f"{out}/compacted/until=50/_SUCCESS")
+    assert counts() == {5: 6, 2: 1}
+    assert monitors.compact_counts(spark, out) == 6 and counts() == {5: 6, 2: 1}
+    assert monitors.compact_counts(spark, out) == 6  # nothing new
+    assert sorted(monitors._folders(spark, out, "batch")) == [4, 5, 6]
+
+
+def session_files(spark, path):
+    """Delete one file of the shared folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, False)
+
+
+def test_partners_of_stored_pairs_move_only_the_ids(spark, tmp_path):
+    s = ContentStore(spark, "partners_test", str(tmp_path / "db")).create()
+    rows = [("a", "b", 0.9, "semantic"), ("a", "c", 0.8, None), ("d", "e", 0.7, "semantic")]
+    for part in (rows[:2], rows[2:]):
+        s.insert_similarity(spark.createDataFrame(part, "content_id_1 string, content_id_2 string, similarity_score double, similarity_type string"))
+    assert {(r["content_id_1"], r["content_id_2"], r["similarity_score"]) for r in s.similar_pairs().collect()} == {(a, b, x) for a, b, x, _ in rows}
+    found = s.partners(spark.createDataFrame([("a",), ("e",), ("e",), ("x",), (None,)], "content_id string"))
+    assert {(r["content_id"], r["partner_id"]) for r in found.collect()} == {("a", "b"), ("a", "c"), ("e", "d")}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    join = plan[plan.index("SortMergeJoin"):]
+    table_side = join[: join.index("content_similarity")]
+    assert "Exchange" not in table_side and "Bucketed: true" in join
+    spark.sql("DROP DATABASE partners_test CASCADE")
+
+
 def test_derived_columns_use_python_words(spark):
     df = spark.createDataFrame([("a", " x y z \n", "human")], "id string, content string, source string")
     row = text_rows(df).first()
