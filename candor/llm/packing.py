@@ -127,15 +127,16 @@ def pieces(
 def pack(rows: DataFrame, capacity: int = 1024, length: str = "length", open_bins: int = OPEN_BINS, block: int = BLOCK) -> DataFrame:
     """Add ``sequence_id`` and ``offset``: a place for every row in sequences of ``capacity`` tokens.
 
-    Rows are dealt evenly by a hash of their values, so no source or length is
-    hot, and every task packs its own in an order that a repeated run keeps. Rows
+    Rows are dealt evenly by a hash of their values and of their place in the input, so no source or length is
+    hot and equal rows are spread as well, and every task packs its own in an order that a repeated run over the same files keeps. Rows
     of length null or 0 or less take no space (sequence and offset null); longer
     ones than ``capacity`` are an error. Columns named like the new ones are replaced.
     """
     rows = without(rows, ["sequence_id", "offset"])
     at, width = rows.columns.index(length), len(rows.columns)
     plain = [c for c, kind in rows.dtypes if not kind.startswith(("map", "variant"))]
-    dealt = rows.withColumn("_deal", F.xxhash64(*plain)).repartition("_deal").sortWithinPartitions("_deal")
+    place = F.monotonically_increasing_id()  # the same for a task that runs again over the same split
+    dealt = rows.withColumn("_deal", F.xxhash64(place, *plain)).repartition("_deal").sortWithinPartitions("_deal")
     out = T.StructType(
         [*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
     )

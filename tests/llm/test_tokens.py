@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from candor.llm import bpe, packing, token_count
+from candor.session import written
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE = public_tokenizers.path("piece_bpe_32k.model")
@@ -140,3 +141,15 @@ def test_empty_tables(spark):
     assert bpe.decode(bpe.encode(none, BYTE), BYTE).count() == 0
     assert token_count.count_tokens(none, PIECE).count() == 0
     assert packing.pack(packing.pieces(none, BYTE)).count() == 0
+
+
+def test_equal_rows_are_packed_by_many_tasks(spark):
+    rows = spark.range(4_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(100).cast("long").alias("length"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the partitions are far below what Spark would join here
+    try:
+        got = written(packing.pack(rows.repartition(4)), "packed")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got.select((F.col("sequence_id") / (1 << packing.TASK_BITS)).cast("int")).distinct().count() > 1
+    assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
+    assert got.select("sequence_id").distinct().count() <= 1.05 * 4_000 / 10
