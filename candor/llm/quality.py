@@ -1,8 +1,8 @@
 """Compression classifier for text quality (operator 2).
 
 Two zstandard dictionaries are built from good and from bad labelled text. A text
-is compressed in blocks with either one; the difference and the sum of the two
-sizes, both divided by the text's own size, go through a logistic calibration
+is compressed in blocks with either one; the difference of the two
+sizes, divided by the text's own size, goes through a logistic calibration
 that is fitted on labelled rows the dictionaries have not seen.
 """
 
@@ -11,14 +11,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candor.llm.common import Shared, map_texts
+from candor.llm.common import Shared, map_texts, slices
 
 SAMPLE_ROWS = 3000  # labelled rows per class that a model is fitted on, half of them for the dictionaries
-BLOCKS = 8  # of BLOCK_BYTES characters, spread over a longer text, that a dictionary is made of
+SAMPLE_BLOCKS = 12_000  # blocks of whole texts that a dictionary is made of; of more, those with the smallest hashes
 DICTIONARY_BYTES = 65_536
 BLOCK_BYTES = 2_048
 LEVEL = 3
@@ -55,32 +56,32 @@ class QualityModel:
         pair = self.compressors()
 
         def score(texts):
-            found = np.array([features(t or "", pair) for t in texts]).reshape(-1, 2)
+            found = np.array([difference(t or "", pair) for t in texts]).reshape(-1, 1)
             z = self.weights[0] + ((found - self.centre) / self.spread) @ self.weights[1:]
             return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
         return score
 
 
-def features(text: str, pair) -> tuple[float, float]:
-    """Difference (bad less good) and sum of the compressed sizes, by the text's size."""
+def difference(text: str, pair) -> float:
+    """Compressed size by the bad dictionary less that by the good one, by the text's size."""
     raw = memoryview(text.encode())
     good = bad = 0
     for i in range(0, len(raw), BLOCK_BYTES):
         block = raw[i : i + BLOCK_BYTES]
         good += len(pair[0].compress(block))
         bad += len(pair[1].compress(block))
-    size = len(raw) + 20
-    return (bad - good) / size, (bad + good) / size
+    return (bad - good) / (len(raw) + 20)
 
 
-def dictionary(texts: list[str]) -> bytes:
+def dictionary(samples: list[bytes]) -> bytes:
+    """A trained dictionary; where the samples are too few to train on, their end, DICTIONARY_BYTES of it, is the dictionary itself."""
     import zstandard
 
-    samples = [t.encode() for t in texts if t]
+    samples = [s for s in samples if s]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:  # too few samples to train on: their text itself is the dictionary
+    except zstandard.ZstdError:
         return b"\n".join(samples)[-DICTIONARY_BYTES:] or b" " * 16
 
 
@@ -99,21 +100,22 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50,
 
 def fit(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
-    sample_rows: int = SAMPLE_ROWS,
+    sample_rows: int = SAMPLE_ROWS, sample_blocks: int = SAMPLE_BLOCKS,
 ) -> QualityModel:
     """A model from at most ``sample_rows`` rows of each label (1 good, 0 bad).
 
     The rows with the smallest hashes of their ids are taken, so a repeated run
     takes the same; only their ids (bounded by ``sample_rows``) are broadcast. The
-    calibration rows are compressed whole inside tasks, and dictionaries are made of
-    blocks from all over their texts, so what reaches the driver is bounded.
-    Other labels and nulls are ignored. Without rows of both classes the model
+    calibration rows are compressed whole inside tasks. Dictionaries are made of all blocks of their rows' whole
+    texts; where a class has more than ``sample_blocks`` of them, a draw by hash from all over the texts bounds what reaches the driver.
+    With too few blocks to train on, the text itself is the dictionary.
+    Other labels and nulls are ignored; an id that stands in several rows of ``labels`` may bring its text to both classes. Without rows of both classes the model
     answers with the share of label 1, or 0.5.
     """
     marked = labels.where(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y"))
     counts = {r["_y"]: r["count"] for r in marked.groupBy("_y").count().collect()}
     prior = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
-    none = QualityModel(None, np.zeros(2), np.ones(2), np.zeros(3), prior)
+    none = QualityModel(None, np.zeros(1), np.ones(1), np.zeros(2), prior)
     if len(counts) < 2:
         return none
     chosen = [
@@ -145,25 +147,32 @@ def fit(
         )
         return whole.join(F.broadcast(numbered), ["_id", "_hash", "_y"]).groupBy("_at").agg(F.min("_text").alias("_text"))
 
-    size = BLOCKS * BLOCK_BYTES
-    spread_over = F.concat_ws("", F.transform(
-        F.sequence(F.lit(0), F.lit(BLOCKS - 1)),
-        lambda i: F.substring(F.col("_text"), F.floor(i * (F.length("_text") - BLOCK_BYTES) / (BLOCKS - 1)).cast("int") + 1, F.lit(BLOCK_BYTES)),
-    ))
-    learned = picked(by[0][: half[0]] + by[1][: half[1]]).select(
-        "_at", F.when(F.length("_text") > size, spread_over).otherwise(F.col("_text")).alias("_text")
-    )
-    found = [r["_text"] for r in sorted(learned.collect(), key=lambda r: r["_at"])]
-    books = (dictionary(found[half[0] :]), dictionary(found[: half[0]]))
+    def cut(batches):
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                for at, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    raw = text.encode()
+                    blocks = [raw[i : i + BLOCK_BYTES] for i in range(0, len(raw), BLOCK_BYTES)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([at] * len(blocks), pa.int64()), pa.array(range(len(blocks)), pa.int64()), pa.array(blocks, pa.binary())],
+                        names=["at", "part", "block"],
+                    )
+
+    def samples(wanted):
+        blocks = picked(wanted).select("_at", "_text").mapInArrow(cut, "at long, part long, block binary")
+        drawn = blocks.orderBy(F.xxhash64("at", "part"), "at", "part").limit(sample_blocks).collect()
+        return [bytes(r["block"]) for r in sorted(drawn, key=lambda r: (r["at"], r["part"]))]
+
+    books = tuple(dictionary(samples(by[y][: half[y]])) for y in (1, 0))
     shared = Shared(docs.sparkSession, QualityModel(books, none.centre, none.spread, none.weights, prior))
 
     def make():
         pair = shared.value.compressors()
-        return lambda texts: [np.array(c) for c in zip(*(features(t or "", pair) for t in texts))]
+        return lambda texts: [np.array([difference(t or "", pair) for t in texts])]
 
-    columns = [T.StructField("_less", T.DoubleType(), False), T.StructField("_both", T.DoubleType(), False)]
-    rated = map_texts(picked(rest[0] + rest[1]), "_text", make, columns).select("_at", "_less", "_both").collect()
-    x = np.array([(r["_less"], r["_both"]) for r in sorted(rated, key=lambda r: r["_at"])])
+    columns = [T.StructField("_less", T.DoubleType(), False)]
+    rated = map_texts(picked(rest[0] + rest[1]), "_text", make, columns).select("_at", "_less").collect()
+    x = np.array([(r["_less"],) for r in sorted(rated, key=lambda r: r["_at"])])
     y = np.repeat([0.0, 1.0], [len(rest[0]), len(rest[1])])
     weight = np.repeat([(1 - prior) / len(rest[0]), prior / len(rest[1])], [len(rest[0]), len(rest[1])]) * len(y)
     centre, spread = x.mean(0), x.std(0) + 1e-9

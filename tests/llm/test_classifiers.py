@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +124,62 @@ def test_fits_read_whole_texts(spark):
     assert all((r["score"] > 0.9) or (r["score"] < 0.1) for r in got)
     named = language.identify(docs, language.fit(docs)).collect()
     assert all(r["lang_pred"] == r["lang"] for r in named)
+
+
+def test_quality_score_against_plain_python(spark):
+    """The whole method by hand: dictionaries of all blocks, sizes by block, logistic calibration."""
+    import zstandard
+
+    docs, labels = model_of(spark)
+    model = quality.fit(docs, labels)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    pair = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in model.dictionaries]
+    long = "some fine words " * 700
+    for text in [*list(texts.values())[::17], long, ""]:
+        raw = text.encode()
+        sizes = [sum(len(c.compress(raw[i : i + quality.BLOCK_BYTES])) for i in range(0, len(raw), quality.BLOCK_BYTES)) for c in pair]
+        x = ((sizes[1] - sizes[0]) / (len(raw) + 20) - model.centre[0]) / model.spread[0]
+        wanted = 1 / (1 + np.exp(-(model.weights[0] + model.weights[1] * x)))
+        assert model.scorer()([text])[0] == pytest.approx(wanted, abs=0.02)
+
+
+def test_quality_dictionaries_see_whole_texts(spark):
+    """A passage at the very end of long texts is learned; few blocks are a dictionary by themselves."""
+    tail = "zebra quagga okapi " * 20
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(str(n) for n in rng.integers(0, 10**9, 3_000)) + (tail if i < 8 else "")) for i in range(16)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 8)) for i in range(16)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    assert b"quagga" in model.dictionaries[0] and b"quagga" not in model.dictionaries[1]
+    small = quality.dictionary([b"a few bytes", b"and more"])
+    assert small == b"a few bytes\nand more"
+    bounded = quality.fit(docs, labels, sample_blocks=5)
+    assert max(len(d) for d in bounded.dictionaries) <= 5 * quality.BLOCK_BYTES + 4
+
+
+def test_language_against_plain_python(spark):
+    """Landmarks, Nystroem map and ridge regression worked out once more from the definition."""
+    rng = np.random.default_rng(4)
+    words = {"en": ["the", "house", "and", "with", "this"], "de": ["der", "hausen", "und", "mitte", "dieser"], "fr": ["une", "maison", "avec", "cette", "elle"]}
+    rows = [(" ".join(rng.choice(w, 12)) + f" {i}", lang) for lang, w in words.items() for i in range(30)]
+    bits = np.array([np.packbits(language.presence([t])[0]) for t, _ in rows])
+    names = [lang for _, lang in rows]
+    model = language.solve(bits, names, landmarks=8)
+    sets = [set(np.flatnonzero(language.presence([t])[0])) for t, _ in rows]
+    cosine = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    langs = sorted(words)
+    marks = [i for lang in langs for i in [k for k, n in enumerate(names) if n == lang][:8]]
+    inner = np.array([[cosine(sets[i], sets[j]) for j in marks] for i in marks])
+    kernel = np.array([[cosine(s, sets[j]) for j in marks] for s in sets])
+    values, vectors = np.linalg.eigh(inner)
+    good = values > 1e-6 * values.max()
+    mapped = kernel @ (vectors[:, good] / np.sqrt(values[good]))
+    weight = np.array([1 / names.count(n) for n in names])
+    target = np.array([[1.0 if n == lang else -1.0 for lang in langs] for n in names])
+    left = (mapped * weight[:, None]).T @ mapped + language.RIDGE * np.eye(mapped.shape[1])
+    scores = mapped @ np.linalg.solve(left, (mapped * weight[:, None]).T @ target)
+    assert np.allclose(language.raw_scores(np.array([language.presence([t])[0] for t, _ in rows]), model.weights), scores, atol=1e-3)
+    found, share = model.predict([t for t, _ in rows])
+    assert found == [langs[i] for i in scores.argmax(1)]
+    assert np.allclose(share, language.softmax(scores * model.sharpness).max(1), atol=1e-2)
