@@ -1,7 +1,8 @@
 """Nearest neighbours by a permutation index (operator 3).
 
 A vector is represented by its nearest pivots in order. The index holds this
-order for every row. Every segment of the index posts its rows in inverted files,
+order for every row. Rows are dealt into segments by their ids when the index is written, so answers do
+not depend on how the input was cut. Every segment of the index posts its rows in inverted files,
 one per pivot, with the pivot's place in the row's order. A query reads the files
 of its own nearest pivots, which adds up the footrule distance between its order
 and that of each row; the share of each segment that ranks first is reranked by
@@ -26,8 +27,8 @@ PIVOTS = 1024  # vectors sampled as pivots, the bound of the fitted part
 POSTED = 64  # pivots of a row's order
 PROBED = 64  # pivots of a query's order
 SHARE = 0.4  # of a segment that is reranked
-LEAST = 256  # rows of a segment that are reranked at least
-SEGMENT = 8192  # rows
+LEAST = 32  # rows of a segment that are reranked at least
+SEGMENT = 4096  # rows of a segment, about
 PASS_BYTES = 8 << 20  # of the queries of one pass
 
 
@@ -47,28 +48,37 @@ def choose_pivots(rows: DataFrame, pivots: int = PIVOTS) -> np.ndarray:
     length = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if length is None:
         return np.zeros((0, 0))
-    same = rows.where(F.size("vector") == length["n"])
-    taken = same.select("vector").distinct().orderBy(F.xxhash64("vector"), "vector").limit(pivots)
-    return np.array([r["vector"] for r in taken.collect()], float)
+    same = rows.where(F.size("vector") == length["n"]).select("vector", F.xxhash64("vector").alias("hash"))
+    drawn = same.select("hash").distinct().orderBy("hash").limit(pivots)
+    taken = same.join(F.broadcast(drawn), "hash", "left_semi").groupBy("hash").agg(F.min("vector").alias("vector"))
+    return np.array([r["vector"] for r in taken.orderBy("hash").collect()], float)
 
 
-def build_index(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """(id, vector, order) of every row; rows of another length than the pivots have an empty order."""
-    shared = df.sparkSession.sparkContext.broadcast(pivots)
-
-    def task(batches):
-        for batch in batches:
-            column = batch.column(1)
-            orders: list = [[]] * batch.num_rows
-            for rows, x in by_length(column):
-                if len(shared.value) and x.shape[1] == shared.value.shape[1]:
-                    for i, order in zip(rows.tolist(), pivot_orders(x, shared.value, POSTED)):
-                        orders[i] = order
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), column, pa.array(orders, pa.list_(pa.int16()))], names=["id", "vector", "ord"]
-            )
+def build_index(df: DataFrame, pivots: np.ndarray, segment: int = SEGMENT) -> DataFrame:
+    """One row per segment: (ids, vectors, orders) of its rows in id order, as bytes, with their number and length.
 
-    return df.select("id", "vector").mapInArrow(task, "id long, vector array<double>, ord array<smallint>")
+    A segment holds about ``segment`` rows of one vector length, chosen by a hash of id and vector. Rows of another length
+    than the pivots have an empty order.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(pivots)
+    sizes = df.groupBy(F.size("vector").alias("width")).agg(F.greatest(F.lit(1), F.round(F.count("*") / segment)).cast("int").alias("segments"))
+    placed = df.select("id", "vector", F.size("vector").alias("width")).join(F.broadcast(sizes), "width")
+
+    def pack(table: pa.Table) -> pa.Table:
+        x = by_length(table.column("vector"))[0][1]
+        ids = table.column("id").to_numpy()
+        order = np.lexsort((*x.T[::-1], ids))
+        ids, x = ids[order], x[order]
+        same = len(shared.value) and x.shape[1] == shared.value.shape[1]
+        orders = pivot_orders(x, shared.value, POSTED) if same else np.zeros((len(x), 0), np.int16)
+        columns = [[len(ids)], [x.shape[1]], [ids.astype(np.int64).tobytes()], [x.tobytes()], [np.ascontiguousarray(orders).tobytes()]]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["n", "width", "ids", "vectors", "ord"])
+
+    spread = F.pmod(F.xxhash64("id", "vector"), F.col("segments")).alias("segment")
+    return placed.select("id", "vector", "width", spread).groupBy("width", "segment").applyInArrow(
+        pack, "n long, width long, ids binary, vectors binary, ord binary"
+    )
 
 
 class Segment:
@@ -110,6 +120,7 @@ class Segment:
 def search(index: DataFrame, queries: DataFrame, pivots: np.ndarray, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest rows found for every query row (id, vector)."""
     spark = index.sparkSession
+    queries = written(queries, "nearest-queries")
     width = queries.agg(F.max(F.size("vector"))).first()[0]
     if width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -139,23 +150,18 @@ def _one_pass(index: DataFrame, asked, pivots: int, k: int) -> DataFrame:
     def task(batches):
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for start in range(0, batch.num_rows, SEGMENT):
-                part = batch.slice(start, SEGMENT)
-                ids = np.asarray(part.column(0), np.int64)
-                places = np.asarray(part.column(2).value_lengths(), np.int64)
-                orders = part.column(2).flatten().to_numpy(zero_copy_only=False)
-                begin = np.cumsum(places) - places
-                for rows, x in by_length(part.column(1)):
-                    own = orders[begin[rows][:, None] + np.arange(places[rows[0]])]
-                    segment = Segment(ids[rows], x, own, pivots)
-                    for n, (query, v, order) in enumerate(asked.value):
-                        if len(v) == x.shape[1]:
-                            far, near = segment.nearest(query, v, order, k)
-                            if n in best:
-                                far, near = np.r_[best[n][0], far], np.r_[best[n][1], near]
-                                keep = np.lexsort((near, far))[:k]
-                                far, near = far[keep], near[keep]
-                            best[n] = far, near
+            for n_rows, width, ids, raw, ord_ in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                x = np.frombuffer(raw, np.float64).reshape(n_rows, width)
+                own = np.frombuffer(ord_, np.int16).reshape(n_rows, -1)
+                segment = Segment(np.frombuffer(ids, np.int64), x, own, pivots)
+                for n, (query, v, order) in enumerate(asked.value):
+                    if len(v) == width:
+                        far, near = segment.nearest(query, v, order, k)
+                        if n in best:
+                            far, near = np.r_[best[n][0], far], np.r_[best[n][1], near]
+                            keep = np.lexsort((near, far))[:k]
+                            far, near = far[keep], near[keep]
+                        best[n] = far, near
         if best:
             who = np.repeat([asked.value[n][0] for n in best], [len(b[0]) for b in best.values()])
             far, near = (np.concatenate([b[c] for b in best.values()]) for c in (0, 1))
@@ -164,7 +170,7 @@ def _one_pass(index: DataFrame, asked, pivots: int, k: int) -> DataFrame:
                 names=["query_id", "vec_id", "score"],
             )
 
-    return index.select("id", "vector", "ord").mapInArrow(task, "query_id long, vec_id long, score double")
+    return index.select("n", "width", "ids", "vectors", "ord").mapInArrow(task, "query_id long, vec_id long, score double")
 
 
 def nearest(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embedding", k: int = 10, pivots: int = PIVOTS) -> DataFrame:
@@ -179,6 +185,10 @@ def nearest(df: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "embe
         F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), is_query.alias("_asked")
     )
     chosen = choose_pivots(rows, pivots)
-    index = written(build_index(rows, chosen), "permutation-index")
+    # of rows equal in id and vector more than k cannot be among the k nearest, so a hot one stays small
+    single = rows.groupBy("id", "vector").agg(F.count("*").alias("copies")).select(
+        "id", "vector", F.explode(F.sequence(F.lit(1), F.least("copies", F.lit(k + 1).cast("long")))).alias("copy")
+    )
+    index = written(build_index(single, chosen), "permutation-index")
     queries = rows.where("_asked").groupBy("id").agg(F.min("vector").alias("vector"))
     return search(index, queries, chosen, k)

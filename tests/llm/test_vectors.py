@@ -28,6 +28,11 @@ def test_nearest_recall_and_order(spark, monkeypatch):
     v = clustered()
     df = frame(spark, v, np.zeros(len(v)))
     monkeypatch.setattr(pi, "PASS_BYTES", 4096)  # several passes
+    ranked = []
+    plain = pi.Segment.candidates
+    monkeypatch.setattr(pi.Segment, "candidates", lambda self, order: ranked.append(1) or plain(self, order))
+    part = pi.Segment(np.arange(len(v)), v, pi.pivot_orders(v, v[:64], 64), 64)
+    assert part.most < len(v) / 2 and len(part.candidates(pi.pivot_orders(v[:1], v[:64], 64)[0])) == part.most and ranked
     got = pi.nearest(df, F.col("vec_id") % 10 == 0, pivots=64).collect()
     by = {}
     for r in got:
@@ -54,6 +59,24 @@ def test_nearest_of_few_rows_and_lengths(spark):
     assert pi.nearest(df, F.lit(False)).count() == 0
 
 
+def test_nearest_does_not_depend_on_the_layout(spark, monkeypatch):
+    v = clustered()
+    df = frame(spark, v, np.zeros(len(v)))
+    build = pi.build_index
+    monkeypatch.setattr(pi, "build_index", lambda d, p: build(d, p, segment=150))  # several segments
+    got = [sorted(map(tuple, pi.nearest(df.repartition(n), F.col("vec_id") % 50 == 0, pivots=64).collect())) for n in (1, 7)]
+    assert got[0] == got[1] and len(got[0]) == 10 * 18
+
+
+def test_nearest_of_one_row_that_stands_very_often(spark):
+    rows = [(1, [1.0, 0.0])] * 500 + [(100, [1.0, 0.1]), (2, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [r["vec_id"] for r in pi.nearest(df, F.col("vec_id") == 100).orderBy("rank").collect()]
+    assert got == [1] * 10
+    chosen = pi.choose_pivots(df.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+    assert len(chosen) == 3
+
+
 def brute(v, labels, threshold):
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     near = (u @ u.T >= threshold) & (labels[:, None] == labels[None, :])
