@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from candor.llm.common import map_texts, slices
 from candor.operators.graph import connected_components
-from candor.operators.skew import lookup, small_enough
+from candor.operators.skew import balanced_join, lookup, small_enough
 from candor.session import written
 
 WORDS = 5
@@ -385,16 +385,20 @@ def opened(member: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     asks for, the sizes have to fit, and some set of that group has to open this one.
     """
     shape = member.groupBy(F.col("g").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    held = prefixes.join(member.select("kind", "key", "n", "g", "bytes"), "key").select("shingle", "kind", "n", "g", "bytes")
+    held = written(
+        prefixes.join(member.select("kind", "key", "n", "g", "bytes"), "key").select("shingle", "kind", "n", "g", "bytes"), "jaccard-held"
+    )
     union = held.select("shingle", F.col("g").alias("other")).distinct()
-    met = held.join(union, "shingle").where("g <> other")
+    met = balanced_join(held, union, ["shingle"]).where("g <> other")
     met = met.groupBy("kind", "g", "other", "n", "bytes").agg(F.count("*").alias("overlap"))
-    enough = F.col("overlap") >= need(F.ceil(F.col("n") * percent / 100))
-    met = met.where(enough).join(shape, "other")
-    met = met.where((100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low")))
-    met = written(met.select("kind", "g", "other", "bytes"), "jaccard-opened")
-    back = met.select(F.col("other").alias("g"), F.col("g").alias("other")).distinct()
-    return met.join(back, ["g", "other"], "left_semi")
+    met = written(met.where(F.col("overlap") >= need(F.ceil(F.col("n") * percent / 100))), "jaccard-met")
+    # pairs of groups are few next to their sets: what holds for a pair is worked out there and looked up
+    pairs = written(met.groupBy("g", "other").agg(F.count("*").alias("rows")).join(shape, "other"), "jaccard-pairs")
+    fits = (100 * F.col("high") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("low"))
+    met = written(lookup(met, pairs, ["g", "other"], "rows").where(fits).select("kind", "g", "other", "bytes"), "jaccard-opened")
+    pairs = met.groupBy("g", "other").agg(F.count("*").alias("rows"))
+    back = pairs.select(F.col("other").alias("g"), F.col("g").alias("other"))
+    return lookup(met, written(pairs.join(back, ["g", "other"]), "jaccard-both"), ["g", "other"], "rows")
 
 
 def meetings(grouped: DataFrame, across: DataFrame) -> DataFrame:
@@ -512,13 +516,12 @@ def one_of_each_group(
     keyed = docs.select(F.struct(id_.isNull().alias("no"), id_.alias("id"), key.alias("key")).alias("_row"), body.alias("_body"))
     _, rooted = _rooted(keyed, "_row", "_body", words, percent, F.col("_row"))
     first = rooted.groupBy("_root").agg(F.min("_low").alias("_low"))
-    first = first.select(F.col("_low.id").alias("_id"), F.col("_low.key").alias("_text"))
     shingled = F.coalesce(body.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    # rows that are equal in id and text meet first, at most one of each task is shuffled
+    # rows that are equal in id and text share a name; at most one of each task is shuffled, and the join finds them in place
+    who = lambda id, key: F.concat(F.coalesce(F.concat(F.lit("+"), id.cast("string")), F.lit("-")), F.lit("|"), key)
     comparable = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.dataType.typeName() in ("string", "long", "integer", "double", "boolean") and f.name not in (text, doc_id)]
-    order = Window.partitionBy("_id", "_text").orderBy(*(comparable or [F.lit(1)]))
-    single = docs.where(shingled).select("*", id_.alias("_id"), key.alias("_text"))
+    order = Window.partitionBy("_who").orderBy(*(comparable or [F.lit(1)]))
+    single = docs.where(shingled).withColumn("_who", who(id_, key))
     single = single.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
-    same = F.col("_id").eqNullSafe(F.col("_first_id")) & (F.col("_text") == F.col("_first_text"))
-    named = first.select(F.col("_id").alias("_first_id"), F.col("_text").alias("_first_text"))
-    return single.join(named, same, "left_semi").drop("_id", "_text").unionByName(docs.where(~shingled))
+    named = first.select(who(F.col("_low.id"), F.col("_low.key")).alias("_who"))
+    return single.join(named, "_who", "left_semi").drop("_who").unionByName(docs.where(~shingled))
