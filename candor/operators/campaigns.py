@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from candor import config
 from candor.functions.scoring import is_low, score_text
 from candor.operators import blocks
-from candor.operators.skew import lookup
+from candor.operators.skew import balanced_join, lookup
 from candor.session import cut_lineage
 
 
@@ -238,7 +238,8 @@ def cross_platform_matches(pairs: DataFrame, platforms: DataFrame) -> DataFrame:
     """
     one = platforms.select(F.col("content_id").alias("content_id_1"), F.col("platform").alias("p1"))
     two = platforms.select(F.col("content_id").alias("content_id_2"), F.col("platform").alias("p2"))
-    both = pairs.join(one, "content_id_1").join(two, "content_id_2").where("p1 <> p2")
+    first = cut_lineage(balanced_join(cut_lineage(pairs), one, ["content_id_1"]))
+    both = balanced_join(first, two, ["content_id_2"]).where("p1 <> p2")
     swap = F.col("p1") > F.col("p2")
     return both.select(
         F.least("p1", "p2").alias("platform_1"),

@@ -94,14 +94,39 @@ def overlap_set_pairs(sets: DataFrame, ordered: DataFrame, min_ratio: float = 0.
 def _all_pairs(found: DataFrame, members: DataFrame) -> DataFrame:
     one = members.select(F.col("key").alias("key_1"), F.col("id").alias("content_id_1"))
     two = members.select(F.col("key").alias("key_2"), F.col("id").alias("content_id_2"))
-    return (
-        found.join(one, "key_1")
-        .join(two, "key_2")
-        .where("content_id_1 < content_id_2")
-        .select("content_id_1", "content_id_2", "word_overlap_ratio")
+    first = cut_lineage(balanced_join(cut_lineage(found), one, ["key_1"]))
+    return balanced_join(first, two, ["key_2"]).where("content_id_1 < content_id_2").select(
+        "content_id_1", "content_id_2", "word_overlap_ratio"
     )
 
 
+def _counted_pairs(found: DataFrame, members: DataFrame, sets: DataFrame, chunk: int = 1_000) -> DataFrame:
+    """(word_overlap_ratio, n): ids id_1 < id_2 of each pair of sets, counted without listing them.
+
+    Most pairs of sets follow from the ends of their id ranges. Where the ranges interleave, each id of the smaller set is
+    ranked in the sorted ids of the larger one, chunk by chunk.
+    """
+    one = sets.select(F.col("key").alias("key_1"), F.col("first_id").alias("low_1"), F.col("last_id").alias("high_1"), F.col("copies").alias("n_1"))
+    two = sets.select(F.col("key").alias("key_2"), F.col("first_id").alias("low_2"), F.col("last_id").alias("high_2"), F.col("copies").alias("n_2"))
+    sized = balanced_join(cut_lineage(balanced_join(cut_lineage(found), one, ["key_1"])), two, ["key_2"])
+    same, apart = F.col("key_1") == F.col("key_2"), F.col("high_1") < F.col("low_2")
+    known = F.when(same, F.expr("n_1 * (n_1 - 1) div 2")).when(apart, F.col("n_1") * F.col("n_2")).when(F.col("low_1") > F.col("high_2"), F.lit(0).cast("long"))
+    sized = cut_lineage(sized.withColumn("n", known))
+    settled = sized.where("n is not null").select("word_overlap_ratio", "n")
+    mixed = sized.where("n is null").select("key_1", "key_2", "n_1", "n_2", "word_overlap_ratio")
+    copies = sets.where("copies > 1").select("key", "copies")
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.coalesce("copies", F.lit(1)) / chunk))
+    chunks = cut_lineage(members.join(copies, "key", "left").groupBy("key", part.alias("part")).agg(F.collect_list("id").alias("ids")))
+    ranked = None
+    for few, many, smaller, beyond in (("key_1", "key_2", F.col("n_1") <= F.col("n_2"), True), ("key_2", "key_1", F.col("n_1") > F.col("n_2"), False)):
+        points = balanced_join(cut_lineage(mixed.where(smaller)), members.select(F.col("key").alias(few), "id"), [few])
+        met = balanced_join(cut_lineage(points), chunks.select(F.col("key").alias(many), "ids"), [many])
+        hits = F.size(F.filter("ids", (lambda x: x > F.col("id")) if beyond else (lambda x: x < F.col("id")))).cast("long")
+        counts = met.select("word_overlap_ratio", hits.alias("n"))
+        ranked = counts if ranked is None else ranked.unionByName(counts)
+    return settled.unionByName(ranked).groupBy("word_overlap_ratio").agg(F.sum("n").alias("n"))
+
+
 def _top_pairs(found: DataFrame, members: DataFrame, sets: DataFrame, k: int) -> DataFrame:
     """The k best pairs by (ratio, id_1, id_2) without listing the others.
 
@@ -153,3 +178,10 @@ def word_overlap_pairs(
         if ratio == min_ratio or found.limit(limit).count() >= limit:
             break
     return _top_pairs(found, members, sets, limit)
+
+
+def word_overlap_counts(df: DataFrame, id: str = "id", text: str = "content", min_words: int = 5, min_ratio: float = 0.5) -> DataFrame:
+    """(word_overlap_ratio, n): how many pairs id_1 < id_2 have each ratio above ``min_ratio`` (A11 over J4), without a pair of copies being listed."""
+    rows = df.where((F.col("word_count") > min_words) & F.col(text).isNotNull())
+    members, sets = distinct_token_sets(rows, id, text)
+    return _counted_pairs(overlap_set_pairs(sets, ordered_sets(sets), min_ratio), cut_lineage(members), sets)

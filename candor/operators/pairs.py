@@ -78,7 +78,7 @@ def expand_pairs(members: DataFrame, pairs: DataFrame, threshold: float, strict:
     )
     out = across
     if not (strict and threshold >= 1.0):
-        copied = chunks.join(members.where("copies > 1").select("rep", F.col("id").alias("a")), "rep")
+        copied = balanced_join(cut_lineage(members.where("copies > 1").select("rep", F.col("id").alias("a"))), chunks, ["rep"])
         within = copied.select(F.lit(1.0).alias("similarity_score"), "a", F.explode("ids").alias("b")).where("a < b")
         out = across.unionByName(within)
     return out.select(

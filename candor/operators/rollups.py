@@ -50,9 +50,10 @@ def histogram_bin(value: Column, bins: int) -> Column:
     return F.least(F.floor(value * bins), F.lit(bins - 1)).cast("int")
 
 
-def score_histogram(scores: DataFrame, column: str = "authenticity_score", bins: int = 20, by=()) -> DataFrame:
-    """Equal-width bins over 0..1; 1.0 falls into the last one."""
-    return scores.groupBy(histogram_bin(F.col(column), bins).alias("bin"), *by).agg(F.count("*").alias("n"))
+def score_histogram(scores: DataFrame, column: str = "authenticity_score", bins: int = 20, by=(), weight: str | None = None) -> DataFrame:
+    """Equal-width bins over 0..1; 1.0 falls into the last one (A11). ``weight`` names a column with the rows that each row stands for."""
+    n = F.count("*") if weight is None else F.sum(weight)
+    return scores.groupBy(histogram_bin(F.col(column), bins).alias("bin"), *by).agg(n.alias("n"))
 
 
 def score_statistics(scores: DataFrame) -> DataFrame:

@@ -778,8 +778,8 @@ def word_overlap_top(spark, sf):
     _OVERLAP + "SELECT CAST(least(floor(ratio * 20), 19) AS INTEGER) AS bin, count(*) AS n FROM overlapping GROUP BY 1",
 )
 def word_overlap_histogram(spark, sf):
-    found = overlap.word_overlap_pairs(_plain_documents(spark, sf), limit=None)
-    return rollups.score_histogram(found, "word_overlap_ratio", 20)
+    found = overlap.word_overlap_counts(_plain_documents(spark, sf))
+    return rollups.score_histogram(found.where("n > 0"), "word_overlap_ratio", 20, weight="n")
 
 
 @query(

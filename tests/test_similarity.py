@@ -282,11 +282,15 @@ def test_word_overlap_equals_brute_force(spark, ratio):
     }
     for i in range(40, 60):
         texts[str(i)] = texts["3"]  # a group of copies
+    for i in range(61, 69, 2):
+        texts[str(i)] = texts["5"]  # another one, with ids in between
     df = spark.createDataFrame([(i, t, len(t.split())) for i, t in texts.items()], "id string, content string, word_count int")
     expected = brute_overlap(texts, ratio)
     every = overlap.word_overlap_pairs(df, min_ratio=ratio, limit=None).collect()
     assert {(r[0], r[1]): r[2] for r in every} == pytest.approx(expected)
     assert len(every) == len(expected)
+    counts = {r["word_overlap_ratio"]: r["n"] for r in overlap.word_overlap_counts(df, min_ratio=ratio).collect() if r["n"]}
+    assert counts == {x: list(expected.values()).count(x) for x in expected.values()}
     for k in (5, 20, 200):
         top = overlap.word_overlap_pairs(df, min_ratio=ratio, limit=k).collect()
         best = sorted(expected, key=lambda p: (-expected[p], p))[:k]
