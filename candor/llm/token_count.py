@@ -11,9 +11,9 @@ over bytes are compiled when they are first met and kept in dense tables.
 Texts of a batch are cut into chunks of equal size. Where two neighbouring
 characters stand together in no token, the state no longer depends on what came
 before. A chunk's state map is therefore a head up to the first such place and a
-constant after it: all tails run side by side, the scan hands each chunk the end
-state of its predecessor, and all heads follow, also side by side. Chunks without
-such a place pass the state on in further rounds of the scan.
+constant after it: all tails run side by side, and all heads as well, each from the state that the
+bytes before its chunk lead to by themselves. The scan compares these entry states with the end states of the
+predecessors and runs anew only where they differ, until all chunks fit together.
 """
 
 from __future__ import annotations
@@ -27,10 +27,16 @@ from candor.llm.common import Shared, map_texts
 
 BLANK = "▁"  # stands for a blank in the vocabulary
 CHUNK = 512  # bytes
+WARM = 96  # bytes before a chunk that its entry state is first worked out from
 MOST_CELLS = 1 << 25  # of the tables (5 bytes each); beyond, they are compiled anew
 ROOT = 0
 
 
+def _pair(before, after):
+    """One number for two neighbouring code points."""
+    return before * (1 << 21) + after
+
+
 class CountingTransducer:
     """Lazily compiled transducer of one vocabulary (pieces with their scores)."""
 
@@ -48,6 +54,7 @@ class CountingTransducer:
             for b in range(128):
                 self.apart[a, b] = shown[a] + shown[b] not in self.inside
         self.apart = self.apart.ravel()
+        self.joined = np.sort(np.array([_pair(ord(p[0]), ord(p[1])) for p in self.inside if len(p) == 2], np.int64))
         self.stands: dict[tuple[str | None, str], bool] = {}
         self.forget()
 
@@ -167,6 +174,20 @@ class CountingTransducer:
         back[order] = np.arange(len(order))
         return now[back], total[back]
 
+    def places_apart(self, data: np.ndarray) -> np.ndarray:
+        """Byte places whose character no token holds together with the one before it, in order."""
+        free = np.flatnonzero(self.apart[data[:-1].astype(np.int32) * 256 + data[1:]]) + 1
+        if not (data >= 0x80).any():
+            return free
+        start = np.flatnonzero((data & 0xC0) != 0x80)
+        code = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        code[code == 0x20] = ord(BLANK)
+        wide = np.flatnonzero((code[1:] > 127) | (code[:-1] > 127)) + 1
+        pair = _pair(code[wide - 1], code[wide])
+        at = np.minimum(np.searchsorted(self.joined, pair), max(len(self.joined) - 1, 0))
+        held = self.joined[at] == pair if len(self.joined) else np.zeros(len(pair), bool)
+        return np.union1d(free, start[wide[~held]])
+
     def count(self, texts: list[str | None]) -> np.ndarray:
         """Number of tokens of every text; none for a null or empty one."""
         if len(self.keys) * self.following.shape[1] > MOST_CELLS:
@@ -185,7 +206,7 @@ class CountingTransducer:
         begin = first[owner] + rank * CHUNK
         end = np.minimum(begin + CHUNK, first[owner] + sizes[owner])
         # the first place of each chunk from which the state is known
-        free = np.flatnonzero(self.apart[data[:-1].astype(np.int32) * 256 + data[1:]]) + 1
+        free = self.places_apart(data)
         found = np.searchsorted(free, begin)
         anchor = np.where(found < len(free), free[np.minimum(found, max(len(free) - 1, 0))] if len(free) else 0, len(data))
         opening = rank == 0
@@ -197,15 +218,27 @@ class CountingTransducer:
         leaving[tails], counted[tails] = self.run(
             data, head_end[tails], end[tails], np.where(opening[tails], self.begin, ROOT)
         )
-        # hand the states on: a head can run once its predecessor's end state is known
-        waiting = np.flatnonzero(~opening & (head_end > begin))
-        while len(waiting):
-            ready = waiting[leaving[waiting - 1] >= 0]
-            out, more = self.run(data, begin[ready], head_end[ready], leaving[ready - 1])
-            counted[ready] += more
-            passing = ~known[ready]
-            leaving[ready[passing]] = out[passing]
-            waiting = np.setdiff1d(waiting, ready, assume_unique=True)
+        # heads: entry states by the bytes before, then by the scan wherever a predecessor ends in another state
+        heads = np.flatnonzero(~opening & (head_end > begin))
+        ahead = begin[heads]
+        entry, _ = self.run(data, np.maximum(ahead - WARM, first[owner[heads]]), ahead, np.full(len(heads), ROOT))
+        passing = ~known[heads]  # their end state is that of the chunk
+        more = np.zeros(len(heads), np.int64)
+        stale = np.arange(len(heads))
+        mapped: dict[tuple[bytes, int], tuple[int, int]] = {}  # parts of the heads' state maps, by their bytes
+        while len(stale):
+            keys = [(data[ahead[i] : head_end[heads[i]]].tobytes(), int(entry[i])) for i in stale.tolist()]
+            fresh = {k: i for k, i in zip(keys, stale.tolist()) if k not in mapped}
+            if fresh:
+                rows = np.fromiter(fresh.values(), np.int64, len(fresh))
+                ends, counts = self.run(data, ahead[rows], head_end[heads[rows]], entry[rows])
+                mapped.update(zip(fresh, zip(ends.tolist(), counts.tolist())))
+            out, more[stale] = np.array([mapped[k] for k in keys], np.int64).T
+            leaving[heads[stale][passing[stale]]] = out[passing[stale]]
+            before = leaving[heads - 1]
+            stale = np.flatnonzero(entry != before)
+            entry = before.copy()
+        counted[heads] += more
         np.add.at(result, owner, counted)
         return result
 

@@ -153,3 +153,29 @@ def test_equal_rows_are_packed_by_many_tasks(spark):
     assert got.select((F.col("sequence_id") / (1 << packing.TASK_BITS)).cast("int")).distinct().count() > 1
     assert got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 1024").count() == 0
     assert got.select("sequence_id").distinct().count() <= 1.05 * 4_000 / 10
+
+
+def test_counts_of_long_texts_without_blanks():
+    """Chunks of texts without ASCII separators run side by side: few steps one after the other, and the library's counts."""
+    transducer = token_count.load(PIECE)
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    draw = random.Random(3)
+    letters = "吾輩は猫である名前はまだ無いどこで生れたかとんと見当がつかぬ何でも薄暗いじめじめした所で"
+    texts = [
+        "".join(draw.choice(letters) for _ in range(20_000)),
+        "a" * 30_000,
+        "ab" * 20_000 + "é",
+        "".join(draw.choice(["é", "日本", "abc", " ", "\n", "🙂", "▁", "的"]) for _ in range(20_000)),
+        "".join(draw.choice("etaoin") for _ in range(10_000)),
+    ]
+    steps = []
+    plain = transducer.run
+
+    def seen(data, begin, end, state):
+        steps.append(int((end - begin).max()) if len(begin) else 0)
+        return plain(data, begin, end, state)
+
+    transducer.run = seen
+    assert transducer.count(texts).tolist() == [len(library.encode(t)) for t in texts]
+    assert sum(steps) <= 40 * token_count.CHUNK  # some 400 chunks of all texts, one after the other before
+    assert transducer.count([None, "", "猫", texts[1]]).tolist() == [0, 0, len(library.encode("猫")), len(library.encode(texts[1]))]
