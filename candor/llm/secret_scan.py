@@ -112,7 +112,7 @@ def chain(tokens: list[str], order: int) -> np.ndarray:
 
     The mixed parts are the context of two symbols (``order`` 2 only), of one symbol, and of the class of one symbol (upper,
     lower, digit, other) with even chances inside the class that follows, so that what no sample shows is judged by its classes.
-    Order 2 has shape (69, 69, 68), where START is a context only; order 1 has (69, 68).
+    Order 2 has shape (68, 68, 67), where START is a context only; order 1 has (68, 67).
     """
     k, n = START + 1, len(SYMBOLS)
     counts = np.zeros(k * k * n)

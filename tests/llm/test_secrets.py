@@ -27,10 +27,10 @@ TEXTS = [
     f"tail {HEX}",
     f'token = "{HEX}"' * 3,
 ]
-SAMPLES = [
-    *((w, "ordinary") for w in ("the_quick_brown_fox", "some_function_name", "getUserName", "value", "index", "http_request_handler", "wonderful", "configuration", "2024-01-01", "1234567890123456", "path/to/some/file_name") for _ in range(3)),
-    (None, "ordinary"), ("ok", None), ("", "ordinary"), ("not a token", "hex"),
-]
+WORDS = "value index name file path user order count first second http request handler config wonderful other state table column row text data list item page link node edge some function".split()
+ORDINARY = [w for w in WORDS] + [f"{a}_{b}" for a in WORDS for b in WORDS] + [a + b.title() for a in WORDS for b in WORDS] + [f"{a}/{b}" for a in WORDS for b in WORDS]
+ORDINARY += [str(n) for n in range(10**9, 10**9 + 4_000 * 997, 997)] + [f"2024-{m:02}-{d:02}" for m in range(1, 13) for d in range(1, 29)]
+SAMPLES = [*((w, "ordinary") for w in ORDINARY), (ORDINARY[0], "ordinary"), (None, "ordinary"), ("ok", None), ("", "ordinary"), ("not a token", "hex")]
 
 
 def plain_spans(text):
@@ -63,7 +63,7 @@ def test_markov_findings(spark, model):
     rng = np.random.default_rng(5)
     letters = {k: v for k, v in ss.ALPHABETS.items() if k in ("base62", "base64", "url_base64", "lower")}
     planted = ["".join(rng.choice(list(a), 32)) for a in letters.values() for _ in range(25)]
-    plain = ["the_value_of_some_name", "wonderful_configuration_file", "getUserNameFromSomeIndex", "1234123412341234", "================", "2024-01-01-2024-01-02"]
+    plain = ["some_value_of_other_name", "wonderful_configuration_file", "firstUserNameFromSomeIndex", "1234123412341234", "================", "2024-01-01-2024-01-02", "donaudampfschifffahrtsgesellschaft"]
     docs = spark.createDataFrame([(i, f"ein é {t} there") for i, t in enumerate(planted + plain)], "doc_id long, text string")
     found = {r["doc_id"]: [(x["kind"], r["text"][x["start"] : x["end"]]) for x in r["spans"]] for r in ss.scan(docs, model).collect()}
     hits = [found[i] == [(ss.MARKOV, t)] for i, t in enumerate(planted)]
