@@ -1593,9 +1593,7 @@ def short_summary(spark, sf):
 
 
 def _post_stream(spark, sf) -> DataFrame:
-    schema = fx.table(spark, sf, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return raw.select(
+    return fx.streamed(spark, sf, "events").select(
         F.col("event_id").cast("string").alias("id"),
         F.col("ts").cast("timestamp").alias("timestamp"),
         F.col("event_type").alias("source_platform"),
@@ -1625,8 +1623,7 @@ def stream_hourly_volume(spark, sf):
     ).replace(f"CASE WHEN d.doc_id % 7 = 0 THEN d.text || {quoted(fx.PHRASE)} ELSE d.text END AS content", "d.text AS content"),
 )
 def stream_text_scores(spark, sf):
-    schema = fx.table(spark, sf, "documents").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    raw = fx.streamed(spark, sf, "documents")
     scored = monitors.score_stream(raw.select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
     out, state = monitors.scratch(spark, "scores")
     monitors.run_to_end(monitors.write_parquet(scored, out, state))

@@ -145,6 +145,19 @@ def test_streamed_scores_and_volume_equal_batch(spark, tmp_path):
     assert got == {(r["h"], r["source_platform"]): r["count"] for r in hours}
 
 
+def test_streamed_tables_may_be_a_file_or_a_folder(spark, tmp_path):
+    from candor.plans import catalog, fixtures
+
+    spark.range(6).selectExpr("id AS doc_id", "concat('one two ', id) AS text").repartition(2).write.parquet(f"{tmp_path}/folder/documents.parquet")
+    (tmp_path / "file").mkdir()
+    part = next((tmp_path / "folder" / "documents.parquet").glob("part-*.parquet"))
+    (tmp_path / "file" / "documents.parquet").write_bytes(part.read_bytes())
+    for place in ("folder", "file"):
+        sf = str(tmp_path / place)
+        want = sorted(str(r[0]) for r in fixtures.table(spark, sf, "documents").select("doc_id").collect())
+        assert sorted(r["content_id"] for r in catalog.stream_text_scores(spark, sf).collect()) == want
+
+
 def test_rows_of_any_lateness_are_counted(spark, tmp_path):
     schema = "id string, source_platform string, timestamp timestamp"
     for n, (day, hour) in enumerate(((5, 1), (9, 2), (1, 7), (9, 2), (1, 7), (5, 1), (5, 1))):
