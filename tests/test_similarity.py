@@ -341,6 +341,20 @@ def test_star_edges_connect_like_union_find(spark):
     assert got == {r["id"]: r["component"] for r in graph.connected_components(found, reps.selectExpr("rep as id")).collect()}
 
 
+def test_rows_are_not_copied_for_each_block_they_meet(spark):
+    v = sample(n=80, copies=1)
+    df = frame(spark, v)
+    reps = cut_lineage(blocks.representatives(blocks.unit_members(df, "content_id", "embedding")))
+    n = reps.count()
+    for rows in (8, 64):
+        placed = cut_lineage(blocks.place(reps, 0.2, block_rows=rows))
+        found = blocks.blocked_join(placed, blocks.pair_kernel, blocks.PAIR_SCHEMA, 0.2)
+        plan = found._jdf.queryExecution().toString()
+        assert "CartesianProduct" in plan and "explode(partners" not in plan
+        u = np.stack([r["vec"] for r in reps.collect()])
+        assert found.count() == int(np.triu(np.round(u @ u.T, 12) >= 0.2, 1).sum()) and len(u) == n
+
+
 def two_models(n=40, seed=3):
     """Vectors of two lengths, the second ones in tight groups as well."""
     rng = np.random.default_rng(seed)
