@@ -355,6 +355,25 @@ def test_rows_are_not_copied_for_each_block_they_meet(spark):
         assert found.count() == int(np.triu(np.round(u @ u.T, 12) >= 0.2, 1).sum()) and len(u) == n
 
 
+def test_triangles_of_many_groups(spark, monkeypatch):
+    """Lists in groups of a few edges, read in small pieces: weighted triangles as counted one by one."""
+    monkeypatch.setattr(graph, "_GROUP_EDGES", 60)
+    monkeypatch.setattr(graph, "_ENTRIES", 16)
+    rng = np.random.default_rng(4)
+    linked = np.triu(rng.random((30, 30)) < 0.4, 1)
+    linked |= linked.T
+    copies = rng.integers(1, 4, 30)
+    owner = np.repeat(np.arange(30), copies)
+    ids = linked[np.ix_(owner, owner)] | (owner[:, None] == owner[None, :])
+    np.fill_diagonal(ids, False)
+    around = np.diag(np.linalg.matrix_power(ids.astype("int64"), 3)) // 2
+    vertices = spark.createDataFrame([(f"v{k:02}", int(c)) for k, c in enumerate(copies)], "id string, copies long")
+    edges = spark.createDataFrame([(f"v{i:02}", f"v{j:02}") for i, j in zip(*np.nonzero(np.triu(linked)))], "src string, dst string")
+    got = {r["id"]: (r["degree"], r["triangles"]) for r in graph.clustering_coefficients(vertices, edges).collect()}
+    first = np.cumsum(copies) - copies
+    assert got == {f"v{k:02}": (int(ids[first[k]].sum()), int(around[first[k]])) for k in range(30)}
+
+
 def two_models(n=40, seed=3):
     """Vectors of two lengths, the second ones in tight groups as well."""
     rng = np.random.default_rng(seed)
