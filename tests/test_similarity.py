@@ -474,3 +474,21 @@ def test_factorised_figures_equal_those_of_listed_pairs(spark):
         x, y = (a.orderBy(a.columns[:1]).toPandas(), b.select(a.columns).orderBy(a.columns[:1]).toPandas())
         for c in a.columns:
             assert x[c].tolist() == (pytest.approx(y[c].tolist()) if x[c].dtype.kind == "f" else y[c].tolist())
+
+
+def test_core_rows_of_a_block_are_reported_once(spark):
+    rng = np.random.default_rng(5)
+    v = np.ones((240, 12)) + rng.normal(scale=0.05, size=(240, 12))
+    v[200:, :6] *= -1  # two dense groups
+    df = frame(spark, v)
+    members = blocks.unit_members(df, "content_id", "embedding")
+    reps = cut_lineage(blocks.representatives(members).selectExpr("*", "null as platform"))
+    placed = cut_lineage(blocks.place(reps, 0.9, block_rows=16))
+    parts = placed.select("own").distinct().count()
+    rows = cut_lineage(clusters.pass_over(reps, 0.9, 3, 16))
+    kinds = {r["kind"]: r["count"] for r in rows.groupBy("kind").count().collect()}
+    assert parts > 10
+    assert kinds["degree"] == 240  # not once for every block that a row meets
+    assert 238 <= kinds["star"] < 240 + parts * parts / 2 and kinds.get("edge", 0) == 0
+    found = clusters.semantic_clusters(df, threshold=0.9, block_rows=16)[1]
+    assert {(r["cluster"], r["cluster_size"]) for r in found.collect()} == {("0", 200), ("200", 40)}
