@@ -125,13 +125,41 @@ def color_features(images: DataFrame) -> DataFrame:
     )
 
 
+def channel_counts(images: DataFrame) -> DataFrame:
+    """(image_id, bins): how often each value occurs in each channel of a raster, read once, where it lies."""
+    kind = images.schema["image_id"].dataType.simpleString()
+
+    def task(batches):
+        for batch in batches:
+            names, values, counts, known, ends = [], [], [], [], [0]
+            for channels in zip(*(batch.column(c) for c in "rgb")):
+                for name, pixel in zip(("red", "green", "blue"), channels):
+                    if not pixel.is_valid:
+                        continue
+                    value, n = np.unique(pixel.values.drop_null().to_numpy(zero_copy_only=False), return_counts=True)
+                    missing = [pixel.values.null_count] if pixel.values.null_count else []
+                    names += [name] * (len(n) + len(missing))
+                    values += [value, np.zeros(len(missing))]
+                    counts += [n, missing]
+                    known += [np.ones(len(n), dtype=bool), np.zeros(len(missing), dtype=bool)]
+                ends.append(len(names))
+            join = lambda parts, dtype: np.concatenate([np.zeros(0), *parts]).astype(dtype)
+            columns = [
+                pa.array(names, pa.string()),
+                pa.array(join(values, "int32"), mask=~join(known, bool)),
+                pa.array(join(counts, "int64")),
+            ]
+            bins = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["channel", "value", "n"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), bins], names=["image_id", "bins"])
+
+    schema = f"image_id {kind}, bins array<struct<channel: string, value: int, n: bigint>>"
+    return images.select("image_id", "r", "g", "b").mapInArrow(task, schema)
+
+
 def histogram_features(images: DataFrame) -> DataFrame:
     """Spread of the 256-bin channel histograms, empty bins included."""
-    parts = [
-        images.select("image_id", F.lit(name).alias("channel"), F.explode(c).alias("value"))
-        for c, name in (("r", "red"), ("g", "green"), ("b", "blue"))
-    ]
-    bins = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("image_id", "channel", "value").agg(F.count("*").alias("n"))
+    counted = channel_counts(images).select("image_id", F.explode("bins").alias("b"))
+    bins = counted.groupBy("image_id", "b.channel", "b.value").agg(F.sum("b.n").alias("n"))
     stats = bins.groupBy("image_id", "channel").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
     _, var = _mean_var(F.lit(256).cast("long"), F.col("s"), F.col("q"))
     spread = F.sqrt(var) / (F.col("s") / 256)

@@ -157,3 +157,17 @@ def test_image_source_and_broken_files(spark, tmp_path):
 def test_pixels_collapse_before_the_shuffle(spark):
     plan = images.texture_features(images.with_gray(frame(spark)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "partial_count" in plan and "Join" not in plan
+
+
+def test_channel_counts_hold_one_row_per_raster(spark):
+    schema = "image_id string, width int, height int, r array<int>, g array<int>, b array<int>"
+    rows = [("a", 2, 2, [1, 1, 2, None], [0, 0, 0, 0], None), ("a", 1, 1, [1], [255], [7]), (None, 1, 1, [3], [3], [3]), ("e", 0, 0, [], [], [])]
+    df = spark.createDataFrame(rows, schema)
+    got = [{(b["channel"], b["value"]): b["n"] for b in r["bins"]} for r in images.channel_counts(df).collect()]
+    assert sorted(map(len, got)) == [0, 3, 3, 4]  # bins, not pixels, leave a raster
+    assert {("red", 1): 2, ("red", 2): 1, ("red", None): 1, ("green", 0): 4} in got
+    found = {r["image_id"]: r for r in images.histogram_features(df).collect()}
+    # rasters of one id are one histogram: red 1 1 1 2 and a missing value
+    assert set(found) == {"a", None}
+    assert found["a"]["red_uniformity"] == pytest.approx(np.std([3, 1, 1] + [0] * 253) / (5 / 256))
+    assert found["a"]["blue_uniformity"] == found[None]["red_uniformity"] == pytest.approx(np.std([1] + [0] * 255) * 256)
