@@ -30,6 +30,8 @@ FORMAL_WORDS = ("utilize", "facilitate", "implement", "furthermore", "therefore"
 WHITESPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 SENTENCE_END = "[.!?]+"
 UPPERCASE = r"\p{IsUppercase}"
+# the same classes with their rare characters behind one range, so that most characters are decided by few comparisons
+_BLANK = r"[[\t-\r\x{1c}-\x{20}][[\x{85}-\x{3000}]&&" + WHITESPACE + "]]"
 CAPITAL_START = f"^{WHITESPACE}*" + UPPERCASE
 DIGIT = (
     r"[\p{Nd}\x{b2}\x{b3}\x{b9}\x{1369}-\x{1371}\x{19da}\x{2070}\x{2074}-\x{2079}"
@@ -37,6 +39,7 @@ DIGIT = (
     r"\x{24f5}-\x{24fd}\x{24ff}\x{2776}-\x{277e}\x{2780}-\x{2788}\x{278a}-\x{2792}"
     r"\x{10a40}-\x{10a43}\x{10e60}-\x{10e68}\x{11052}-\x{1105a}\x{1f100}-\x{1f10a}]"
 )
+_NUMERAL = r"[[0-9][[\x{b2}-\x{10ffff}]&&" + DIGIT + "]]"
 STOP_WORDS = {
     "en": "the of and to in is it that for on with as was by be this are at from his they".split(),
     "fr": "le la les de des du et un une est que qui dans en pour par sur au avec pas".split(),
@@ -71,7 +74,7 @@ FEATURES = (
 
 def words(text: Column) -> Column:
     """Whitespace-separated words, without empty ones."""
-    return F.filter(F.split(text, WHITESPACE + "+"), lambda w: w != "")
+    return F.array_remove(F.split(text, _BLANK + "+"), "")
 
 
 def sentences(text: Column) -> Column:
@@ -83,6 +86,11 @@ def occurrences(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
+def _matching(text: Column, single: str) -> Column:
+    """How many characters match, by what is left without them."""
+    return F.length(text) - F.length(F.regexp_replace(text, single, ""))
+
+
 def listed(text: Column, items) -> Column:
     """How many of the listed strings occur in the text."""
     total = F.lit(0)
@@ -92,16 +100,12 @@ def listed(text: Column, items) -> Column:
 
 
 def _moments(values: Column) -> Column:
-    """Struct of n, sum and sum of squares of an integer array, in one pass."""
+    """Struct of n, sum and sum of squares of an integer array; no struct is built per element."""
     zero = F.lit(0).cast("long")
-    return F.aggregate(
-        values,
-        F.struct(zero.alias("n"), zero.alias("s"), zero.alias("q")),
-        lambda a, v: F.struct(
-            (a["n"] + 1).alias("n"),
-            (a["s"] + v).alias("s"),
-            (a["q"] + v.cast("long") * v).alias("q"),
-        ),
+    return F.struct(
+        F.size(values).cast("long").alias("n"),
+        F.aggregate(values, zero, lambda a, v: a + v).alias("s"),
+        F.aggregate(values, zero, lambda a, v: a + v.cast("long") * v).alias("q"),
     )
 
 
@@ -121,10 +125,11 @@ def top_frequency(values: Column) -> Column:
     start = F.struct(F.lit("").alias("last"), none.alias("run"), none.alias("best"))
 
     def step(a, w):
-        run = F.when(a["last"] == w, a["run"] + 1).otherwise(1).cast("long")
-        return F.struct(w.alias("last"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
+        return F.when(a["last"] == w, F.struct(a["last"].alias("last"), (a["run"] + 1).alias("run"), a["best"].alias("best"))).otherwise(
+            F.struct(w.alias("last"), F.lit(1).cast("long").alias("run"), F.greatest(a["best"], a["run"]).alias("best"))
+        )
 
-    return F.aggregate(F.sort_array(values), start, step, lambda a: a["best"])
+    return F.aggregate(F.sort_array(values), start, step, lambda a: F.greatest(a["best"], a["run"]))
 
 
 def stop_words_in(tokens: Column) -> Column:
@@ -166,19 +171,19 @@ def with_text_features(df: DataFrame, text: str = "content", out: str = "feature
     staged = df.select(
         "*",
         F.lower(t).alias("_low"),
-        F.regexp_count(F.lower(t), F.lit("[aeiouy]+")).alias("_syllables"),
+        (F.size(F.split(F.lower(t), "[aeiouy]+")) - 1).alias("_syllables"),
         words(t).alias("_words"),
         sentences(t).alias("_pieces"),
     ).select(
         "*",
         F.size("_words").alias("_n"),
-        _moments(F.transform("_words", F.length)).alias("_wm"),
-        _moments(
-            F.filter(F.transform("_pieces", lambda s: F.size(words(s))), lambda k: k > 0)
-        ).alias("_sm"),
+        F.transform("_words", F.length).alias("_lengths"),
+        F.filter(F.transform("_pieces", lambda s: F.size(words(s))), lambda k: k > 0).alias("_spoken"),
         F.transform("_words", F.lower).alias("_lows"),
     )
-    staged = staged.select("*", stop_words_in(F.col("_lows")).alias("_stop"))
+    staged = staged.select(
+        "*", _moments(F.col("_lengths")).alias("_wm"), _moments(F.col("_spoken")).alias("_sm"), stop_words_in(F.col("_lows")).alias("_stop")
+    )
     staged = staged.select("*", language_vote(F.col("_stop")).alias("_vote"))
     return staged.select(*df.columns, F.when(F.length(t) > 0, _feature_struct(t)).alias(out))
 
@@ -212,8 +217,8 @@ def _feature_struct(t: Column) -> Column:
         "question_ratio": per_char(occurrences(t, "?")),
         "period_ratio": per_char(occurrences(t, ".")),
         "comma_ratio": per_char(occurrences(t, ",")),
-        "uppercase_ratio": per_char(F.regexp_count(t, F.lit(UPPERCASE))),
-        "digit_ratio": per_char(F.regexp_count(t, F.lit(DIGIT))),
+        "uppercase_ratio": per_char(_matching(t, UPPERCASE)),
+        "digit_ratio": per_char(_matching(t, _NUMERAL)),
         "avg_word_length": _mean(wm),
         "word_length_std": _std(wm),
         "avg_sentence_length": _mean(sm),

@@ -142,3 +142,20 @@ def test_bands_and_predictions(spark):
     rows = df.select(scoring.score_band(F.col("s")).alias("b"), scoring.predicted_source(F.col("s")).alias("p")).collect()
     assert [r["b"] for r in rows] == ["Likely Human", "Uncertain", "Uncertain", "Likely AI-Generated", "Uncertain"]
     assert [r["p"] for r in rows] == ["human", "human", "ai_generated", "ai_generated", "ai_generated"]
+
+
+def test_quick_classes_hold_the_same_characters(spark):
+    seen = spark.createDataFrame([(chr(i),) for i in range(0x20000) if not 0xD800 <= i < 0xE000], "c string").cache()
+    for quick, plain in ((tx._BLANK, tx.WHITESPACE), (tx._NUMERAL, tx.DIGIT)):
+        assert seen.where(F.col("c").rlike(quick)).count() > 20
+        assert seen.where(F.col("c").rlike(quick) != F.col("c").rlike(plain)).count() == 0
+
+
+def test_longest_run_and_moments_build_no_struct_per_word(spark):
+    df = spark.createDataFrame([(["b", "a", "b", "a", "b"],), ([],), (["x"],)], "w array<string>")
+    lengths = F.transform("w", F.length)
+    got = df.select(tx.top_frequency(F.col("w")).alias("top"), tx._moments(lengths).alias("m")).collect()
+    assert [r["top"] for r in got] == [3, 0, 1]
+    assert [tuple(r["m"]) for r in got] == [(5, 5, 5), (0, 0, 0), (1, 1, 1)]
+    plan = df.select(tx._moments(lengths).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 2 and "lambdafunction(struct" not in plan
