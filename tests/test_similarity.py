@@ -492,3 +492,19 @@ def test_core_rows_of_a_block_are_reported_once(spark):
     assert 238 <= kinds["star"] < 240 + parts * parts / 2 and kinds.get("edge", 0) == 0
     found = clusters.semantic_clusters(df, threshold=0.9, block_rows=16)[1]
     assert {(r["cluster"], r["cluster_size"]) for r in found.collect()} == {("0", 200), ("200", 40)}
+
+
+def test_partitions_send_forests_instead_of_edges(spark, monkeypatch):
+    edges = [(f"{g}-{a:02d}", f"{g}-{b:02d}") for g in "xyz" for a in range(40) for b in range(a)]
+    df = spark.createDataFrame(edges + [("y-03", "z-07"), ("q", "q"), (None, "x-01")], "src string, dst string").repartition(3)
+    sent = df.where("src <> dst").mapInArrow(graph._forest, df.schema)
+    assert df.count() > 2000 and sent.count() <= 3 * 120  # at most one edge a vertex and partition
+    ids = spark.createDataFrame([(f"{g}-{a:02d}",) for g in "xyz" for a in range(40)] + [("q",)], "id string")
+    got = {r["id"]: r["component"] for r in graph.connected_components(df, ids).collect()}
+    assert got == {i: {"x": "x-00", "y": "y-00", "z": "y-00", "q": "q"}[i[0]] for i in got} and len(got) == 121
+    # a partition of more vertices than a task holds sends several forests
+    table = df.where("src <> dst").toArrow()
+    monkeypatch.setattr(graph, "_FOREST_EDGES", 50)
+    parts = list(graph._forest(table.to_batches(max_chunksize=20)))
+    assert len(parts) > 1 and graph._spanning(table).num_rows == 118
+    assert sorted(graph._spanning(graph.pa.Table.from_batches(parts)).column("dst").to_pylist()) and sum(p.num_rows for p in parts) < 2341
