@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candor import config
 from candor.functions.text import words
 
+_VECTOR_ROWS = 1024  # texts whose bucket counts are taken together
+
 
 def _dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -63,50 +69,44 @@ def or_zero_vector(embedding: Column, dim: int = config.FAILED_EMBEDDING_DIM) ->
     return F.coalesce(embedding, F.array_repeat(F.lit(0.0), dim))
 
 
-def word_bucket(word: Column, dim: int = config.EMBEDDING_DIM) -> Column:
-    digest = F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long")
-    return (digest % dim).cast("int")
+def _bucket(word: bytes, dim: int) -> int:
+    """Bucket of a word: the first eight hex digits of its MD5."""
+    return int.from_bytes(hashlib.md5(word).digest()[:4], "big") % dim
 
 
-def bucket_counts(buckets: Column, dim: int) -> Column:
-    """Dense histogram of an int array: sort it, then close one bucket after the other."""
-    start = F.struct(
-        F.array().cast("array<double>").alias("done"),
-        F.lit(-1).alias("at"),
-        F.lit(0.0).alias("run"),
-    )
+def bucket_vectors(found: Column, dim: int) -> Column:
+    """L2-normalised bucket counts of an array of words; a null array stays null.
 
-    def closed(a):
-        return F.when(a["at"] < 0, a["done"]).otherwise(F.concat(a["done"], F.array(a["run"])))
-
-    def step(a, b):
-        return F.when(
-            a["at"] == b,
-            F.struct(a["done"].alias("done"), a["at"].alias("at"), (a["run"] + 1).alias("run")),
-        ).otherwise(
-            F.struct(
-                F.concat(closed(a), F.array_repeat(F.lit(0.0), b - a["at"] - 1)).alias("done"),
-                b.alias("at"),
-                F.lit(1.0).alias("run"),
-            )
-        )
-
-    return F.aggregate(
-        F.sort_array(buckets),
-        start,
-        step,
-        lambda a: F.concat(closed(a), F.array_repeat(F.lit(0.0), F.lit(dim - 1) - a["at"])),
-    )
+    A distinct word of a part of a batch is hashed once, the counts of all rows of the part are taken together.
+    """
+
+    @F.arrow_udf("array<double>")
+    def vectors(lists: pa.Array) -> pa.Array:
+        parts = [lists.slice(i, _VECTOR_ROWS) for i in range(0, len(lists), _VECTOR_ROWS)]
+        return pa.concat_arrays([_counted(part, dim) for part in parts] or [pa.array([], pa.list_(pa.float64()))])
+
+    return vectors(found)
+
+
+def _counted(lists: pa.Array, dim: int) -> pa.Array:
+    rows, sizes = len(lists), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    coded = lists.flatten().dictionary_encode()
+    places = np.array([_bucket(w, dim) for w in coded.dictionary.cast(pa.binary()).to_pylist()], dtype="int64")
+    at = np.repeat(np.arange(rows, dtype="int64") * dim, sizes) + places[coded.indices.to_numpy(zero_copy_only=False)]
+    counts = np.bincount(at, minlength=rows * dim).reshape(rows, dim).astype("float64")
+    length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))  # sums of whole numbers: exact
+    unit = np.divide(counts, length, out=counts, where=length > 0)
+    ends = pa.array(np.arange(rows + 1, dtype="int32") * dim)
+    return pa.ListArray.from_arrays(ends, pa.array(unit.ravel()), mask=lists.is_null())
 
 
 def hashing_embedding(df: DataFrame, text: str = "content", dim: int = config.EMBEDDING_DIM, out: str = "embedding") -> DataFrame:
     """Add the L2-normalised bucket counts of the lower-cased words of the whole text.
 
-    Narrow and JVM-side: no shuffle, one pass over the words of a row. A text
+    Narrow: no shuffle, one pass over the words of a row, counted in Arrow batches. A text
     without words gets the zero vector.
     """
-    buckets = F.transform(words(F.lower(text)), lambda w: word_bucket(w, dim))
-    return df.withColumn(out, unit(bucket_counts(buckets, dim)))
+    return df.withColumn(out, bucket_vectors(words(F.lower(text)), dim))
 
 
 def embed(df: DataFrame, text: str = "content", model=None, model_name: str | None = None) -> DataFrame:
