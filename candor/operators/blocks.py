@@ -17,6 +17,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +33,7 @@ _BLOCKS = 1 << 24  # block numbers per cell in a block code
 _GRID_BLOCKS = 16  # blocks that one task holds of either side, at most
 _GRID_BYTES = 96 << 20  # and their unpacked size
 _GRID_HELD = 2_000_000  # result rows a task holds before it adds them up
+_LIST_ROWS = 1 << 19  # listed pairs a task holds before it hands them on
 
 
 def vector_key(vector) -> F.Column:
@@ -57,6 +59,25 @@ def representatives(members: DataFrame, scope: str | None = None) -> DataFrame:
     )
 
 
+def id_chunks(members: DataFrame, scope: str | None = None, keep=(), chunk: int = 1000) -> DataFrame:
+    """As ``representatives``, with the ids themselves: ``ids`` (structs of id and ``keep``), about ``chunk`` of the copies of a vector a row.
+
+    Rows without an id are left out. Equal ids with one vector share a row. Vectors of more copies than a chunk number fewer than one in ``chunk`` rows.
+    """
+    keys = ["vkey"] + ([scope] if scope else [])
+    rows = members.where("id is not null")
+    # null scopes are a group like any other
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("_copies")).where(F.col("_copies") > chunk)
+    same = [rows[k].eqNullSafe(F.col(f"_{k}")) for k in keys]
+    hot = F.broadcast(hot.select(*[F.col(k).alias(f"_{k}") for k in keys], "_copies"))
+    part = F.when(F.col("_copies").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.ceil(F.col("_copies") / chunk)))
+    return (
+        rows.join(hot, same, "left").groupBy(*keys, part.alias("part"))
+        .agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec"), F.collect_list(F.struct("id", *keep)).alias("ids"))
+        .drop("part")
+    )
+
+
 def _matrix(series: pd.Series) -> np.ndarray:
     return np.stack(series.to_numpy()) if len(series) else np.zeros((0, 1))
 
@@ -283,7 +304,7 @@ def blocked_join(
 ) -> DataFrame:
     """Run ``kernel(table, matches)`` once per block pair and union the results.
 
-    ``matches`` iterates over (i, j, cosine) index arrays into ``table``. With
+    ``matches`` iterates over (i, j, cosine) index arrays into ``table``. A kernel returns its columns, or yields them part by part. With
     ``scope`` only rows of the same scope value match. ``carry`` names further
     columns the kernel reads. ``prune`` is that of ``place``: between boxes every row is shuffled once, into
     its packed block, and tasks read the blocks they compare; by scope, rows go to the few blocks of their scope.
@@ -297,9 +318,10 @@ def blocked_join(
     def matches(table: pa.Table):
         return _group_matches(table, threshold, strict, by_scope)
 
-    def compared(table: pa.Table) -> pa.Table:
-        columns = kernel(table, matches(table))
-        return pa.table({f.name: pa.array(columns[f.name], type=f.type) for f in arrow_schema}, schema=arrow_schema)
+    def compared(table: pa.Table):
+        found = kernel(table, matches(table))
+        for columns in [found] if isinstance(found, dict) else found:
+            yield pa.table({f.name: pa.array(columns[f.name], type=f.type) for f in arrow_schema}, schema=arrow_schema)
 
     if prune == "boxes":
         fold = kernel if isinstance(kernel, ClusterFold) else None
@@ -310,7 +332,7 @@ def blocked_join(
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         if lo != hi and own.min() == own.max():
             return arrow_schema.empty_table()  # only one side came through
-        return compared(table)
+        return pa.concat_tables([arrow_schema.empty_table(), *compared(table)])
 
     sides = rows.withColumn("other", F.explode("partners")).drop("partners")
     sides = sides.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other")
@@ -349,7 +371,7 @@ def _summed(parts: list[pa.Table], total: str, schema: pa.Schema) -> pa.Table:
 
 
 def _grid_join(rows: DataFrame, compared, schema: str, arrow_schema: pa.Schema, reach: float, total: str | None, fold=None, matches=None) -> DataFrame:
-    """``compared(table)`` for every pair of blocks whose boxes are within reach; a ``fold`` takes their matches in task by task instead.
+    """The tables of ``compared(table)`` for every pair of blocks whose boxes are within reach; a ``fold`` takes their matches in task by task instead.
 
     Blocks are packed and gathered in a few groups; a cartesian product of the groups reads them from the checkpoint
     folder, so a row is shuffled twice whatever the number of blocks it meets.
@@ -392,15 +414,15 @@ def _grid_join(rows: DataFrame, compared, schema: str, arrow_schema: pa.Schema,
                         if task is not None:
                             task.add(own, own_2, matches(both))
                             continue
-                        out = compared(both)
-                        if total is None:
-                            yield from out.to_batches(max_chunksize=1 << 16)
-                            continue
-                        found.append(out)
-                        held += out.num_rows
-                        if held > _GRID_HELD:
-                            found = [_summed(found, total, arrow_schema)]
-                            held = 0
+                        for out in compared(both):
+                            if total is None:
+                                yield from out.to_batches(max_chunksize=1 << 16)
+                                continue
+                            found.append(out)
+                            held += out.num_rows
+                            if held > _GRID_HELD:
+                                found = [_summed(found, total, arrow_schema)]
+                                held = 0
                 for out in () if task is None else task.rows(arrow_schema):
                     yield from out.to_batches(max_chunksize=1 << 16)
                 if found:
@@ -440,6 +462,79 @@ def pair_kernel(table, matches):
 PAIR_SCHEMA = "rep_1 string, rep_2 string, copies_1 long, copies_2 long, similarity_score double"
 
 
+def list_kernel(keep=(), copies: bool = True):
+    """All pairs of the ids that rows hold in ``ids`` (structs of id and ``keep``), ``copies`` among themselves included.
+
+    Pairs leave the task part by part, so neither many copies nor many matches are held at once.
+    """
+
+    def kernel(table, matches):
+        held = table.column("ids").combine_chunks()
+        sizes = held.value_lengths().to_numpy(zero_copy_only=False).astype("int64")
+        starts, rows = sizes.cumsum() - sizes, held.flatten()
+        ids, kept = rows.field("id"), {k: rows.field(k) for k in keep}
+
+        def listed(a, b, score):
+            a, b = pa.array(a), pa.array(b)
+            one, two = ids.take(a), ids.take(b)
+            swap = pc.greater(one, two)
+            out = {"content_id_1": pc.if_else(swap, two, one), "content_id_2": pc.if_else(swap, one, two), "similarity_score": score}
+            for k, values in kept.items():
+                one, two = values.take(a), values.take(b)
+                out |= {f"{k}_1": pc.if_else(swap, two, one), f"{k}_2": pc.if_else(swap, one, two)}
+            return out
+
+        waiting, total = [], 0
+        for found in matches:
+            for i, j, s in _portions(found, sizes):
+                waiting.append(_expanded(i, j, s, sizes, starts))
+                total += len(waiting[-1][0])
+                if total > _LIST_ROWS:
+                    yield listed(*(np.concatenate(x) for x in zip(*waiting)))
+                    waiting, total = [], 0
+        own = table.column("own").to_numpy()
+        if copies and own.min() == own.max():
+            names = ids.to_numpy(zero_copy_only=False)
+            for row in np.flatnonzero(sizes > 1):
+                a, b = np.triu_indices(sizes[row], 1)
+                a, b = starts[row] + a, starts[row] + b
+                other = names[a] != names[b]  # a row that comes twice is no pair
+                waiting.append((a[other], b[other], np.ones(other.sum())))
+                total += other.sum()
+                if total > _LIST_ROWS:
+                    yield listed(*(np.concatenate(x) for x in zip(*waiting)))
+                    waiting, total = [], 0
+        if waiting:
+            yield listed(*(np.concatenate(x) for x in zip(*waiting)))
+
+    return kernel
+
+
+def list_schema(keep=()) -> str:
+    return ", ".join(["content_id_1 string, content_id_2 string, similarity_score double", *(f"{k}_1 string, {k}_2 string" for k in keep)])
+
+
+def _portions(found, sizes: np.ndarray):
+    """Matches (i, j, s) in portions that stand for about ``_LIST_ROWS`` pairs of ids, or for one match."""
+    i, j, s = found
+    ends = (sizes[i] * sizes[j]).cumsum()
+    begin = 0
+    while begin < len(i):
+        end = int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + _LIST_ROWS, side="right"))
+        end = max(end, begin + 1)
+        yield i[begin:end], j[begin:end], s[begin:end]
+        begin = end
+
+
+def _expanded(i, j, s, sizes: np.ndarray, starts: np.ndarray):
+    """Places of the ids, and the score, of every pair that the matches stand for."""
+    n = sizes[i] * sizes[j]
+    of = np.repeat(np.arange(len(i)), n)
+    nth = np.arange(len(of)) - np.repeat(n.cumsum() - n, n)
+    right = sizes[j][of]
+    return starts[i][of] + nth // right, starts[j][of] + nth % right, s[of]
+
+
 def degree_kernel(table, matches):
     """Neighbours of each row within this block pair; copies count as neighbours."""
     copies = table.column("copies").to_numpy()

@@ -231,15 +231,18 @@ def cross_platform_findings(
     return found, lookup(ids, flagged, ["platform", "vkey"], "copies").select("campaign_key", "content_id")
 
 
-def cross_platform_matches(pairs: DataFrame, platforms: DataFrame) -> DataFrame:
+def cross_platform_matches(pairs: DataFrame, platforms: DataFrame | None = None) -> DataFrame:
     """The match list behind J5: listed pairs whose ids sit on different platforms.
 
-    ``platforms``: content_id, platform (one row per id).
+    ``platforms``: content_id, platform (one row per id). Pairs that carry platform_1 and platform_2 need none and are not shuffled.
     """
-    one = platforms.select(F.col("content_id").alias("content_id_1"), F.col("platform").alias("p1"))
-    two = platforms.select(F.col("content_id").alias("content_id_2"), F.col("platform").alias("p2"))
-    first = cut_lineage(balanced_join(cut_lineage(pairs), one, ["content_id_1"]))
-    both = balanced_join(first, two, ["content_id_2"]).where("p1 <> p2")
+    if platforms is None:
+        both = pairs.withColumnsRenamed({"platform_1": "p1", "platform_2": "p2"}).where("p1 <> p2")
+    else:
+        one = platforms.select(F.col("content_id").alias("content_id_1"), F.col("platform").alias("p1"))
+        two = platforms.select(F.col("content_id").alias("content_id_2"), F.col("platform").alias("p2"))
+        first = cut_lineage(balanced_join(cut_lineage(pairs), one, ["content_id_1"]))
+        both = balanced_join(first, two, ["content_id_2"]).where("p1 <> p2")
     swap = F.col("p1") > F.col("p2")
     return both.select(
         F.least("p1", "p2").alias("platform_1"),

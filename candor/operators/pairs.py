@@ -49,16 +49,20 @@ def similar_pairs(
     scope: str | None = None,
     similarity_type: str = "semantic",
     block_rows: int = config.PAIR_BLOCK_ROWS,
+    keep=(),
 ) -> DataFrame:
     """Unordered pairs with cosine at or above the threshold, one row per pair of ids.
 
     The rows are the reported result, so their number is the operator's output
-    size; detection itself never goes through this list.
+    size; detection itself never goes through this list. The ids travel with the vectors, so the tasks
+    that compare them list the pairs, and no pair is shuffled; the list is written once. String columns in ``keep`` come out with the suffix of their id.
     """
-    members, pairs = similar_groups(df, id, vector, threshold, strict, scope, block_rows)
-    return expand_pairs(members, pairs, threshold, strict).withColumn(
-        "similarity_type", F.lit(similarity_type)
-    )
+    carried = [k for k in keep if k != scope]
+    found = cut_lineage(blocks.unit_members(df, id, vector, [*([scope] if scope else []), *carried]))
+    placed = blocks.place(cut_lineage(blocks.id_chunks(found, scope, keep)), threshold, block_rows=block_rows)
+    kernel = blocks.list_kernel(keep, copies=not (strict and threshold >= 1.0))
+    listed = blocks.blocked_join(placed, kernel, blocks.list_schema(keep), threshold, strict, scope, carry=["ids"])
+    return written(listed, "pairs").withColumn("similarity_type", F.lit(similarity_type))
 
 
 def expand_pairs(members: DataFrame, pairs: DataFrame, threshold: float, strict: bool = False, chunk: int = 1000) -> DataFrame:
@@ -170,11 +174,13 @@ def equal_similarity_groups(
         copied = members.where("id = rep and copies > 1").select(
             F.lit(1.0).alias("s"), F.expr("copies * (copies - 1) div 2").alias("n"), F.array(F.struct("rep", "copies")).alias("ends"))
         weighed = weighed.unionByName(copied)
-    weighed = cut_lineage(weighed.withColumn("similarity", value))
-    means = weighed.groupBy("similarity").agg((F.sum(F.col("s") * F.col("n")) / F.sum("n")).alias("avg_similarity"))
-    ends = cut_lineage(weighed.select("similarity", F.explode("ends").alias("e")).select("similarity", "e.rep", "e.copies").distinct())
-    sizes = ends.groupBy("similarity").agg(F.sum("copies").alias("campaign_size"), F.count("*").alias("weight")).where(F.col("campaign_size") >= min_size)
-    groups = cut_lineage(sizes.join(means, "similarity"))
+    # a pair counts at both of its ends, so figures per value come from the ends alone; the pairs are read once and not stored
+    half, sn, n = F.when(F.size("ends") == 2, 1).otherwise(2), F.col("s") * F.col("n"), F.col("n")
+    ends = weighed.select(value.alias("similarity"), F.explode("ends").alias("e"), (sn * half).alias("s"), (n * half).alias("n"))
+    ends = cut_lineage(ends.groupBy("similarity", "e.rep", "e.copies").agg(F.sum("s").alias("s"), F.sum("n").alias("n")))
+    mean = (F.sum("s") / F.sum("n")).alias("avg_similarity")
+    groups = ends.groupBy("similarity").agg(F.sum("copies").alias("campaign_size"), F.count("*").alias("weight"), mean)
+    groups = cut_lineage(groups.where(F.col("campaign_size") >= min_size))
     held = lookup(ends, groups.select("similarity", "weight"), ["similarity"], "weight")
     ids = members.select(F.col("id").alias("content_id"), "rep")
     return groups.drop("weight"), balanced_join(cut_lineage(held.select("similarity", "rep")), ids, ["rep"]).select("similarity", "content_id")

@@ -821,8 +821,9 @@ def cross_platform_members(spark, sf):
 def cross_kind_matches(spark, sf):
     """The match list of the cross-platform join, vectors standing in for posts."""
     rows = fx.vectors(spark, sf)
-    found = pairs.similar_pairs(rows, threshold=0.35)
-    out = rules.cross_platform_matches(found, rows.select("content_id", F.col("content_type").alias("platform")))
+    platforms = rows.select("content_id", F.col("content_type").alias("platform"))
+    found = pairs.similar_pairs(rows.join(platforms, "content_id"), threshold=0.35, keep=["platform"])
+    out = rules.cross_platform_matches(found)
     return out.select("platform_1", "platform_2", "content_id_1", "content_id_2", d6("similarity"))
 
 
