@@ -1,9 +1,8 @@
 """Image features from rasters.
 
-A raster is one row: image_id, width, height and row-major channel arrays. The
-pixel features explode the row in place, look neighbours up in its own arrays
-and aggregate per image, so partial aggregation collapses the pixels before
-anything is shuffled. An image never leaves the task that reads it.
+A raster is one row: image_id, width, height and row-major channel arrays. Its
+sums are taken inside the task that reads it, so pixels are neither repeated nor
+shuffled; features are aggregated from the sums per image.
 """
 
 from __future__ import annotations
@@ -13,6 +12,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 BLOCK = 32  # fixed value: noise block
 GRID = 8  # fixed value: compression grid
@@ -51,41 +52,101 @@ def with_gray(images: DataFrame) -> DataFrame:
     return images.withColumn("gray", F.transform(weighted, lambda v: F.floor((v + 500) / 1000).cast("int")))
 
 
-def pixels(images: DataFrame, *arrays: str) -> DataFrame:
-    """One row per pixel with x, y and its position p; ``arrays`` stay attached for lookups."""
-    return images.select(
-        "image_id", "width", "height", *arrays, F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("p")
-    ).select("*", F.floor(F.col("p") / F.col("width")).cast("int").alias("y"), (F.col("p") % F.col("width")).cast("int").alias("x"))
+_MOMENTS = {
+    "color": "struct<n: bigint, r1: bigint, r2: bigint, g1: bigint, g2: bigint, b1: bigint, b2: bigint, s1: bigint, s2: bigint>",
+    "texture": "struct<n: bigint, v1: bigint, v2: bigint, l1: bigint, l2: bigint, grads: bigint, grad1: double, spread: double, edges: bigint>",
+    "jumps": "array<struct<axis: string, k: int, v: bigint>>",
+    "noise": "array<struct<bx: int, by: int, n: bigint, s: bigint, q: bigint>>",
+}
+
+
+def raster_sums(images: DataFrame, parts=tuple(_MOMENTS), edge_level: float = EDGE_LEVEL) -> DataFrame:
+    """(image_id, width, height, *parts): the whole-number sums that the single features below are made from, one row per raster.
+
+    Every raster is read once, where it lies; its pixels are not repeated. The features take them as they are, so several
+    features of the same rasters need one reading: write the sums and pass them on. ``color`` reads r, g, b, all others read gray.
+    """
+    head = ["image_id", "width", "height"]
+    planes = [*(["r", "g", "b"] if "color" in parts else []), *(["gray"] if set(parts) - {"color"} else [])]
+    schema = ", ".join([*(f"{c} {images.schema[c].dataType.simpleString()}" for c in head), *(f"{p} {_MOMENTS[p]}" for p in parts)])
+    kinds = {f.name: to_arrow_type(f.dataType) for f in T._parse_datatype_string(", ".join(f"{p} {_MOMENTS[p]}" for p in parts)).fields}
+
+    def task(batches):
+        for batch in batches:
+            held = [batch.column(i) for i in range(len(head) + len(planes))]
+            found = {p: [] for p in parts}
+            for i, (w, h) in enumerate(zip(held[1].to_pylist(), held[2].to_pylist())):
+                pixels = w * h if w and h else 0
+                of = {c: _plane(held[3 + k][i].values, pixels) for k, c in enumerate(planes)}
+                if "gray" in of and pixels:
+                    of["gray"] = of["gray"].reshape(h, w)
+                for p in parts:
+                    found[p].append(_SUMS[p](of, edge_level) if pixels else None)
+            yield pa.RecordBatch.from_arrays([*held[:3], *(pa.array(found[p], kinds[p]) for p in parts)], names=[*head, *parts])
+
+    return images.select(*head, *planes).mapInArrow(task, schema)
+
+
+def _sums_of(images: DataFrame, part: str, edge_level: float = EDGE_LEVEL) -> DataFrame:
+    """(image_id, part) where a raster has pixels; rasters whose sums are known already are not read again."""
+    sums = images if part in images.columns else raster_sums(images, [part], edge_level)
+    return sums.where(F.col(part).isNotNull()).select("image_id", part)
+
 
+def _plane(values: pa.Array | None, pixels: int) -> np.ndarray:
+    """A channel as doubles, which hold its values and their sums exactly; missing pixels are NaN."""
+    x = np.zeros(0) if values is None else values.to_numpy(zero_copy_only=False).astype("float64")[:pixels]
+    return np.concatenate([x, np.full(pixels - len(x), np.nan)]) if len(x) < pixels else x
 
-def _mirror(i: Column, low: Column, high: Column) -> Column:
-    """Reflect an index at low and high without repeating the border."""
-    inner = F.when(i < low, low + (low - i)).when(i > high, high - (i - high)).otherwise(i)
-    return F.least(F.greatest(inner, low), high)
 
+def _two_sums(values: np.ndarray) -> tuple[int | None, int | None]:
+    """Sum and sum of squares of the known values, None where none is known."""
+    known = values[~np.isnan(values)]
+    return (int(known.sum()), int((known * known).sum())) if known.size else (None, None)
 
-def _gray(x: Column, y: Column) -> Column:
-    return F.get("gray", y * F.col("width") + x)
 
+def _color_sums(of: dict, edge_level: float) -> dict:
+    r, g, b = of["r"], of["g"], of["b"]
+    top, low = np.fmax(np.fmax(r, g), b), np.fmin(np.fmin(r, g), b)
+    some = top > 0
+    s = np.where(some, np.floor((510 * (top - low) + top) / np.where(some, 2 * top, 1)), 0)
+    out = {"n": r.size}
+    for c, values in zip("rgbs", (r, g, b, s)):
+        out[f"{c}1"], out[f"{c}2"] = _two_sums(values)
+    return out
 
-def _stencil(x0: Column, x1: Column, y0: Column, y1: Column):
-    """Neighbour lookup inside the window x0..x1, y0..y1 with mirrored borders."""
-    x, y = F.col("x"), F.col("y")
-    return lambda dx, dy: _gray(_mirror(x + dx, x0, x1), _mirror(y + dy, y0, y1))
 
+def _texture_sums(of: dict, edge_level: float) -> dict:
+    gray = of["gray"]
+    (v1, v2), (l1, l2) = _two_sums(gray), _two_sums(_laplace(gray))
+    grad = _gradient(gray)
+    grad = grad[~np.isnan(grad)]
+    middle = float(grad.sum()) if grad.size else None
+    spread = float(((grad - grad.mean()) ** 2).sum()) if grad.size else None
+    return {
+        "n": gray.size, "v1": v1, "v2": v2, "l1": l1, "l2": l2,
+        "grads": grad.size, "grad1": middle, "spread": spread, "edges": int((grad > edge_level).sum()),
+    }
 
-def _laplacian(at) -> Column:
-    return at(1, 0) + at(-1, 0) + at(0, 1) + at(0, -1) - 4 * at(0, 0)
 
+def _jump_sums(of: dict, edge_level: float) -> list[dict]:
+    out = []
+    for axis, lines in (("row", of["gray"]), ("col", of["gray"].T)):
+        sums = np.nansum(lines, axis=1)
+        out += [{"axis": axis, "k": int(i) // GRID, "v": int(sums[i] - sums[i - 1])} for i in range(GRID, len(sums) - GRID, GRID)]
+    return out
 
-def _sobel(at) -> Column:
-    gx = at(1, -1) + 2 * at(1, 0) + at(1, 1) - at(-1, -1) - 2 * at(-1, 0) - at(-1, 1)
-    gy = at(-1, 1) + 2 * at(0, 1) + at(1, 1) - at(-1, -1) - 2 * at(0, -1) - at(1, -1)
-    return F.sqrt((gx * gx + gy * gy).cast("double"))
 
+def _noise_sums(of: dict, edge_level: float) -> list[dict]:
+    (h, w), out = of["gray"].shape, []
+    for y in range(0, h - BLOCK, BLOCK):
+        for x in range(0, w - BLOCK, BLOCK):
+            s, q = _two_sums(_laplace(of["gray"][y : y + BLOCK, x : x + BLOCK]))
+            out.append({"bx": x // BLOCK, "by": y // BLOCK, "n": BLOCK * BLOCK, "s": s, "q": q})
+    return out
 
-def _sum(c) -> Column:
-    return F.sum(c.cast("long"))
+
+_SUMS = {"color": _color_sums, "texture": _texture_sums, "jumps": _jump_sums, "noise": _noise_sums}
 
 
 def _mean_var(n: Column, s: Column, q: Column) -> tuple[Column, Column]:
@@ -107,14 +168,8 @@ def basic_features(images: DataFrame) -> DataFrame:
 
 def color_features(images: DataFrame) -> DataFrame:
     """Brightness and saturation moments."""
-    r, g, b = (F.get(c, F.col("p")) for c in "rgb")
-    px = pixels(images, "r", "g", "b").select("image_id", r.alias("r"), g.alias("g"), b.alias("b"))
-    top, low = F.greatest("r", "g", "b"), F.least("r", "g", "b")
-    px = px.select("*", F.when(top > 0, F.floor((510 * (top - low) + top) / (2 * top))).otherwise(0).cast("int").alias("s"))
-    sums = [F.count("*").alias("n")]
-    for c in "rgbs":
-        sums += [_sum(F.col(c)).alias(f"{c}1"), _sum(F.col(c) * F.col(c)).alias(f"{c}2")]
-    agg = px.groupBy("image_id").agg(*sums)
+    sums = [F.sum(c).alias(c) for c in ("n", *(f"{c}{i}" for c in "rgbs" for i in "12"))]
+    agg = _sums_of(images, "color").select("image_id", "color.*").groupBy("image_id").agg(*sums)
     m = {c: _mean_var(F.col("n"), F.col(f"{c}1"), F.col(f"{c}2")) for c in "rgbs"}
     return agg.select(
         "image_id",
@@ -169,19 +224,17 @@ def histogram_features(images: DataFrame) -> DataFrame:
 
 def texture_features(gray_images: DataFrame, edge_level: float = EDGE_LEVEL) -> DataFrame:
     """Gray moments, Laplacian noise, Sobel gradient (I4, I6 first part, I7, edge share of I9)."""
-    at = _stencil(F.lit(0), F.col("width") - 1, F.lit(0), F.col("height") - 1)
-    px = pixels(gray_images, "gray").select(
-        "image_id", at(0, 0).alias("v"), _laplacian(at).alias("lap"), _sobel(at).alias("grad")
-    )
-    agg = px.groupBy("image_id").agg(
-        F.count("*").alias("n"),
-        _sum(F.col("v")).alias("v1"),
-        _sum(F.col("v") * F.col("v")).alias("v2"),
-        _sum(F.col("lap")).alias("l1"),
-        _sum(F.col("lap") * F.col("lap")).alias("l2"),
-        F.avg("grad").alias("edge_strength"),
-        F.stddev_pop("grad").alias("edge_consistency"),
-        F.avg((F.col("grad") > edge_level).cast("double")).alias("edge_density"),
+    own = F.col("grad1") * F.col("grad1") / F.col("grads")
+    sums = [F.sum(c).alias(c) for c in ("n", "v1", "v2", "l1", "l2", "grads", "grad1", "spread", "edges")]
+    agg = _sums_of(gray_images, "texture", edge_level).select("image_id", "texture.*").groupBy("image_id").agg(F.count("*").alias("rasters"), *sums, F.sum(own).alias("own"))
+    # rasters of one id are added up: what their means differ by belongs to the spread
+    more = F.greatest(F.col("own") - F.col("grad1") * F.col("grad1") / F.col("grads"), F.lit(0.0))
+    apart = F.when(F.col("rasters") > 1, more).otherwise(0.0)
+    agg = agg.select(
+        "*",
+        (F.col("grad1") / F.col("grads")).alias("edge_strength"),
+        F.sqrt((F.col("spread") + apart) / F.col("grads")).alias("edge_consistency"),
+        (F.col("edges") / F.col("grads")).alias("edge_density"),
     )
     mean, var = _mean_var(F.col("n"), F.col("v1"), F.col("v2"))
     _, noise = _mean_var(F.col("n"), F.col("l1"), F.col("l2"))
@@ -198,23 +251,8 @@ def texture_features(gray_images: DataFrame, edge_level: float = EDGE_LEVEL) ->
 
 def blocking_artifacts(gray_images: DataFrame) -> DataFrame:
     """Jumps of the line means across the 8-pixel grid, both directions, per pixel."""
-    px = pixels(gray_images, "gray").select("image_id", "width", "height", "x", "y", F.get("gray", F.col("p")).alias("v"))
-    lines = px.select(
-        "image_id",
-        "v",
-        F.explode(
-            F.array(
-                F.struct(F.lit("row").alias("axis"), F.col("y").alias("i"), F.col("height").alias("span")),
-                F.struct(F.lit("col").alias("axis"), F.col("x").alias("i"), F.col("width").alias("span")),
-            )
-        ).alias("l"),
-    ).select("image_id", "v", "l.*")
-    edge = F.floor((F.col("i") + 1) / GRID).cast("int")  # lines 8k-1 and 8k belong to grid line k
-    near = lines.where((F.col("i") % GRID).isin(0, GRID - 1)).withColumn("k", edge)
-    inside = near.where((F.col("k") >= 1) & (F.col("k") * GRID < F.col("span") - GRID))
-    jumps = inside.groupBy("image_id", "axis", "k").agg(
-        F.abs(F.sum(F.when(F.col("i") % GRID == 0, F.col("v")).otherwise(-F.col("v")))).alias("jump")
-    )
+    lines = _sums_of(gray_images, "jumps").select("image_id", F.explode("jumps").alias("l")).select("image_id", "l.*")
+    jumps = lines.groupBy("image_id", "axis", "k").agg(F.abs(F.sum("v")).alias("jump"))
     # whole-number sums per axis, so the result does not depend on the order of addition
     along = lambda axis: F.coalesce(F.sum(F.when(F.col("axis") == axis, F.col("jump"))), F.lit(0))
     total = jumps.groupBy("image_id").agg(along("row").alias("rows"), along("col").alias("cols"))
@@ -226,14 +264,8 @@ def blocking_artifacts(gray_images: DataFrame) -> DataFrame:
 
 def noise_uniformity(gray_images: DataFrame) -> DataFrame:
     """Relative spread of the Laplacian variance over 32x32 blocks with their own borders."""
-    bx, by = F.floor(F.col("x") / BLOCK).cast("int"), F.floor(F.col("y") / BLOCK).cast("int")
-    px = pixels(gray_images, "gray").select("*", bx.alias("bx"), by.alias("by"))
-    px = px.where(((F.col("bx") + 1) * BLOCK < F.col("width")) & ((F.col("by") + 1) * BLOCK < F.col("height")))
-    x0, y0 = F.col("bx") * BLOCK, F.col("by") * BLOCK
-    lap = _laplacian(_stencil(x0, x0 + BLOCK - 1, y0, y0 + BLOCK - 1))
-    sums = px.select("image_id", "bx", "by", lap.alias("lap")).groupBy("image_id", "bx", "by").agg(
-        F.count("*").alias("n"), _sum(F.col("lap")).alias("s"), _sum(F.col("lap") * F.col("lap")).alias("q")
-    )
+    held = _sums_of(gray_images, "noise").select("image_id", F.explode("noise").alias("b")).select("image_id", "b.*")
+    sums = held.groupBy("image_id", "bx", "by").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")])
     _, var = _mean_var(F.col("n"), F.col("s"), F.col("q"))
     level = sums.withColumn("noise", var).groupBy("image_id").agg(
         F.count("*").alias("n"), F.avg("noise").alias("mean"), F.stddev_pop("noise").alias("std")
@@ -302,6 +334,13 @@ def _laplace(gray: np.ndarray) -> np.ndarray:
     return p[1:-1, 2:] + p[1:-1, :-2] + p[2:, 1:-1] + p[:-2, 1:-1] - 4 * gray
 
 
+def _gradient(gray: np.ndarray) -> np.ndarray:
+    p = _neighbours(gray)
+    gx = p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:] - p[:-2, :-2] - 2 * p[1:-1, :-2] - p[2:, :-2]
+    gy = p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:] - p[:-2, :-2] - 2 * p[:-2, 1:-1] - p[:-2, 2:]
+    return np.sqrt((gx * gx + gy * gy).astype("float64"))
+
+
 def _jumps(gray: np.ndarray) -> float:
     """Jumps of the line sums across the grid, both directions, per pixel."""
     total = 0.0
@@ -335,10 +374,7 @@ def _all_features(width: int, height: int, channels: list[np.ndarray], stride: i
         s, q = c.size, int((bins * bins).sum())
         spread.append(float(np.sqrt((256 * q - s * s) / 65536.0) / (s / 256)))
     gray = ((299 * r + 587 * g + 114 * b + 500) // 1000).reshape(height, width)
-    p = _neighbours(gray)
-    gx = p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:] - p[:-2, :-2] - 2 * p[1:-1, :-2] - p[2:, :-2]
-    gy = p[2:, :-2] + 2 * p[2:, 1:-1] + p[2:, 2:] - p[:-2, :-2] - 2 * p[:-2, 1:-1] - p[:-2, 2:]
-    gradient = np.sqrt((gx * gx + gy * gy).astype("float64"))
+    gradient = _gradient(gray)
     shade = _moments(gray)
     return [
         float(width), float(height), width / height, float(width * height),

@@ -18,7 +18,7 @@ from candor.operators import clusters, graph, images, intervals, models, overlap
 from candor.plans import detection, reports
 from candor.plans import fixtures as fx
 from candor.plans.oracles import WS, build, hour_key, listed, messages, moment, quoted, r6, steps, words_of, IMAGE_RULES, REPETITION_RULE
-from candor.session import cut_lineage, scratch_path
+from candor.session import cut_lineage, scratch_path, written
 from candor.sources import corpus
 from candor.sources.tables import ContentStore, embedding_rows, latest, score_rows, text_rows
 from candor.streaming import monitors
@@ -1416,9 +1416,9 @@ def image_repetition(spark, sf):
 def image_rule_scores(spark, sf):
     """Image scores from the features SQL can check (a missing repetition counts as 0)."""
     rasters = fx.rasters(spark, sf)
-    gray = images.with_gray(rasters)
-    parts = images.color_features(rasters)
-    for more in (images.texture_features(gray), images.blocking_artifacts(gray), images.noise_uniformity(gray)):
+    sums = written(images.raster_sums(images.with_gray(rasters)), "rasters")
+    parts = images.color_features(sums)
+    for more in (images.texture_features(sums), images.blocking_artifacts(sums), images.noise_uniformity(sums)):
         parts = parts.join(more, "image_id")
     nothing = F.lit(None).cast("double").alias("pattern_repetition")
     fields = ["noise_uniformity", "saturation_stddev", "blocking_artifacts", "edge_consistency"]
