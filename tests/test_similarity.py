@@ -1,5 +1,6 @@
 import datetime
 import itertools
+import os
 
 import numpy as np
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from candor.functions import vectors as vx
 from candor.operators import blocks, campaigns, clusters, graph, overlap, pairs
-from candor.session import cut_lineage
+from candor.session import cut_lineage, workspace
 
 
 def sample(n=120, dim=8, seed=3, groups=6, copies=20):
@@ -563,3 +564,30 @@ def test_hashing_embedding_counts_words_in_batches(spark):
             want[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 16] += 1
         size = sum(x * x for x in want) ** 0.5
         assert r["embedding"] == [x / size if size else 0.0 for x in want]
+
+
+def test_vectors_come_back_bit_by_bit(spark):
+    rng = np.random.default_rng(5)
+    rows = [[0.0, -0.0, 1.0, float("nan")], [], rng.normal(size=300).tolist(), (rng.integers(0, 3, 384) / 7).tolist()]
+    df = spark.createDataFrame(list(enumerate(rows)), "n int, vec array<double>")
+    kept = {r.n: np.array(r.vec, dtype="float64").tobytes() for r in blocks.full(blocks.slim(df)).collect()}
+    assert kept == {n: np.array(v, dtype="float64").tobytes() for n, v in enumerate(rows)}
+
+
+@pytest.mark.parametrize("operator", ["groups", "clusters"])
+def test_intermediate_vectors_take_little_space(spark, operator):
+    """Word counts: all that is stored on the way is smaller than the plain vectors, though they are stored several times."""
+    rng = np.random.default_rng(6)
+    rows = [(f"{i:04d}", rng.poisson(0.4, 384).astype(float).tolist()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "content_id string, embedding array<double>")
+    folder = workspace(spark).removeprefix("file:")
+
+    def stored():
+        return sum(os.path.getsize(f"{d}/{n}") for d, _, names in os.walk(folder) for n in names)
+
+    before = stored()
+    if operator == "groups":
+        pairs.similar_groups(df, threshold=0.9)
+    else:
+        clusters.semantic_clusters(df, threshold=0.9)
+    assert stored() - before < 1500 * 384 * 8 * 0.4
